@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import newest, texts
 
 NONE = np.int32(2**31 - 1)
 CELLS = 1 << 20  # of a matrix
@@ -156,7 +156,7 @@ class Encoder:
         for text in batch:
             places.append(np.array([index.setdefault(p, len(index)) for p in self.split(text)], np.int64))
         if len(index) > known:
-            new = self.vocabulary.encode_pieces(list(index)[known:])
+            new = self.vocabulary.encode_pieces(newest(index, len(index) - known))
             self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in new], np.int64)])
             self.flat = np.concatenate([self.flat, *new])
             self.starts = np.cumsum(self.sizes) - self.sizes

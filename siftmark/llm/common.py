@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def newest(index: dict, n: int) -> list:
+    """The n keys that a dict got last, in order, without walking through the others."""
+    return list(islice(reversed(index), n))[::-1]
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of each node of edges (a, b: long): root is the smallest node that can be reached.
 
