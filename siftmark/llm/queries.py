@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, quality, secrets, sharding, simhash
+from . import ann, bpe, lines, merkle, mixing, quality, secrets, sharding, simhash, warc
+from .common import new_shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,14 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "log_weight")
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    found = warc.records(warc.read_archives(spark, path, with_payload=False))
+    page = lambda c: F.expr(f"try_cast(substring({c}, 11, length({c}) - 11) AS bigint)")
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +54,10 @@ def _spans(spans, kinds=None):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.against_edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     of = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -56,15 +69,27 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
 
 
+def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     done = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_importance_resampling, op3_simhash_pivots, op4_sharding, op5_mixing, op7_secrets, op8_fuzzy_lines, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_importance_resampling, op2_warc_salvage, op3_simhash_pivots, op4_sharding, op5_mixing,
+    op6_merkle, op7_secrets, op8_fuzzy_lines, op9_anisotropic_search, op10_bpe,
+)}
 
 ORACLE: dict[str, str] = {
+    "op2_warc_salvage": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+ f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN p.page_id <> f.first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest""",
     # Shards take turns; the state is each shard's next preference and each slot's owner.
     "op4_sharding": f"""
 WITH RECURSIVE n(slots, shards) AS (SELECT {sharding.SLOTS}, {sharding.SHARDS}),
