@@ -1,7 +1,7 @@
 """The registered queries of the engine and the SQL that says the same, by family."""
 
-from . import contract, fidelity, scalars, statistics
+from . import contract, fidelity, graph, scalars, statistics
 
-_FAMILIES = (scalars, contract, fidelity, statistics)
+_FAMILIES = (scalars, contract, fidelity, statistics, graph)
 QUERIES = {name: f for family in _FAMILIES for name, f in family.QUERIES.items()}
 ORACLE = {name: sql for family in _FAMILIES for name, sql in family.ORACLE.items()}
