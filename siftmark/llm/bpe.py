@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import newest, texts
+from .common import Codes, texts
 
 NONE = np.int32(2**31 - 1)
 CELLS = 1 << 20  # of a matrix
@@ -146,7 +146,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Codes()
         self.flat, self.sizes, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, batch: list[str]) -> Iterator[np.ndarray]:
@@ -154,9 +154,9 @@ class Encoder:
             self.forget()
         index, known, places = self.index, len(self.index), []
         for text in batch:
-            places.append(np.array([index.setdefault(p, len(index)) for p in self.split(text)], np.int64))
+            places.append(np.array(list(map(index.__getitem__, self.split(text))), np.int64))
         if len(index) > known:
-            new = self.vocabulary.encode_pieces(newest(index, len(index) - known))
+            new = self.vocabulary.encode_pieces(index.newest(len(index) - known))
             self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in new], np.int64)])
             self.flat = np.concatenate([self.flat, *new])
             self.starts = np.cumsum(self.sizes) - self.sizes

@@ -39,9 +39,16 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def newest(index: dict, n: int) -> list:
-    """The n keys that a dict got last, in order, without walking through the others."""
-    return list(islice(reversed(index), n))[::-1]
+class Codes(dict):
+    """Numbers words in the order in which they come: list(map(codes.__getitem__, words))."""
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def newest(self, n: int) -> list:
+        """The n words that came last, in order, without walking through the others."""
+        return list(islice(reversed(self), n))[::-1]
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
