@@ -1,7 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Each text's words and word pairs are hashed into buckets. Two bag-of-n-grams models are counted, one over texts
-labelled as target and one over all of them; a text's log weight is the sum of its n-grams' log ratios. The sample,
+labelled as target and one over all of them; a text's log weight is the sum of its n-grams' log ratios. Models are
+kept for groups of languages, so that a language which few labelled texts happen to have isn't taken for poor text. The sample,
 without replacement and in proportion to the weights, is the k largest of log weight plus Gumbel noise.
 """
 
@@ -14,9 +15,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, newest, texts, uniform63
+from .common import Codes, cut, texts, uniform63
 
-BUCKETS = 1 << 15
+BITS = 14
+BUCKETS = 1 << BITS
+GROUPS = 8  # of languages, by hash
+PRIOR = 200.0  # counts at the raw rate that each bucket of the target model begins with
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MOST_LABELS = 100_000  # labelled rows that the target model is fitted on, about
 
@@ -25,31 +29,31 @@ class Grams:
     """Buckets of words and of pairs of words; a word followed by itself counts as one kind of pair, whichever it is."""
 
     def __init__(self):
-        self.index, self.array = {}, np.empty(0, np.uint64)
+        self.index, self.array = Codes(), np.empty(0, np.uint64)
 
     def buckets(self, text: str) -> np.ndarray:
         if len(self.index) > 500_000:
             self.__init__()
         index, known = self.index, len(self.index)
-        ids = np.array([index.setdefault(w, len(index)) for w in TOKEN.findall(text.lower())], np.int64)
+        ids = np.array(list(map(index.__getitem__, TOKEN.findall(text.lower()))), np.int64)
         if not len(ids):
             return ids
         if len(index) > known:
-            new = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in newest(index, len(index) - known)]
+            new = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in index.newest(len(index) - known)]
             if len(index) > len(self.array):
                 self.array = np.resize(self.array, max(1024, 2 * len(index)))
             self.array[known : len(index)] = new
         h = self.array[ids]
         pair = np.where(h[:-1] == h[1:], np.uint64(1), h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
         pair ^= pair >> np.uint64(29)
-        return np.concatenate([h, pair * np.uint64(0x165667B19E3779F9)]).astype(np.uint64) >> np.uint64(64 - 15)
+        return np.concatenate([h, pair * np.uint64(0x165667B19E3779F9)]).astype(np.uint64) >> np.uint64(64 - BITS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams, counts = Grams(), np.zeros((2, BUCKETS), np.int64)
+    grams, counts = Grams(), np.zeros((2, GROUPS * BUCKETS), np.int64)
     for batch in batches:
-        for target, text in zip(batch.column(0).to_pylist(), texts(batch)):
-            found = grams.buckets(text).astype(np.int64)
+        for target, group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch)):
+            found = grams.buckets(text).astype(np.int64) + group * BUCKETS
             np.add.at(counts[0], found, 1)
             if target:
                 np.add.at(counts[1], found, 1)
@@ -66,29 +70,40 @@ def target_ids(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
 
 
 def fit(docs: DataFrame, targets: DataFrame) -> list[float]:
-    """The log ratio of each bucket: target model over raw model, each with one added to every count.
+    """The log ratio of each bucket: target model over raw model.
 
+    The target model is smoothed towards the raw one: with E the count that a bucket would have in the target texts of
+    its group at the raw rate, its ratio is (count + PRIOR) / (E + PRIOR), so buckets that few target texts could show
+    say little.
     targets (doc_id) must be bounded, as target_ids() makes it: it is broadcast. The raw model counts every row.
-    The result has BUCKETS numbers, whatever the data; they are all that reaches the driver.
+    The result has GROUPS * BUCKETS numbers, whatever the data; they are all that reaches the driver.
     """
     flag = targets.select(F.col("doc_id").alias("_target")).distinct()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(flag), F.col("doc_id") == F.col("_target"), "left")
-    counts = rows.select(F.col("_target").isNotNull().alias("target"), "text").mapInArrow(_count, "bucket int, n_raw long, n_target long")
+    rows = docs.select("doc_id", group_of(docs).alias("_group"), F.col("text").cast("string").alias("text")).join(F.broadcast(flag), F.col("doc_id") == F.col("_target"), "left")
+    counts = rows.select(F.col("_target").isNotNull().alias("target"), "_group", "text").mapInArrow(_count, "bucket int, n_raw long, n_target long")
     counts = counts.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target")).collect()
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, target = np.zeros(GROUPS * BUCKETS), np.zeros(GROUPS * BUCKETS)
     for r in counts:
-        raw[r["bucket"]] += r["n_raw"]
-        target[r["bucket"]] += r["n_target"]
-    return (np.log(target / target.sum()) - np.log(raw / raw.sum())).tolist()
+        raw[r["bucket"]] = r["n_raw"]
+        target[r["bucket"]] = r["n_target"]
+    raw, target = raw.reshape(GROUPS, -1), target.reshape(GROUPS, -1)
+    expected = raw / np.maximum(1.0, raw.sum(1, keepdims=True)) * target.sum(1, keepdims=True)
+    return np.log((target + PRIOR) / (expected + PRIOR)).ravel().tolist()
+
+
+def group_of(docs: DataFrame) -> Column:
+    """A row's group of languages, from its column lang; without one, all rows are one group."""
+    return F.pmod(F.xxhash64("lang"), F.lit(GROUPS)).cast("int") if "lang" in docs.columns else F.lit(0)
 
 
 def _score(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, ratios = Grams(), np.array(shared.value)
         for batch in batches:
-            weights = [float(ratios[grams.buckets(t).astype(np.int64)].sum()) for t in texts(batch)]
-            k = batch.schema.get_field_index("log_weight")
-            yield pa.RecordBatch.from_arrays([pa.array(weights, pa.float64()) if i == k else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
+            groups = batch.column(batch.num_columns - 1).to_pylist()  # the last column, _group, is used up here
+            weights = [float(ratios[grams.buckets(t).astype(np.int64) + g * BUCKETS].sum()) for g, t in zip(groups, texts(batch))]
+            columns = batch.columns[:-2] + [pa.array(weights, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return work
 
@@ -97,7 +112,7 @@ def with_weights(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """docs with a column log_weight (replaced, if there is one): 0 for texts without words."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     rows = docs.drop("log_weight").withColumn("log_weight", F.lit(None).cast("double"))
-    return rows.mapInArrow(_score(shared), rows.schema)
+    return rows.select("*", group_of(docs).alias("_group")).mapInArrow(_score(shared), rows.schema)
 
 
 def noisy(log_weight: Column, doc_id: Column, seed: int = 0) -> Column:
@@ -135,7 +150,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_labe
     both = labels.groupBy("doc_id").agg((F.min("quality") == 1).cast("int").alias("good"))
     share = both.agg(F.avg("good")).first()[0]
     ratios = fit(docs, target_ids(labels, most_labels))
-    scored = with_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ratios).select("doc_id", "log_weight")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["lang"] if "lang" in docs.columns else []))
+    scored = with_weights(narrow, ratios).select("doc_id", "log_weight")
     scored = cut(scored.withColumn("key", noisy(F.col("log_weight"), F.col("doc_id"), seed)))
     if k is None:
         k = round(scored.agg(F.sum(F.least(F.lit(1.0), F.lit(share or 0.0) * F.exp(F.least(F.col("log_weight"), F.lit(50.0)))))).first()[0] or 0)
