@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, blocks: in
     return rows.join(joined.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """docs with one document of each group: that with the smallest doc_id. Rows without doc_id stay (nothing
     tells them apart), and so do all rows that carry the kept doc_id."""
     gone = near_duplicates(docs, words, radius).where("doc_id <> component_id").select("doc_id").distinct()

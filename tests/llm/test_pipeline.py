@@ -32,9 +32,9 @@ def test_stages_one_after_another(spark, tmp_path):
     assert all(n == 1 for form, n in seen.items() if len(form.split()) >= 5)
     assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
     before, after = kept["SimHash near-dedup"]
-    fp = [r["fp"] & (2**64 - 1) for r in simhash.fingerprints(after, 5).collect()]
+    fp = [r["fp"] & (2**64 - 1) for r in simhash.fingerprints(after, 3).collect()]
     assert all((a ^ b).bit_count() > 3 for i, a in enumerate(fp) for b in fp[:i])
-    all_fp = [r["fp"] & (2**64 - 1) for r in simhash.fingerprints(before, 5).collect()]
+    all_fp = [r["fp"] & (2**64 - 1) for r in simhash.fingerprints(before, 3).collect()]
     assert all(min((a ^ b).bit_count() for b in fp) <= 9 for a in all_fp)
     before, after = kept["mixing sources to target weights"]
     texts = {(r["doc_id"], r["text"]) for r in before.collect()}
