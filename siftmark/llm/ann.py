@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, uniform63
+from .hamming import runs
 
 CENTRES = 16
 FIT_ROWS = 10_000  # vectors on which the codebooks are fitted, about; every vector is indexed
@@ -103,29 +104,22 @@ def valid(embedding: Column) -> Column:
     return embedding.isNotNull() & fine & F.exists(embedding, lambda x: x != 0)
 
 
-def _index(shared, seed: int):
-    """Blocks (shard, ids, codes, vectors) of rows (vec_id, embedding)."""
+def _index(shared):
+    """Blocks (shard, ids, codes, vectors) of rows (shard, vec_id, embedding) sorted by shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, eta = shared.value
-        held: list[pa.RecordBatch] = []
 
-        def block() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks()
+        def block(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
             ids = rows["vec_id"].to_numpy()
             x = rows["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
             codes = np.concatenate([pack(assign(_padded(x[k : k + 2048]), centres, eta)) for k in range(0, len(x), 2048)])
-            return pa.record_batch([pa.array([a.tobytes()], pa.binary()) for a in (ids, codes, x.astype(np.float32))], names=["ids", "codes", "vectors"])
+            return pa.record_batch([pa.array([rows["shard"][0].as_py()], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (ids, codes, x.astype(np.float32))]], names=["shard", "ids", "codes", "vectors"])
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(k, BLOCK)
-                if held and sum(b.num_rows for b in held) + part.num_rows > BLOCK:
-                    yield block()
-                    held.clear()
-                held.append(part)
-        if sum(b.num_rows for b in held):
-            yield block()
+        for rows, starts, _, _ in runs(batches, lambda t: [t["shard"].to_numpy()], BLOCK):
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+                yield block(rows.slice(s, e - s))
 
     return work
 
@@ -165,7 +159,7 @@ def _search(shared, dim: int, k: int, rerank: int):
     return work
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, rerank: int = 100, threshold: float = 0.2, shards: int = 8, fit_rows: int = FIT_ROWS, seed: int = 0) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, rerank: int = 200, threshold: float = 0.2, shards: int = 16, fit_rows: int = FIT_ROWS, seed: int = 0) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of each row of vectors (vec_id long, embedding) for which
     `queries` holds: largest inner product first, ties to the smaller vec_id, never the row's own vec_id.
 
@@ -189,9 +183,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, rerank: int = 100,
 
     copies = Window.partitionBy(F.xxhash64("embedding"), F.hash("embedding")).orderBy("vec_id")
     base = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "embedding")
-    index = base.mapInArrow(_index(shared, seed), "ids binary, codes binary, vectors binary").withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
+    base = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "embedding").repartition(shards, "shard").sortWithinPartitions("shard")
+    index = base.mapInArrow(_index(shared), "shard int, ids binary, codes binary, vectors binary")
     asked = rows.where(queries).repartition(shards).mapInArrow(_query_blocks, "query_ids binary, queries binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = asked.join(index, "shard").select("query_ids", "queries", "ids", "codes", "vectors")
+    met = asked.repartition(shards, "shard").join(index.repartition(shards, "shard"), "shard").select("query_ids", "queries", "ids", "codes", "vectors")
     found = met.mapInArrow(_search(shared, dim, k, rerank), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
