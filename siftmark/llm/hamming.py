@@ -42,11 +42,11 @@ def masks(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - radius)]
 
 
-def blocks_for(n: int, radius: int, slack: int = 0) -> int:
-    """The fewest blocks whose keys have about as many values as there are fingerprints, or 2**slack times fewer; each
-    number of blocks finds the same pairs, fewer make fewer rows and longer runs."""
+def blocks_for(n: int, radius: int) -> int:
+    """The fewest blocks whose keys have about as many values as there are fingerprints; each number of blocks finds
+    the same pairs, fewer make fewer rows and longer runs."""
     blocks = radius + 1
-    while 64 * (blocks - radius) / blocks < np.log2(max(2, n)) - slack and blocks < radius + 5:
+    while 64 * (blocks - radius) / blocks < np.log2(max(2, n)) and blocks < radius + 5:
         blocks += 1
     return blocks
 

@@ -341,7 +341,7 @@ def test_lines_equal_brute_force(spark):
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, rows), most=3).collect()}
     occ = [(k, i, f) for k, t in sorted(rows) for i, x in enumerate(t.split("\n")) if len((f := lines.normalise(x)).split()) >= 5]
     forms = sorted({o[2] for o in occ})
-    fp = lines.fingerprints(*lines.Words().lines(forms))
+    fp = lines.fingerprints(*lines.Words().lines("\n".join(forms)))
     pairs = [(i, j) for i in range(len(forms)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 3 and lines.similar(forms[i], forms[j], 0.8)]
     group, seen, gone = dict(zip(forms, union_find(len(forms), pairs))), set(), defaultdict(set)
     for k, i, f in occ:
@@ -446,3 +446,15 @@ def test_secret_digests(spark):
         base = ",".join(s for s in r["spans"].split(",") if s and not s.startswith("checked"))
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert r["n_assign"] + r["n_access"] + r["n_hex"] == len([s for s in base.split(",") if s])
+
+
+def test_word_hashes_follow_the_normal_form():
+    texts = ["The cat, the CAT.\n\nÉté -- été!\tx_1\r\nfoo-bar \x0b foobar", "", "\n", "... !!!", "a" * 70_000 + " b"]
+    seen, w = {}, lines.Words()
+    for text in texts:
+        hashes, long, sizes = w.lines(text)
+        forms = [lines.normalise(x).split(" ") if lines.normalise(x) else [] for x in text.split("\n")]
+        assert [len(f) for f in forms] == sizes.tolist()
+        for word, h, votes in zip([x for f in forms for x in f], hashes.tolist(), long.tolist(), strict=True):
+            assert seen.setdefault(word, h) == h and votes == (len(word) >= 4)
+    assert len(set(seen.values())) == len(seen)
