@@ -116,7 +116,7 @@ def p20_admission(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p21_budget(spark: SparkSession, sf: str) -> DataFrame:
-    v = view(spark, sf, "v8").withColumn("suma", F.round(F.col("metrica_a") * 100 + F.col("metrica_b") * 100, 3)).withColumn("medido", F.when(F.col("n") % 2 == 0, F.round(F.col("metrica_a") * 190, 3)))
+    v = view(spark, sf, "v8").withColumn("suma", F.round(F.col("metrica_a") * 100 + F.col("metrica_b") * 100, 7)).withColumn("medido", F.when(F.col("n") % 2 == 0, F.round(F.col("metrica_a") * 190, 7)))
     total = F.coalesce("medido", "suma")
     return v.select("ajuste", "doc", total.alias("total"), (total <= 950).alias("cumple_techo"), (total <= 1000).alias("cabe"), F.col("medido").isNull().alias("supuesta"))
 
@@ -166,7 +166,7 @@ SELECT doc_id, CAST(n AS INTEGER) AS tokens, round(media, 6)::DOUBLE AS media, r
     "p17_collapse": oracle("v5", "SELECT doc_id, round(cer, 6)::DOUBLE AS cer, CASE WHEN length(sal) = 0 THEN 'SILENCIO' WHEN length(sal) <= 25 AND cer >= 90 THEN 'ATOMICA' WHEN length(sal) > 1.3 * length(ref) / 2 AND cer > 50 THEN 'ALUCINACION' ELSE 'normal' END AS clase FROM (SELECT *, CASE WHEN length(ref) > 0 THEN 100.0 * levenshtein(ref, sal) / length(ref) END AS cer FROM (SELECT doc_id, ref, substr(ref, CAST(doc_id % 7 AS INT) + 1, CAST(doc_id % 4 * 120 AS INT)) AS sal FROM (SELECT doc_id, " + _NORM["n10"].replace("lower(x)", "lower(ref)") + " AS ref FROM v5)))"),
     "p19_cost_line": oracle("v3", f"SELECT l_orderkey, l_linenumber, round({_MPX}, 6)::DOUBLE AS coste, round(CASE WHEN libre - 256.0 >= 1533.0 THEN -1.0 WHEN libre - 256.0 < 428.0 THEN 0.0 ELSE (libre - 256.0 - 428.0) / 235.0 END, 6)::DOUBLE AS mpx_max FROM (SELECT *, {_FREE} AS libre FROM v3) WHERE libre IS NOT NULL UNION ALL SELECT l_orderkey, l_linenumber, round({_MPX}, 6)::DOUBLE, NULL FROM v3 WHERE l_linenumber >= 7"),
     "p20_admission": oracle("v3", f"SELECT l_orderkey, l_linenumber, CASE WHEN libre IS NULL OR {_MPX} + 256.0 <= libre THEN 'admitir' WHEN {_MPX} + 256.0 <= libre + l_linenumber * 150.0 THEN 'reciclar' ELSE 'rechazar' END AS decision FROM (SELECT *, {_FREE} AS libre FROM v3)"),
-    "p21_budget": oracle("v8", "SELECT ajuste, doc, coalesce(medido, suma) AS total, coalesce(medido, suma) <= 950 AS cumple_techo, coalesce(medido, suma) <= 1000 AS cabe, medido IS NULL AS supuesta FROM (SELECT *, round(metrica_a * 100 + metrica_b * 100, 3) AS suma, CASE WHEN n % 2 = 0 THEN round(metrica_a * 190, 3) END AS medido FROM v8)"),
+    "p21_budget": oracle("v8", "SELECT ajuste, doc, coalesce(medido, suma) AS total, coalesce(medido, suma) <= 950 AS cumple_techo, coalesce(medido, suma) <= 1000 AS cabe, medido IS NULL AS supuesta FROM (SELECT *, round(metrica_a * 100 + metrica_b * 100, 7) AS suma, CASE WHEN n % 2 = 0 THEN round(metrica_a * 190, 7) END AS medido FROM v8)"),
     "s7_last_pass": oracle("v3", "SELECT destino, count(*) FILTER (prof_ent <> 16) AS celdas, count(*) FILTER (prof_ent = 16) AS apartadas, round(sum(obtenido_bps) FILTER (prof_ent <> 16), 3) AS bps FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, destino ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS r FROM v3) WHERE r = 1 GROUP BY destino"),
     "s9_job_store": oracle("v12", "SELECT job, arg_max(estado, row(ts, event_id)) AS estado, count(*) AS eventos FROM v12 GROUP BY job"),
 }
