@@ -351,6 +351,33 @@ def test_lines_equal_brute_force(spark):
     assert len(pairs) > 5 and got == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in rows}
 
 
+def test_banded_lines_find_what_edit_similarity_links(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    for i in range(150):  # one word in ten is another
+        w = [word() for _ in range(20)]
+        v = [word() if k in (3, 14) else x for k, x in enumerate(w)]
+        rows += [(7000 + 2 * i, " ".join(w)), (7001 + 2 * i, " ".join(v))]
+    rows += [(8000 + i, " ".join(["one", "stem", "of", "many", "lines", "that", "have", "their", "number", "at", "the", "end", str(i)])) for i in range(90)]
+    out = lines.dedup_lines(docs_of(spark, rows), most=40, bands=lines.BANDS).collect()
+    got = {x["doc_id"]: x["text"] for x in out}
+    occ = [(k, i, f) for k, t in sorted(rows) for i, x in enumerate((t or "").split("\n")) if len((f := lines.normalise(x)).split()) >= 5]
+    forms = sorted({o[2] for o in occ}, key=len)
+    near = lines.similar_among(0.8)
+    pairs = [(i, i + 1 + j) for i in range(len(forms)) for j in near(forms[i], [f for f in forms[i + 1 :] if len(f) <= len(forms[i]) / 0.8 + 1])]
+    group, seen, gone = dict(zip(forms, union_find(len(forms), pairs))), set(), set()
+    for k, i, f in occ:
+        if group[f] in seen:
+            gone.add((k, i))
+        seen.add(group[f])
+    left = Counter(lines.normalise(x) for t in got.values() for x in (t or "").split("\n"))
+    stayed = sum(left[f] for f in forms) - len(set(group.values()))
+    assert len(gone) > 200 and 0 <= stayed <= 0.03 * len(gone)
+    assert sum(x["n_dropped"] for x in out) == len(gone) - stayed
+    assert [k for k in range(8000, 8090) if got[k]] == [8000]
+
+
 def test_lines_take_awkward_rows(spark):
     d = docs_of(spark, awkward())
     out = lines.dedup_lines(d).collect()
