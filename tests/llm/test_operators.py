@@ -378,6 +378,16 @@ def test_banded_lines_find_what_edit_similarity_links(spark):
     assert [k for k in range(8000, 8090) if got[k]] == [8000]
 
 
+def test_all_words_of_a_line_tell_it(spark):
+    r = random.Random(9)
+    rows, long = [], ["mountains", "rivers"]
+    for i in range(60):  # of two long words one changes, all short ones stay
+        w = ["".join(r.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(30)]
+        rows += [(2 * i, " ".join([*w, *long])), (2 * i + 1, " ".join([*w, "mountains", "valley"]))]
+    out = {x["doc_id"]: x["n_dropped"] for x in lines.dedup_lines(docs_of(spark, rows), bands=lines.BANDS).collect()}
+    assert out == {k: k % 2 for k in range(120)}
+
+
 def test_lines_take_awkward_rows(spark):
     d = docs_of(spark, awkward())
     out = lines.dedup_lines(d).collect()
