@@ -495,3 +495,11 @@ def test_word_hashes_follow_the_normal_form():
         for word, h, votes in zip([x for f in forms for x in f], hashes.tolist(), long.tolist(), strict=True):
             assert seen.setdefault(word, h) == h and votes == (len(word) >= 4)
     assert len(set(seen.values())) == len(seen)
+
+
+def test_word_hashes_pass_over_unicode_punctuation_and_space():
+    same = ["dont say hello to me¿ ever", "don’t say “hello” to\u00a0me — ever…", "¿don't say «hello»\u2003to me –\u202fever?", "don't\u3000say 「hello」 to me。 e\u00adver\u2028"]
+    assert {lines.normalise(x) for x in same} == {"dont say hello to me ever"}
+    hashes, _, sizes = lines.Words().lines("\n".join([*same, "İ ſ — ñandú हिन्दी"]))
+    assert sizes.tolist() == [6, 6, 6, 6, 4] and len(set(map(tuple, hashes[:24].reshape(4, 6).tolist()))) == 1
+    assert lines.normalise("हिन्दी — ñandú") == "हिन्दी ñandú"
