@@ -66,7 +66,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_table(spark, sf_dir, "documents"), bands=lines.BANDS).select("doc_id", "text", "n_dropped")
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"), least_words=0, bands=lines.BANDS).select("doc_id", "text", "n_dropped")
 
 
 def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:

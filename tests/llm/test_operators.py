@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -388,6 +389,18 @@ def test_all_words_of_a_line_tell_it(spark):
     assert out == {k: k % 2 for k in range(120)}
 
 
+def test_short_lines_and_those_without_spaces_take_part(spark):
+    long = "".join(chr(0x4E00 + 7 * i % 3000) for i in range(200))
+    text = f"A Heading\n\n{long}\n---\nx\n  \n日本\n***"
+    rows = [(1, text), (2, text), (3, f"a heading!\n{long[:50]}好{long[51:]}\n--- \nother\n\n===")]
+    out = {x["doc_id"]: x["text"] for x in lines.dedup_lines(docs_of(spark, rows), least_words=0, bands=lines.BANDS).collect()}
+    assert out == {1: text, 2: "\n  ", 3: "other\n\n==="}
+    assert {x["doc_id"]: x["n_dropped"] for x in queries.op8_fuzzy_lines(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = Counter(f for x in corpus_pipeline.without_repeated_lines(spark, docs, SF).collect() for t in x["text"].split("\n") if (f := lines.normalise(t)))
+    assert max(seen.values()) == 1
+
+
 def test_lines_take_awkward_rows(spark):
     d = docs_of(spark, awkward())
     out = lines.dedup_lines(d).collect()
