@@ -14,10 +14,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import connected_components, cut, texts
 from .hamming import close_forest
 
 SEED = 42
+ROWS = 6  # of minima that agree in a band, in drop_similar
 
 
 def majority(hashes: np.ndarray, starts: np.ndarray, slice_rows: int = 1 << 17) -> np.ndarray:
@@ -107,3 +109,64 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> Da
     tells them apart), and so do all rows that carry the kept doc_id."""
     gone = near_duplicates(docs, words, radius).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def _sets(words: int, bands: int):
+    """(doc_id, row, id, keys) of rows (doc_id, row, text): id is of the set of shingles, keys of its bands of minima."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for text in texts(batch):
+                found = np.unique(np.array(shingle_hashes(text, words), np.uint64))
+                ids.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
+                k = minhash.band_keys(minhash.mixed(found), np.array([0]), bands, ROWS)[0] if len(found) else np.empty(0, np.int32)
+                keys.append(((k.astype(np.int64) & 0xFFFFFFFF) | np.arange(len(k)) << 32).tolist())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(keys, schema.field("keys").type)], schema=schema)
+
+    return work
+
+
+def _bodies(words: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in texts(batch)]
+            yield pa.record_batch([batch.column(0), batch.column(0), pa.array(bodies, pa.binary())], names=["id", "node", "body"])
+
+    return work
+
+
+def jaccard_among(least: float):
+    """near(body, bodies): the places of the sets (sorted hashes, as bytes) whose Jaccard similarity to body reaches least."""
+
+    def near(body: bytes, bodies: list[bytes]) -> list[int]:
+        a, out = np.frombuffer(body, np.uint64), []
+        for k, other in enumerate(bodies):
+            b = np.frombuffer(other, np.uint64)
+            if min(len(a), len(b)) >= least * max(len(a), len(b)):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= least * (len(a) + len(b) - both) - 1e-9:
+                    out.append(k)
+        return out
+
+    return near
+
+
+def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, most: int = 256) -> DataFrame:
+    """docs with one document of each group, as drop_near_duplicates; linked are documents whose sets of shingles of `words`
+    words have a Jaccard similarity of `least` or more, verified exactly. Candidates meet in one of `bands` bands of
+    ROWS minima: at 0.8, all but one in a thousand do. most: documents that one task compares at a time."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = cut(keyed.mapInArrow(_sets(words, bands), "doc_id long, row long, id long, keys array<long>"))
+    nodes = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
+    once = rows.dropDuplicates(["id"]).select(F.explode("keys").alias("key"), "id")
+    pairs, tiled = minhash.candidates(once, most)
+    every = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(tiled.select("id")).distinct()
+    text = keyed.join(nodes.join(every, "id").select("id", "row"), "row").dropDuplicates(["id"]).select("id", "text")
+    content = cut(text.mapInArrow(_bodies(words), "id long, node long, body binary"))
+    parts = connected_components(minhash.verified(pairs, tiled, content, jaccard_among(least), "long"))
+    joined = nodes.join(parts, nodes.id == parts.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    kept = joined.groupBy("root").agg(F.min("least").alias("kept"))
+    gone = rows.join(joined.join(kept, "root").select("id", "kept"), "id").where("doc_id <> kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against a brute-force version or its operator's own tests, on its own input."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -47,3 +48,24 @@ def test_stages_one_after_another(spark, tmp_path):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_go_by_their_shingles(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    texts = {}
+    for i in range(60):
+        w = [word() for _ in range(120)]
+        v = [word() if k % 60 == i % 60 else x for k, x in enumerate(w)]  # two words of 120: 0.8 or a little more
+        u = [word() if k % 12 == 0 else x for k, x in enumerate(w)]  # far less
+        texts |= {3 * i: " ".join(w), 3 * i + 1: "\n".join([" ".join(v[k : k + 4]) for k in range(0, 120, 4)]), 3 * i + 2: " ".join(u)}
+    base = [word() for _ in range(300)]
+    texts |= {1000 + i: " ".join([*base, str(i)]) for i in range(50)}
+    texts |= {2000: "", 2001: "two words", 2002: "Two  words"}
+    sets = {k: set(simhash.shingle_hashes(t, 5)) for k, t in texts.items()}
+    gone = {b for b in sets for a in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and sets[a]}
+    docs = spark.createDataFrame([(k, t, "s") for k, t in texts.items()], "doc_id long, text string, source string")
+    kept = {x["doc_id"] for x in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()}
+    assert len(gone) > 100 and kept == set(texts) - gone
+    assert simhash.drop_similar(docs.where("false")).count() == 0
+    assert {x["doc_id"] for x in simhash.drop_similar(docs, most=8).collect()} == kept
