@@ -1,7 +1,8 @@
 """Sources and sinks: folders of files, probe documents, run logs, pivot tables."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +32,34 @@ def census(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str, n: int = LONG_HEAD, most_bytes: int = 1 << 28) -> DataFrame:
-    """(path, size, head): the first n bytes. Spark reads whole files for it, so larger ones are left out by size first;
-    the filter on length is pushed to the listing."""
+    """(path, size, head, reason): the first n bytes of every file. Spark reads whole files for it, so of larger ones than
+    most_bytes tasks read only the beginning; the filters on length are pushed to the listing. Where a task can't open a
+    large file (another scheme than file), head is null and reason says why."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= most_bytes).select("path", F.col("length").alias("size"), F.substring("content", 1, n).alias("head"))
+    size = F.col("length").alias("size")
+    small = files.where(F.col("length") <= most_bytes).select("path", size, F.substring("content", 1, n).alias("head"), F.lit(None).cast("string").alias("reason"))
+    large = files.where(F.col("length") > most_bytes).select("path", size)
+    return small.unionByName(large.mapInArrow(_beginnings(n), "path string, size long, head binary, reason string"))
+
+
+def _beginnings(n: int):
+    def begin(path: str) -> tuple[bytes | None, str | None]:
+        scheme, colon, rest = path.partition(":")
+        if colon and scheme != "file":
+            return None, f"a large file of scheme {scheme}"
+        try:
+            with open("/" + rest.lstrip("/") if colon else path, "rb") as f:
+                return f.read(n), None
+        except OSError as e:
+            return None, str(e)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [begin(p) for p in batch.column(0).to_pylist()]
+            heads, reasons = pa.array([h for h, _ in found], pa.binary()), pa.array([r for _, r in found], pa.string())
+            yield pa.record_batch([batch.column(0), batch.column(1), heads, reasons], names=["path", "size", "head", "reason"])
+
+    return work
 
 
 def decoded(content: Column) -> Column:

@@ -91,3 +91,12 @@ def test_orphan_jobs(spark, tmp_path):
         assert q.awaitTermination(90)
         beat([(3, f"2024-01-01 0{h}:00:00", "completed")])
     assert [(r["job"], r["estado"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "failed")]
+
+
+def test_headers_of_large_files_are_read_too(spark, tmp_path):
+    from siftmark.sources import files
+
+    (tmp_path / "a small.bin").write_bytes(b"GIF89a" + b"x" * 10)
+    (tmp_path / "a large.bin").write_bytes(b"\x1aE\xdf\xa3" + b"y" * 5000)
+    got = {r["path"].rsplit("/", 1)[1]: (r["size"], bytes(r["head"]), r["reason"]) for r in files.headers(spark, str(tmp_path), n=8, most_bytes=100).collect()}
+    assert got == {"a small.bin": (16, b"GIF89axx", None), "a large.bin": (5004, b"\x1aE\xdf\xa3yyyy", None)}
