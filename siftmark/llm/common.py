@@ -1,19 +1,22 @@
 """What several operators of this subpackage share: cutting lineage, Arrow batches, connected components."""
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HUB = 1000  # neighbours from which a node's edges aren't gathered by the node
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, which
+    they share as well."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(at)
     return at
 
@@ -23,12 +26,36 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that new_shared_path() named, on whatever file system it lies."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared folder, so that a lost executor takes nothing with it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, computed and kept as a table in the shared folder, and the table's path: to be read by column, or removed."""
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """names, each lengthened until none of `taken` is equal to it but for case."""
+    taken, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def uniform63(*parts: Column) -> Column:
     """A reproducible number from 0 to 2**60 - 1 from the parts' text; DuckDB computes the same from md5()."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
@@ -51,34 +78,48 @@ class Codes(dict):
         return list(islice(reversed(self), n))[::-1]
 
 
+def _with_least(edges: DataFrame, n: int, of: DataFrame) -> DataFrame:
+    """edges (a, b) with m, the least b that `of` (a, m, degree) has for a.
+
+    Nodes of HUB neighbours or more, at least a hundred-thousandth of all n edges each, are few whatever the data: they
+    are broadcast, so that a hub's edges stay where they are. The others meet their least by a shuffle.
+    """
+    hubs = of.where(F.col("degree") >= max(HUB, n // 50_000)).select("a", "m")
+    hot = edges.join(F.broadcast(hubs), "a")
+    return hot.unionByName(edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(of.select("a", "m"), "a"))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of each node of edges (a, b: long): root is the smallest node that can be reached.
+    """(node, root) of each node of edges (a, b of one type): root is the smallest node that can be reached.
 
     Alternates the large-star and small-star steps: each round makes every node's neighbours point to the
     smallest one, so even long chains need a logarithmic number of rounds. The minima are taken by groupBy,
     which adds up before the shuffle, so a node with very many neighbours doesn't meet in one task. Each round
-    is checkpointed. No edges give no rows.
+    is a table in the shared folder, removed once the next one stands. No edges give no rows.
     """
+    spark = edges.sparkSession
 
-    def stars(e: DataFrame) -> DataFrame:
+    def stars(e: DataFrame, n: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("degree"))
+        large = _with_least(both, 2 * n, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a > b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        small = _with_least(down, n, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFF))).first())
 
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e)
+    e, path = written(e, "edges")
     before = state(e)
     for _ in range(most_rounds):
         if not before[0]:
             break
-        e = cut(stars(e))
+        e, newer = written(stars(e, before[0]), "edges")
+        remove(spark, path)
+        path = newer
         now = state(e)
         if now == before:
             break

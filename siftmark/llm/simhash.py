@@ -121,8 +121,7 @@ def _sets(words: int, bands: int):
             for text in texts(batch):
                 found = np.unique(np.array(shingle_hashes(text, words), np.uint64))
                 ids.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
-                k = minhash.band_keys(minhash.mixed(found), np.array([0]), bands, ROWS)[0] if len(found) else np.empty(0, np.int32)
-                keys.append(((k.astype(np.int64) & 0xFFFFFFFF) | np.arange(len(k)) << 32).tolist())
+                keys.append(minhash.sized(minhash.band_keys(minhash.mixed(found), np.array([0]), bands, ROWS), np.array([len(found)]))[0].tolist() if len(found) else [])
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(keys, schema.field("keys").type)], schema=schema)
 
     return work
@@ -161,7 +160,7 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int
     rows = cut(keyed.mapInArrow(_sets(words, bands), "doc_id long, row long, id long, keys array<long>"))
     nodes = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
     once = rows.dropDuplicates(["id"]).select(F.explode("keys").alias("key"), "id")
-    pairs, tiled = minhash.candidates(once, most)
+    pairs, tiled = minhash.candidates(once, most, least)
     every = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(tiled.select("id")).distinct()
     text = keyed.join(nodes.join(every, "id").select("id", "row"), "row").dropDuplicates(["id"]).select("id", "text")
     content = cut(text.mapInArrow(_bodies(words), "id long, node long, body binary"))
