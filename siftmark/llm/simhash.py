@@ -136,20 +136,16 @@ def _bodies(words: int):
     return work
 
 
-def jaccard_among(least: float):
-    """near(body, bodies): the places of the sets (sorted hashes, as bytes) whose Jaccard similarity to body reaches least."""
+def jaccard_pairs(least: float):
+    """linked(bodies, bodies): of each pair of sets (sorted hashes, as bytes), whether the Jaccard similarity reaches least."""
 
-    def near(body: bytes, bodies: list[bytes]) -> list[int]:
-        a, out = np.frombuffer(body, np.uint64), []
-        for k, other in enumerate(bodies):
-            b = np.frombuffer(other, np.uint64)
-            if min(len(a), len(b)) >= least * max(len(a), len(b)):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both >= least * (len(a) + len(b) - both) - 1e-9:
-                    out.append(k)
-        return out
+    def reaches(x: bytes, y: bytes) -> bool:
+        if min(len(x), len(y)) < least * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return both >= least * ((len(x) + len(y)) // 8 - both) - 1e-9
 
-    return near
+    return lambda xs, ys: [reaches(x, y) for x, y in zip(xs, ys)]
 
 
 def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, most: int = 256) -> DataFrame:
@@ -164,7 +160,7 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int
     every = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(tiled.select("id")).distinct()
     text = keyed.join(nodes.join(every, "id").select("id", "row"), "row").dropDuplicates(["id"]).select("id", "text")
     content = cut(text.mapInArrow(_bodies(words), "id long, node long, body binary"))
-    parts = connected_components(minhash.verified(pairs, tiled, content, jaccard_among(least), "long"))
+    parts = connected_components(minhash.verified(pairs, tiled, content, jaccard_pairs(least), "long"))
     joined = nodes.join(parts, nodes.id == parts.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     kept = joined.groupBy("root").agg(F.min("least").alias("kept"))
     gone = rows.join(joined.join(kept, "root").select("id", "kept"), "id").where("doc_id <> kept").select("doc_id").distinct()

@@ -454,12 +454,20 @@ def test_edit_distance_is_exact():
         return p[-1]
 
     r = random.Random(7)
+    pairs, want = [], []
     for _ in range(800):
         a, b = ("".join(r.choice("abc ") for _ in range(r.randint(0, 18))) for _ in range(2))
         for limit in (0, 3, 30):
             assert lines.edit_distance(a, b, limit) == min(slow(a, b), limit + 1)
         longer = max(len(a), len(b))
-        assert lines.similar(a, b, 0.8) == (slow(a, b) <= int(0.2 * longer + 1e-9))
+        if a and b:
+            pairs.append((a, b))
+            want.append((slow(a, b), longer))
+    wide = ["".join(r.choice("abcd") for _ in range(r.randint(1, 200))) for _ in range(60)]
+    pairs += zip(wide[::2], wide[1::2])
+    want += [(slow(a, b), max(len(a), len(b))) for a, b in zip(wide[::2], wide[1::2])]
+    assert lines.distances(*map(list, zip(*pairs))).tolist() == [d for d, _ in want]
+    assert lines.similar_pairs(0.8)(*map(list, zip(*pairs))) == [d <= int(0.2 * n + 1e-9) for d, n in want]
 
 
 # --- 9 search ---
