@@ -78,52 +78,55 @@ class Codes(dict):
         return list(islice(reversed(self), n))[::-1]
 
 
-def _with_least(edges: DataFrame, n: int, of: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, of: DataFrame, hub: int | None) -> DataFrame:
     """edges (a, b) with m, the least b that `of` (a, m, degree) has for a.
 
-    Nodes of HUB neighbours or more, at least a hundred-thousandth of all n edges each, are few whatever the data: they
-    are broadcast, so that a hub's edges stay where they are. The others meet their least by a shuffle.
+    Nodes of `hub` neighbours or more are broadcast, so that their edges stay where they are; the others meet their
+    least by a shuffle.
     """
-    hubs = of.where(F.col("degree") >= max(HUB, n // 50_000)).select("a", "m")
-    hot = edges.join(F.broadcast(hubs), "a")
-    return hot.unionByName(edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(of.select("a", "m"), "a"))
+    of_a = of.select("a", "m")
+    if hub is None:
+        return edges.join(of_a, "a")
+    hubs = of.where(F.col("degree") >= hub).select("a", "m")
+    return edges.join(F.broadcast(hubs), "a").unionByName(edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(of_a, "a"))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """(node, root) of each node of edges (a, b of one type): root is the smallest node that can be reached.
 
     Alternates the large-star and small-star steps: each round makes every node's neighbours point to the
     smallest one, so even long chains need a logarithmic number of rounds. The minima are taken by groupBy,
-    which adds up before the shuffle, so a node with very many neighbours doesn't meet in one task. Each round
-    is a table in the shared folder, removed once the next one stands. No edges give no rows.
+    which adds up before the shuffle; nodes of `hub` neighbours or more, and of a hundred-thousandth of all edges at
+    least, are so few that they are broadcast, and their edges aren't gathered. It ends when every node points to a
+    root. Each round is a table in the shared folder, removed once the next one stands. No edges give no rows.
     """
     spark = edges.sparkSession
 
-    def stars(e: DataFrame, n: int) -> DataFrame:
+    def state(e: DataFrame) -> tuple[int, bool, int]:
+        """(edges, whether all of them lead to roots, the most neighbours of a node)"""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        n, bad, most = nodes.agg(F.sum("up"), F.max(((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") > 0))).cast("int")), F.max(F.col("up") + F.col("down"))).first()
+        return n or 0, not bad, most or 0
+
+    def stars(e: DataFrame, hub: int | None) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("degree"))
-        large = _with_least(both, 2 * n, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both, least, hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a > b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-        small = _with_least(down, n, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = _with_least(down, least, hub).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFF))).first())
-
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, path = written(e, "edges")
-    before = state(e)
+    e, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most_rounds):
-        if not before[0]:
+        n, settled, most = state(e)
+        if settled:
             break
-        e, newer = written(stars(e, before[0]), "edges")
+        at = max(hub, n // 50_000)
+        e, newer = written(stars(e, at if most >= at else None), "edges")
         remove(spark, path)
         path = newer
-        now = state(e)
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
