@@ -21,8 +21,8 @@ MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 # Fixed value: a gzip member without content, in Latin-1.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 LEAST_BYTES = 100  # payloads from which copies become revisits
-RECORDS_A_FILE = 20_000
-MOST_BYTES = 1 << 29  # of one record
+FILE_BYTES = 1 << 28  # of an archive before compression; a longer record has a file of its own
+LARGE = 1 << 16  # bytes from which records are written apart, fewer to a file
 FIRST_LINE = re.compile(rb"WARC/1\.[01]\Z")
 DATE = "1970-01-01T00:00:00Z"  # pages carry no date
 
@@ -44,34 +44,46 @@ class Failed(Exception):
     pass
 
 
+class Finder:
+    """data.find() for places that only grow: what was found is remembered, so that each byte is searched once a mark."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def next(self, mark: bytes, at: int) -> int:
+        """Where mark stands next, from `at` on; the end if nowhere."""
+        since, found = self.known.get(mark, (0, -1))
+        if not since <= at <= found:
+            found = self.data.find(mark, at)
+            self.known[mark] = at, found = at, found if found >= 0 else len(self.data)
+        return found
+
+
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """A member's content and where it ends."""
-    d, out, pos, size = zlib.decompressobj(31), [], at, 0
+    d, out, pos = zlib.decompressobj(31), [], at
     view = memoryview(data)
     try:
         while not d.eof:
             if pos >= len(data):
                 raise Failed("member ends early")
-            out.append(d.decompress(view[pos : pos + 65536], MOST_BYTES))
+            out.append(d.decompress(view[pos : pos + 65536]))
             pos += 65536
-            size += len(out[-1])
-            if size >= MOST_BYTES:
-                raise Failed("member too large")
     except zlib.error:
         raise Failed("member is damaged") from None
     return b"".join(out), min(pos, len(data)) - len(d.unused_data)
 
 
-def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+def _parse(marks: Finder, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record that begins here; raises Failed unless all checks pass."""
-    head = data.find(END, at)
-    if head < 0 or head - at > 1 << 20:
-        raise Failed("headers don't end")
-    first, *lines = data[at:head].split(b"\r\n")
-    if not FIRST_LINE.match(first):
+    data, head = marks.data, marks.next(END, at)
+    line_end = data.find(b"\r\n", at, at + 16)
+    if line_end < 0 or not FIRST_LINE.match(data[at:line_end]):
         raise Failed("no version line")
+    if head == len(data):
+        raise Failed("headers don't end")
     headers: dict[str, str] = {}
-    for line in lines:
+    for line in data[line_end + 2 : head].split(b"\r\n"):
         name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise Failed("malformed header")
@@ -101,32 +113,26 @@ def payload_of(block: bytes) -> bytes:
     return block[head + 4 :] if block.startswith(b"HTTP/") and head >= 0 else block
 
 
-def _next_start(data: bytes, at: int) -> int:
-    """The next place that looks like a member or a version line, or the end."""
-    found = [data.find(MAGIC, at), data.find(VERSION, at)]
-    return min([x for x in found if x >= 0], default=len(data))
-
-
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """The records of an archive, compressed by the record, plain or both, and the gaps between them."""
-    pos, bad, why = 0, -1, ""
+    pos, bad, why, marks = 0, -1, "", Finder(data)
     while pos < len(data):
         try:
             if data.startswith(MAGIC, pos):
                 raw, end = _inflate(data, pos)
                 if raw:
-                    headers, block, whole = _parse(raw, 0)
+                    headers, block, whole = _parse(Finder(raw), 0)
                     if whole != len(raw):
                         raise Failed("member holds more than a record")
             elif data.startswith(VERSION, pos):
-                headers, block, end = _parse(data, pos)
+                headers, block, end = _parse(marks, pos)
                 raw = block or b"-"
             else:
                 raise Failed("neither a member nor a version line")
         except Failed as e:
             if bad < 0:
                 bad, why = pos, str(e)
-            pos = _next_start(data, pos + 1)
+            pos = min(marks.next(MAGIC, pos + 1), marks.next(VERSION, pos + 1))
             continue
         if bad >= 0:
             yield Gap(bad, pos, why)
@@ -176,16 +182,19 @@ def _read(with_payload: bool):
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Rows of kind 'record' or 'gap' of all archives below path; start and end are byte offsets in the file.
 
-    A task holds one file at a time: the writer bounds files by their records, and Spark refuses files beyond
-    spark.sql.sources.binaryFile.maxLength. Of a revisit, payload_digest and payload_bytes are those of the full
+    A task holds one file at a time: the writer bounds files by their bytes, and Spark refuses files beyond
+    spark.sql.sources.binaryFile.maxLength (2 GB). Neither headers nor members have a bound of their own. Of a revisit, payload_digest and payload_bytes are those of the full
     payload that its headers name; payload is null. An empty file gives no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(_read(with_payload), COLUMNS)
 
 
-def records(archive: DataFrame) -> DataFrame:
-    return archive.where("kind = 'record'").drop("kind", "reason")
+def records(archive: DataFrame, whole: bool = False) -> DataFrame:
+    """The records; with whole, a gap is an error instead of a row that isn't there."""
+    record = F.col("kind") == "record"
+    lost = F.raise_error(F.concat(F.lit("gap in "), "file", F.lit(": "), "reason")).cast("boolean")
+    return archive.where(F.when(record, True).otherwise(lost) if whole else record).drop("kind", "reason")
 
 
 def gaps(archive: DataFrame) -> DataFrame:
@@ -241,15 +250,26 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
 
-def write_archives(pages: DataFrame, path: str, compressed: bool = True, least_bytes: int = LEAST_BYTES, records_a_file: int = RECORDS_A_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, compressed: bool = True, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, large: int = LARGE) -> None:
     """Writes a record for each row of pages (page_id, url, html) to archives below path.
 
     Of pages with equal payloads (html in UTF-8; null: empty) of at least least_bytes bytes, that with the smallest
     page_id is a response and the others are revisits of it; shorter ones are all responses. Rows that repeat the
     smallest page_id are responses too; a row without page_id is a revisit unless all its copies lack one. Line
     breaks in a URL become spaces, without URL the header is left out. Other columns don't matter.
+
+    A file holds about file_bytes before compression at most: Spark rolls files by records, so pages of `large` bytes or
+    more (with their URL) are written apart, as many to a file as fit if all are as long as the longest.
     """
     rows = with_copies(pages, least_bytes)
+    size = F.col("n") + F.coalesce(F.octet_length("url"), F.lit(0))
+    longest = pages.agg(F.max(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)))).first()[0] or 0
+    _write(rows if longest < large else rows.where(size < large), path, compressed, max(1, file_bytes // (large + 1024)))
+    if longest >= large:
+        _write(rows.where(size >= large), path, compressed, max(1, file_bytes // (longest + 1024)))
+
+
+def _write(rows: DataFrame, path: str, compressed: bool, records_a_file: int) -> None:
     record = as_record(*[F.col(c) for c in ("page_id", "url", "payload", "digest", "n", "first")])
     if compressed:
         values = rows.select(record.cast("binary").alias("value")).mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -257,4 +277,4 @@ def write_archives(pages: DataFrame, path: str, compressed: bool = True, least_b
     else:  # the separator is the record's last line break
         values = rows.withColumn("value", record).select(F.expr("left(value, length(value) - 2)").alias("value"))
         options = {"lineSep": "\r\n"}
-    values.write.options(**options).option("maxRecordsPerFile", records_a_file).text(path)
+    values.write.mode("append").options(**options).option("maxRecordsPerFile", records_a_file).text(path)
