@@ -24,7 +24,7 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
-    found = warc.records(warc.read_archives(spark, path, with_payload=False))
+    found = warc.records(warc.read_archives(spark, path, with_payload=False), whole=True)
     page = lambda c: F.expr(f"try_cast(substring({c}, 11, length({c}) - 11) AS bigint)")
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
@@ -107,6 +107,7 @@ FROM (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHA
 JOIN fill f ON f.slot = d.slot""",
     "op5_mixing": f"""
 WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS key, source,
+  CAST('0x' || substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS row,
   CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) AS BIGINT) AS n_tokens FROM documents),
  s AS (SELECT key, count(*) AS n_docs, sum(n_tokens) AS n_tokens FROM d GROUP BY key HAVING sum(n_tokens) > 0),
  a AS (SELECT CAST(sum(n_tokens) AS DOUBLE) AS t, list(n_tokens / (SELECT sum(n_tokens) FROM s) ORDER BY n_tokens) AS p FROM s),
@@ -120,7 +121,7 @@ WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'v' |
  e AS (SELECT round(hi, 9) AS exponent FROM b WHERE step = {mixing.STEPS}),
  w AS (SELECT key, s.n_tokens, CAST(floor(round(pow(s.n_tokens / t, exponent) / list_sum(list_transform(p, lambda x: pow(x, exponent))), 9) * t) AS BIGINT) AS quota FROM s, a, e),
  n AS (SELECT greatest(1, CAST(ceil(sum(quota) / {MIX_BLOCK}) AS BIGINT)) AS n_blocks FROM w),
- r AS (SELECT d.doc_id, d.source, d.key, u.epoch, d.n_tokens, w.quota, CAST('0x' || substr(md5(concat_ws('|', '0', CAST(u.epoch AS VARCHAR), CAST(d.doc_id AS VARCHAR))), 1, 15) AS BIGINT) AS h
+ r AS (SELECT d.doc_id, d.source, d.key, u.epoch, d.n_tokens, w.quota, CAST('0x' || substr(md5(concat_ws('|', '0', CAST(u.epoch AS VARCHAR), CAST(d.row AS VARCHAR))), 1, 15) AS BIGINT) AS h
   FROM d JOIN w ON d.key = w.key CROSS JOIN range(1000) u(epoch) WHERE u.epoch <= w.quota // w.n_tokens),
  c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY key ORDER BY epoch, h, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM r),
  k AS (SELECT *, CAST(least(floor(before / (quota / n_blocks)), n_blocks - 1) AS BIGINT) AS mix_block FROM c, n WHERE before + n_tokens <= quota)
