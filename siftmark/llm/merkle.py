@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 PIECE = re.compile(r"[^.!?]{1,48}[.!?]*|[.!?]+")
 LOWEST = -(1 << 63)
+BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 16  # rows of a bucket, about; a bucket is streamed, so more only take longer
 
 
 class Tree(NamedTuple):
@@ -113,7 +114,7 @@ def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     as there are buckets, are all that reaches the driver. Texts are shuffled once. Null ids come first.
     """
     spark = docs.sparkSession
-    n = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or min(MOST_BUCKETS, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // BUCKET_ROWS))
     n = 1 << max(1, (n - 1).bit_length())
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     at = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n)).first()[0]

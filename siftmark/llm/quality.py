@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, cut, texts, uniform63
+from .common import Codes, cut, free_names, texts, uniform63
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -100,7 +100,7 @@ def _score(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, ratios = Grams(), np.array(shared.value)
         for batch in batches:
-            groups = batch.column(batch.num_columns - 1).to_pylist()  # the last column, _group, is used up here
+            groups = batch.column(batch.num_columns - 1).to_pylist()  # the last column, the group, is used up here
             weights = [float(ratios[grams.buckets(t).astype(np.int64) + g * BUCKETS].sum()) for g, t in zip(groups, texts(batch))]
             columns = batch.columns[:-2] + [pa.array(weights, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
@@ -110,9 +110,13 @@ def _score(shared):
 
 def with_weights(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """docs with a column log_weight (replaced, if there is one): 0 for texts without words."""
+    return _scored(docs.drop("log_weight"), ratios, "log_weight")
+
+
+def _scored(docs: DataFrame, ratios: list[float], name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    rows = docs.drop("log_weight").withColumn("log_weight", F.lit(None).cast("double"))
-    return rows.select("*", group_of(docs).alias("_group")).mapInArrow(_score(shared), rows.schema)
+    rows = docs.withColumn(name, F.lit(None).cast("double"))
+    return rows.select("*", group_of(docs).alias(free_names(rows.columns, "_group")[0])).mapInArrow(_score(shared), rows.schema)
 
 
 def noisy(log_weight: Column, doc_id: Column, seed: int = 0) -> Column:
@@ -147,7 +151,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_labe
     times the weight). Rows that tie with the k-th are all kept; so are repeated rows of a kept one. Noise depends on
     doc_id alone. Null and empty texts have weight 1. Without target labels, or with k = 0, nothing is kept.
     """
-    both = labels.groupBy("doc_id").agg((F.min("quality") == 1).cast("int").alias("good"))
+    both = labels.groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).cast("int").alias("good"))
     share = both.agg(F.avg("good")).first()[0]
     ratios = fit(docs, target_ids(labels, most_labels))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["lang"] if "lang" in docs.columns else []))
@@ -166,5 +170,5 @@ def keep_target_like(docs: DataFrame, labels: DataFrame, k: int | None = None, m
     kept, ratios, least = resample(docs, labels, k, most_labels, seed)
     if least is None:
         return docs.limit(0)
-    rows = docs.withColumn("log_weight", F.lit(None).cast("double"))
-    return with_weights(rows, ratios).where(noisy(F.col("log_weight"), F.col("doc_id"), seed) >= F.lit(least)).select(docs.columns)
+    (name,) = free_names(docs.columns, "_log_weight")
+    return _scored(docs, ratios, name).where(noisy(F.col(name), F.col("doc_id"), seed) >= F.lit(least)).select(docs.columns)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -61,6 +62,8 @@ def test_components_of_chains_stars_and_loops(spark):
     for x, g in zip(nodes, union_find(len(nodes), [(at[a], at[b]) for a, b in edges if a != b])):
         group[g].append(x)
     assert got == {x: min(v) for v in group.values() for x in v}
+    hubs = {x["node"]: x["root"] for x in common.connected_components(spark.createDataFrame(edges, "a long, b long"), hub=5).collect()}
+    assert hubs == got
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -120,6 +123,46 @@ def test_quality_takes_awkward_rows(spark):
     assert quality.keep_target_like(d.limit(0), labels).count() == 0
 
 
+def test_models_weights_and_k_equal_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    groups = {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.group_of(docs).alias("g")).collect()}
+    said = defaultdict(lambda: [1, 0])
+    for r in labels.collect():
+        said[r["doc_id"]] = [min(said[r["doc_id"]][0], r["quality"]), max(said[r["doc_id"]][1], r["toxic"])]
+    good = {k for k, (q, t) in said.items() if q == 1 and t == 0}
+
+    def mixed(h):
+        return ((h ^ (h >> 29)) * 0x165667B19E3779F9) % 2**64
+
+    def buckets(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+        two = [1 if a == b else (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 for a, b in zip(h, h[1:])]
+        return [x >> (64 - quality.BITS) for x in [*h, *map(mixed, two)]]
+
+    grams = {r["doc_id"]: Counter((groups[r["doc_id"]], b) for b in buckets(r["text"])) for r in docs.collect()}
+    raw, target, sums = Counter(), Counter(), [Counter(), Counter()]
+    for k, c in grams.items():
+        raw.update(c)
+        if k in good:
+            target.update(c)
+    for (g, _), n in raw.items():
+        sums[0][g] += n
+    for (g, _), n in target.items():
+        sums[1][g] += n
+    ratio = {x: math.log((target[x] + quality.PRIOR) / (n / sums[0][x[0]] * sums[1][x[0]] + quality.PRIOR)) for x, n in raw.items()}
+    weight = {k: sum(ratio[x] * n for x, n in c.items()) for k, c in grams.items()}
+    share = len(good) / len(said)
+    k = round(sum(min(1.0, share * math.exp(min(w, 50.0))) for w in weight.values()))
+
+    def key(doc_id):
+        u = (int(hashlib.md5(f"gumbel|0|{doc_id}".encode()).hexdigest()[:15], 16) + 0.5) / 2**60
+        return weight[doc_id] - math.log(-math.log(u))
+
+    want = set(sorted(weight, key=key)[-k:])
+    got = {r["doc_id"]: r["log_weight"] for r in queries.op1_importance_resampling(spark, SF).collect()}
+    assert got.keys() == want and all(abs(v - weight[i]) < 1e-6 for i, v in got.items())
+
+
 # --- 2 WARC ---
 
 
@@ -182,6 +225,37 @@ def test_damage_costs_one_record_and_is_logged(plain):
     assert list(warc.salvage(b"")) == [] and [type(x) for x in warc.salvage(b"rubbish")] == [warc.Gap]
 
 
+def test_nothing_is_too_long_and_files_roll_by_bytes(spark, tmp_path):
+    rows = [(i, "u" * (2 << 20) if i == 3 else "u", ("%d " % i) * (200_000 if i % 7 == 0 else 40), "d", 1, 1) for i in range(60)]
+    for compressed in (True, False):
+        at = f"{tmp_path}/{compressed}"
+        warc.write_archives(pages(spark, rows).coalesce(1), at, compressed, file_bytes=1 << 20)
+        archive = warc.read_archives(spark, at, with_payload=False)
+        assert {r["record_id"]: r["payload_bytes"] for r in warc.records(archive, whole=True).collect()} == {f"<urn:page:{i}>": len(h) for i, _, h, *_ in rows}
+        files = archive.groupBy("file").agg(F.sum("payload_bytes").alias("n"), F.count("*").alias("records")).collect()
+        assert len(files) > 5 and all(f["n"] <= 1 << 20 or f["records"] == 1 for f in files)
+
+
+def test_a_gap_fails_those_who_want_all(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(record(1, b"x" * 50, True) + b"rubbish" + record(2, b"y" * 50, True))
+    archive = warc.read_archives(spark, str(tmp_path))
+    assert warc.records(archive).count() == 2 and warc.gaps(archive).count() == 1
+    with pytest.raises(Exception, match="gap in"):
+        warc.records(archive, whole=True).collect()
+
+
+def test_salvage_takes_time_in_proportion():
+    def damaged(n):  # every second length is wrong, and no member's mark occurs
+        return b"".join(record(i, b"p" * 300, True).replace(b"Content-Length: 3", b"Content-Length: 9" if i % 2 else b"Content-Length: 3") for i in range(n))
+
+    took = []
+    for n in (8000, 16000, 32000):
+        data, began = damaged(n), time.perf_counter()
+        assert sum(isinstance(x, warc.Record) for x in warc.salvage(data)) == n // 2
+        took.append(time.perf_counter() - began)
+    assert took[2] < 3 * took[1] and took[2] < 6 * took[0]
+
+
 # --- 3 SimHash ---
 
 
@@ -276,9 +350,47 @@ def test_stream_keeps_quota_and_proportions(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0 and mixing.mixed_documents(docs_of(spark, [])).count() == 0
 
 
+def test_documents_come_as_often_as_the_stream_takes_them(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(["w"] * r.randint(1, 9)), "big") for i in range(300)]
+    rows += [(None, f"row {i} of nobody", "small") for i in range(50)] + [(7, f"text {i} of seven", "seven") for i in range(40)] + [(8, "equal in all", "equal")] * 30
+    d = docs_of(spark, rows).cache()
+    for seed in range(10):
+        want = Counter((x["source"], x["doc_id"]) for x in mixing.mix(d, max_repeats=2.5, seed=seed).collect())
+        got = Counter((x["source"], x["doc_id"]) for x in mixing.mixed_documents(d, max_repeats=2.5, seed=seed).collect())
+        assert got == want
+
+
+def test_equal_sources_weigh_alike(spark):
+    many = [(f"k{i}", 1, 10 + i % 3) for i in range(3000)] + [("most", 9, 500_000)]
+    got = {x["key"]: x["weight"] for x in mixing.weights(spark.createDataFrame(many, "key string, n_docs long, n_tokens long"), max_repeats=None, target_entropy=5.0).collect()}
+    assert abs(-sum(w * math.log(w) for w in got.values()) - 5.0) < 1e-2 and len({round(v, 9) for v in got.values()}) == 4
+
+
 # --- 6 Merkle ---
 
 
+def test_likeness_equals_counted_pieces(spark):
+    """Likeness against its definition by plain counting, without trees."""
+    r = random.Random(12)
+    rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{SF}/documents.parquet").limit(80).collect()] + [(9000, None), (9001, ""), (9002, "\n\n"), (9003, "a. b! c?\n" * 50)]
+    rows.sort()
+    want = {}
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        p, q = (Counter(x for line in t.split("\n") for x in merkle.PIECE.findall(line)) for t in (a, b))
+        return 2 * (p & q).total() / (p.total() + q.total()) if p or q else 0.0
+
+    for (k, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        t, after = t or "", after or ""
+        half = len(t) // 2
+        want[k] = (likeness(t, t[: len(t) - half] + after[:half]), likeness(t, after))
+    got = {x["doc_id"]: (x["near_edited"], x["near_next"]) for x in merkle.against_edits(docs_of(spark, r.sample(rows, len(rows)))).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-12 for k in want for a, b in zip(got[k], want[k]))
+
+
 def test_edits_and_order_equal_brute_force(spark):
     rows = [x for x in awkward() if x[0] is not None] + [(r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = merkle.against_edits(docs_of(spark, rows), buckets=8).collect()
@@ -389,7 +501,7 @@ def test_banded_lines_find_what_edit_similarity_links(spark):
     forms, _, group, gone = line_truth(rows)
     left = Counter(f for t in got.values() for x in (t or "").split("\n") if (f := lines.normalise(x)))
     stayed = sum(left[f] for f in forms) - len(set(group.values()))
-    assert len(gone) > 200 and 0 <= stayed <= 0.03 * len(gone)
+    assert len(gone) > 200 and 0 <= stayed <= 0.06 * len(gone)  # two words of twenty: at 0.65 of the pairs in common, 0.96 meet
     assert sum(x["n_dropped"] for x in out) == len(gone) - stayed
     assert [k for k in range(8000, 8090) if got[k]] == [8000]
 
@@ -497,6 +609,39 @@ def test_recall_order_and_awkward_vectors(spark):
     assert ann.nearest(v.where("vec_id < 5"), F.col("vec_id") == 0).count() == 4
 
 
+def test_recall_where_blocks_exceed_what_is_reranked(spark):
+    """Twenty thousand vectors, a fifth of them in one tight cluster: blocks of some 1,200 and 10,000."""
+    r = np.random.default_rng(13)
+    x = r.normal(size=(20_000, 32))
+    x[:4000] = r.normal(size=32) + 0.15 * r.normal(size=(4000, 32))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for block in (1250, 10_000):
+        got = defaultdict(set)
+        for q in ann.nearest(frame, F.col("vec_id") % 100 == 0, block=block).collect():
+            got[q["query_id"]].add(q["vec_id"])
+        hit = 0
+        for q, found in got.items():
+            s = x @ x[q]
+            s[q] = -np.inf
+            hit += len(set(np.argpartition(-s, 20)[:20].tolist()) & found)
+        print("recall", block, hit / (20 * len(got)))
+        assert len(got) == 200 and hit / (20 * len(got)) > 0.95
+
+
+def test_each_length_is_searched_among_its_own(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 9)] + [(20 + i, [0.0, float(i), 2.0]) for i in range(3)] + [(40, [1.0] * 5)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for q in ann.nearest(d, F.col("vec_id") % 20 <= 1, k=3).orderBy("query_id", "rank").collect():
+        got[q["query_id"]].append((q["vec_id"], q["score"]))
+    assert got == {1: [(8, 9.0), (7, 8.0), (6, 7.0)], 20: [(21, 4.0), (22, 4.0)], 21: [(22, 6.0), (20, 4.0)]}
+    third = 1 / 3
+    (x,) = ann.nearest(spark.createDataFrame([(0, [third, 1.0]), (1, [third, third])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert x["score"] == third * third + third
+    with pytest.raises(ValueError, match="lengths"):
+        ann.nearest(spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(70)], "vec_id long, embedding array<double>"), F.lit(True))
+
+
 # --- 10 BPE ---
 
 
