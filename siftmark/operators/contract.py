@@ -1,7 +1,7 @@
 """The verification contract: declarative rules over pairs of input and output.
 
 A rule is a name, a point of the contract, and a Column that gives a severity or null. All rules of a set are
-evaluated in one pass over the pairs; only the roll-up to a verdict per job shuffles. NULL in a probe means "not
+evaluated in one pass over the pairs; a row's worst finding follows from the row, and only that is shuffled by pair. NULL in a probe means "not
 measured": a rule must answer `informativo` or nothing then, never pass it silently, and coverage() says which
 points could be checked at all.
 """
@@ -32,13 +32,17 @@ class Rule(NamedTuple):
     message: str
 
 
-def findings(pairs: DataFrame, keys: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
-    """(keys, seq, point, rule, severity, expected, obtained, message): a row for each rule that has something to say."""
-    all_ = F.array(*[
+def said(rules: Sequence[Rule]) -> Column:
+    """What the rules have to say of a pair, in their order: an array in the pair's own row."""
+    return F.array_compact(F.array(*[
         F.when(r.severity.isNotNull(), F.struct(F.lit(i).alias("seq"), F.lit(r.point).alias("point"), F.lit(r.name).alias("rule"), r.severity.alias("severity"), r.expected.cast("string").alias("expected"), r.obtained.cast("string").alias("obtained"), F.lit(r.message).alias("message")))
         for i, r in enumerate(rules)
-    ])
-    return pairs.select(*keys, F.explode(F.array_compact(all_)).alias("f")).select(*keys, "f.*")
+    ]))
+
+
+def findings(pairs: DataFrame, keys: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
+    """(keys, seq, point, rule, severity, expected, obtained, message): a row for each rule that has something to say."""
+    return pairs.select(*keys, F.explode(said(rules)).alias("f")).select(*keys, "f.*")
 
 
 def differ(name: str, point: int, a: str, b: str, message: str, severity: str = FAIL) -> Rule:
@@ -91,12 +95,21 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == FAIL, 2).when(severity == WARN, 1).otherwise(0)
 
 
-def verdicts(pairs: DataFrame, found: DataFrame, keys: Sequence[str], covered: Column) -> DataFrame:
+def worst(rules: Sequence[Rule]) -> Column:
+    """The rank of a row's worst finding, from the row alone."""
+    ranks = [severity_rank(r.severity) for r in rules]
+    return F.greatest(*ranks) if len(ranks) > 1 else ranks[0] if ranks else F.lit(0)
+
+
+def _verdict(rank: Column, covered: Column) -> Column:
+    return F.when(rank == 2, FAIL).when(rank == 1, WARN).when(covered, OK).otherwise(PARTIAL)
+
+
+def verdicts(pairs: DataFrame, rules: Sequence[Rule], keys: Sequence[str], covered: Column) -> DataFrame:
     """(keys, verdict): the worst severity of each pair; without failures and warnings ok, or ok_parcial if not every
-    point was covered. Findings are rolled up before they meet the pairs; pairs without findings stay."""
-    worst = found.groupBy(*keys).agg(F.max(severity_rank(F.col("severity"))).alias("worst"))
-    out = pairs.select(*keys, covered.alias("covered")).join(worst, list(keys), "left")
-    return out.select(*keys, F.when(F.col("worst") == 2, FAIL).when(F.col("worst") == 1, WARN).when(F.col("covered"), OK).otherwise(PARTIAL).alias("verdict"))
+    point was covered. Only (keys, rank, covered) is shuffled, once: rows that repeat a pair's keys share the worst."""
+    rows = pairs.select(*keys, worst(rules).alias("rank"), covered.alias("covered"))
+    return rows.select(*keys, _verdict(F.max("rank").over(Window.partitionBy(*keys)), F.col("covered")).alias("verdict"))
 
 
 def coverage(points: dict[str, Column]) -> Column:
@@ -114,17 +127,21 @@ def chain(hops: DataFrame, job: str, hop: str, verdict: str) -> DataFrame:
     return hops.groupBy(job).agg(F.when(F.bool_or(F.col(verdict) == FAIL), FAIL).otherwise(F.coalesce(F.min_by(F.when(F.col(verdict) != OK, F.col(verdict)), F.when(F.col(verdict) != OK, F.col(hop))), F.lit(OK))).alias("verdict"))
 
 
-def short(found: DataFrame, keys: Sequence[str], n: int = 3, width: int = 110) -> DataFrame:
-    """The first n findings of each pair that aren't informative, messages cut to width."""
-    w = Window.partitionBy(*keys).orderBy("seq", "severity", "message")
-    out = found.where(F.col("severity") != INFO).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+def short(pairs: DataFrame, rules: Sequence[Rule], keys: Sequence[str], n: int = 3, width: int = 110) -> DataFrame:
+    """The first n findings of each pair that aren't informative, messages cut to width. Each row gives its first n alone."""
+    first = F.slice(F.filter(said(rules), lambda f: f["severity"] != INFO), 1, n)
+    found = pairs.select(*keys, F.explode(first).alias("f")).select(*keys, "f.seq", "f.rule", "f.severity", "f.message")
+    out = found.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "severity", "message"))).where(F.col("r") <= n)
     return out.select(*keys, "r", "rule", "severity", F.substring("message", 1, width).alias("message"))
 
 
-def summary(found: DataFrame, verdict: DataFrame, keys: Sequence[str]) -> DataFrame:
+def summary(pairs: DataFrame, rules: Sequence[Rule], keys: Sequence[str], covered: Column) -> DataFrame:
     """One line for each pair: its verdict, and its first failure or else its first finding."""
-    first = found.groupBy(*keys).agg(F.min_by(F.concat_ws(": ", "rule", "message"), F.struct(F.when(F.col("severity") == FAIL, 0).otherwise(1), F.col("seq"))).alias("first"))
-    return verdict.join(first, list(keys), "left").select(*keys, F.concat_ws(" · ", "verdict", "first").alias("line"))
+    first = F.array_min(F.transform(said(rules), lambda f: F.struct(F.when(f["severity"] == FAIL, 0).otherwise(1).alias("mild"), f["seq"].alias("seq"), F.concat_ws(": ", f["rule"], f["message"]).alias("text"))))
+    rows = pairs.select(*keys, worst(rules).alias("rank"), first.alias("first"), covered.alias("covered"))
+    w = Window.partitionBy(*keys)
+    rows = rows.select(*keys, F.max("rank").over(w).alias("rank"), F.min("first").over(w).alias("first"), "covered")
+    return rows.select(*keys, F.concat_ws(" · ", _verdict(F.col("rank"), F.col("covered")), F.col("first.text")).alias("line"))
 
 
 def census(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:

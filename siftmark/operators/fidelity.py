@@ -1,7 +1,10 @@
 """How far an output is from its input: texts, and long tables of decoded values (pair, channel, pos, a, b)."""
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,23 +26,42 @@ def phrase_recall(pairs: DataFrame, doc: str, phrase: str, output: str) -> DataF
     return exact.unionByName(near).withColumn("similarity", F.when(n > 0, F.round(100.0 * F.greatest(F.lit(0), n - F.col("distance")) / n, 6)).otherwise(100.0))
 
 
-def grams(df: DataFrame, key: str, column: str, k: int) -> DataFrame:
-    """(key, gram, n): the multiset of a text's character k-grams."""
-    some = df.where(F.length(column) >= k)
-    return some.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length(column) - k + 1), lambda i: F.substring(F.col(column), i, F.lit(k)))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
+def error_rates(texts: DataFrame, key: str, ref: str, outputs: Sequence[str], stretch: int = 400) -> DataFrame:
+    """(key, a rate for each of outputs): character error rates in percent of the reference's length, after normalisation.
 
+    Edit distances are taken line by line, long lines in stretches, and added up: whole texts of any length in linear time, at
+    the price of an upper bound where an output breaks its lines elsewhere. Null for a null output or an empty reference.
+    """
+    one = [F.struct(F.lit(c).alias("name"), F.coalesce(c, F.lit("")).alias("out"), F.col(c).isNull().alias("gone")) for c in outputs]
+    t = texts.select(key, ref, F.explode(F.array(*one)).alias("o")).select(key, "o.name", "o.gone", F.explode(F.arrays_zip(F.split(ref, "\n").alias("a"), F.split("o.out", "\n").alias("b"))).alias("p"))
+    side = lambda c: text.normal(F.coalesce(F.col(c), F.lit("")), fold=True)
+    t = t.select(key, "name", "gone", side("p.a").alias("a"), side("p.b").alias("b"))
+    t = t.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.greatest(F.length("a"), F.length("b")) - 1), F.lit(stretch))))
+    part = lambda c: F.substring(F.col(c), F.col("at") + 1, F.lit(stretch))
+    t = t.select(key, "name", "gone", F.levenshtein(part("a"), part("b")).alias("d"), F.length(part("a")).alias("n"))
+    of = lambda x, c: F.sum(F.when(F.col("name") == c, F.col(x)))
+    rate = lambda c: F.when(~F.bool_or((F.col("name") == c) & F.col("gone")) & (of("n", c) > 0), F.round(100.0 * of("d", c) / of("n", c), 6))
+    return t.groupBy(key).agg(*[rate(c).alias(c) for c in outputs])
 
-def shingles(df: DataFrame, key: str, column: str, k: int) -> DataFrame:
-    """(key, gram, n): the multiset of a text's runs of k words."""
-    w = text.tokens(F.col(column))
-    rows = df.select(key, w.alias("w")).where(F.size("w") >= k)
-    return rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
 
+def overlap(k: int, words: bool) -> Callable[[Column, Column], Column]:
+    """A function of two text columns: struct(common, in_a, in_b) of their multisets of k-grams, of characters or of words.
 
-def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(key, common, in_a, in_b) of two multisets a key: grams meet only under their own key, so no pair of texts does."""
-    both = a.withColumnRenamed("n", "na").join(b.withColumnRenamed("n", "nb"), [key, "gram"], "full_outer").na.fill(0, ["na", "nb"])
-    return both.groupBy(key).agg(F.sum(F.least("na", "nb")).alias("common"), F.sum("na").alias("in_a"), F.sum("nb").alias("in_b"))
+    Both texts stand in one row, so nothing is exploded or shuffled; counting is done in Arrow batches.
+    """
+
+    @F.pandas_udf("common long, in_a long, in_b long")
+    def of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        def multiset(x: str | None) -> Counter:
+            if words:
+                w = re.findall("[^ \t\r\n]+", x or "")
+                return Counter(w) if k == 1 else Counter(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
+            return Counter(x[i : i + k] for i in range(len(x) - k + 1)) if x else Counter()
+
+        both = [(multiset(x), multiset(y)) for x, y in zip(a, b)]
+        return pd.DataFrame([((x & y).total(), x.total(), y.total()) for x, y in both], columns=["common", "in_a", "in_b"])
+
+    return of
 
 
 def containment_class(share: Column) -> Column:

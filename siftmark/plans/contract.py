@@ -92,32 +92,34 @@ def c10_density(spark: SparkSession, sf: str) -> DataFrame:
     return ct.findings(v, K3, rules).select(*K3, "rule", "severity")
 
 
-def _tabular(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    v = view(spark, sf, "v2")
+def _tabular() -> list[ct.Rule]:
     c = F.col
     header = lambda x: F.array_sort(F.split(x, ","))
     measured = ~c("sin_sonda_ent")
-    rules = [
+    return [
         ct.Rule("D5", 3, F.when(c("ufffd"), ct.FAIL), F.lit(False), c("ufffd"), "replacement characters"),
         ct.Rule("D2", 3, F.when(c("anchos_distintos") > 1, ct.FAIL), F.lit(1), c("anchos_distintos"), "field count varies"),
         ct.Rule("D1", 4, F.when(measured & (c("filas_ent") != c("filas_sal")), ct.FAIL), c("filas_ent"), c("filas_sal"), "row count changed"),
         ct.Rule("D1-header", 4, F.when(measured & (header(c("cab_ent")) != header(c("cab_sal"))), ct.FAIL), c("cab_ent"), c("cab_sal"), "header changed"),
         ct.Rule("D4", 4, F.when(c("bom"), ct.WARN), F.lit(False), c("bom"), "byte order mark"),
     ]
-    return v, ct.findings(v, ["job"], rules)
+
 
 
 def c8_c18_tabular(spark: SparkSession, sf: str) -> DataFrame:
-    return _tabular(spark, sf)[1].select("job", "rule", "severity", "expected", "obtained")
+    return ct.findings(view(spark, sf, "v2"), ["job"], _tabular()).select("job", "rule", "severity", "expected", "obtained")
 
 
 def c23_tabular_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    v, found = _tabular(spark, sf)
-    return ct.verdicts(v, found, ["job"], ~F.col("sin_sonda_ent"))
+    return ct.verdicts(view(spark, sf, "v2"), _tabular(), ["job"], ~F.col("sin_sonda_ent"))
+
+
+def _covered():
+    return F.col("esperadas").isNotNull() & F.col("alfa_min").isNotNull()
 
 
 def _media_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.verdicts(_pairs(spark, sf), _found(spark, sf), K3, F.col("esperadas").isNotNull() & F.col("alfa_min").isNotNull())
+    return ct.verdicts(_pairs(spark, sf), _rules(), K3, _covered())
 
 
 def c23_media_verdict(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,11 +141,11 @@ def c24_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c25_short(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.short(_found(spark, sf), K3)
+    return ct.short(_pairs(spark, sf), _rules(), K3)
 
 
 def c26_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.summary(_found(spark, sf), _media_verdict(spark, sf), K3)
+    return ct.summary(_pairs(spark, sf), _rules(), K3, _covered())
 
 
 def _census(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,7 +135,7 @@ def j7_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j9_longest_label(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "documents").select(F.explode(F.split(F.substring("text", 1, 200), " ")).alias("palabra")).where("length(palabra) BETWEEN 5 AND 9").groupBy("palabra").agg(F.count("*").alias("n")).where("n >= 3 AND palabra RLIKE '^[a-z]+$'").select("palabra")
+    names = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("palabra")).where("length(palabra) BETWEEN 5 AND 9").groupBy("palabra").agg(F.count("*").alias("n")).where("n >= 3 AND palabra RLIKE '^[a-z]+$'").select("palabra")
     return sm.longest_mention(table(spark, sf, "benchmark"), "item_id", "text", names, "palabra")
 
 
@@ -256,7 +256,7 @@ ORACLE = {
     "j6_subsumption": f"WITH {_PROPS} SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON len(a.p) > 0 AND len(a.p) < len(b.p) AND len(list_intersect(a.p, b.p)) = len(a.p) AND len(list_intersect(b.q, a.p)) = len(b.q)",
     "j7_balance": "WITH f AS (SELECT doc_id FROM documents WHERE n_chars < 900), k AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 OR toxic = 1) SELECT (SELECT count(*) FROM k JOIN f ON k.doc_id = f.doc_id) AS atrapados, (SELECT count(*) FROM k WHERE doc_id NOT IN (SELECT doc_id FROM f)) AS perdidos, (SELECT count(*) FROM f WHERE doc_id NOT IN (SELECT doc_id FROM k)) AS no_declarados",
     "j8_near_twins": f"WITH {_SETS} SELECT * FROM p",
-    "j9_longest_label": "WITH n AS (SELECT palabra FROM (SELECT unnest(string_split(substr(text, 1, 200), ' ')) AS palabra FROM documents) WHERE length(palabra) BETWEEN 5 AND 9 AND regexp_full_match(palabra, '[a-z]+') GROUP BY palabra HAVING count(*) >= 3), w AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS palabra FROM benchmark) SELECT item_id, arg_min(w.palabra, row(-length(w.palabra), w.palabra)) AS palabra FROM w JOIN n ON w.palabra = n.palabra GROUP BY item_id",
+    "j9_longest_label": "WITH n AS (SELECT palabra FROM (SELECT unnest(string_split(text, ' ')) AS palabra FROM documents) WHERE length(palabra) BETWEEN 5 AND 9 AND regexp_full_match(palabra, '[a-z]+') GROUP BY palabra HAVING count(*) >= 3), w AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS palabra FROM benchmark) SELECT item_id, arg_min(w.palabra, row(-length(w.palabra), w.palabra)) AS palabra FROM w JOIN n ON w.palabra = n.palabra GROUP BY item_id",
     "j10_never_mentioned": "WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(^|[^0-9])([0-9]{1,6})($|[^0-9])', 2)) AS n FROM documents) SELECT p_partkey FROM part WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT n FROM n)",
     "j13_two_runs": "WITH a AS (SELECT l_partkey, l_returnflag, CASE WHEN max(l_discount) > 0.08::DOUBLE THEN 'fallo' WHEN max(l_discount) > 0.05::DOUBLE THEN 'aviso' ELSE 'ok' END AS s FROM lineitem WHERE l_suppkey % 5 <> 1 GROUP BY 1, 2), b AS (SELECT l_partkey, l_returnflag, CASE WHEN max(l_discount) > 0.09::DOUBLE THEN 'fallo' WHEN max(l_discount) > 0.05::DOUBLE THEN 'aviso' ELSE 'ok' END AS s FROM lineitem WHERE l_suppkey % 5 <> 2 GROUP BY 1, 2), c AS (SELECT coalesce(a.l_returnflag, b.l_returnflag) AS l_returnflag, CASE WHEN a.s IS NULL THEN 'solo segunda' WHEN b.s IS NULL THEN 'solo primera' WHEN a.s = 'fallo' AND b.s <> 'fallo' THEN 'fallo resuelto' WHEN a.s <> 'fallo' AND b.s = 'fallo' THEN 'fallo nuevo' WHEN a.s = 'aviso' AND b.s <> 'aviso' THEN 'aviso resuelto' WHEN a.s <> 'aviso' AND b.s = 'aviso' THEN 'aviso nuevo' WHEN a.s <> b.s THEN 'cambia' ELSE 'igual' END AS cambio FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.l_returnflag = b.l_returnflag) SELECT l_returnflag, cambio, count(*) AS n FROM c GROUP BY ALL",
     "k1_dead_references": """WITH r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS ref FROM pages) SELECT page_id, ref FROM r WHERE ref NOT IN ('The', 'and') AND ref NOT IN (SELECT ref FROM r WHERE page_id % 2 = 0)""",

@@ -13,12 +13,12 @@ _N10 = _NORM["n10"].replace("lower(x)", "lower({x})")
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     fold = lambda c: text.normal(F.col(c), fold=True).alias(c)
-    return view(spark, sf, "v5").select("doc_id", fold("ref"), fold("lectura_a"), fold("lectura_b"), fold("ajeno"))
+    return view(spark, sf, "v5").select("doc_id", fold("ref"), fold("lectura_a"), fold("lectura_b"))
 
 
 def y1_error_rate(spark: SparkSession, sf: str) -> DataFrame:
-    r = lambda c: F.round(text.error_rate(F.col("ref"), F.col(c)), 6).alias(c)
-    return _texts(spark, sf).select("doc_id", r("lectura_a"), r("lectura_b"), r("ajeno"), F.lit("acentos plegados").alias("metrica"))
+    t = view(spark, sf, "v5").join(view(spark, sf, "v5_ajeno"), "doc_id")
+    return fd.error_rates(t, "doc_id", "ref", ["lectura_a", "lectura_b", "ajeno"]).withColumn("metrica", F.lit("acentos plegados"))
 
 
 def y2_phrase_recall(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,15 +28,14 @@ def y2_phrase_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def y3_containment(spark: SparkSession, sf: str) -> DataFrame:
-    t = _texts(spark, sf)
-    o = fd.overlap(fd.grams(t, "doc_id", "ref", 5), fd.grams(t, "doc_id", "lectura_b", 5), "doc_id").where("in_a > 0")
-    return o.select("doc_id", F.round(F.col("common") / F.col("in_a"), 6).alias("cobertura"), fd.containment_class(F.col("common") / F.col("in_a")).alias("clase"))
+    o = _texts(spark, sf).select("doc_id", fd.overlap(5, False)(F.col("ref"), F.col("lectura_b")).alias("o")).where("o.in_a > 0")
+    share = F.col("o.common") / F.col("o.in_a")
+    return o.select("doc_id", F.round(share, 6).alias("cobertura"), fd.containment_class(share).alias("clase"))
 
 
 def y4_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    t = _texts(spark, sf)
-    o = fd.overlap(fd.shingles(t, "doc_id", "lectura_b", 1), fd.shingles(t, "doc_id", "ref", 1), "doc_id")
-    dice = 2.0 * F.col("common") / (F.col("in_a") + F.col("in_b"))
+    o = _texts(spark, sf).select("doc_id", fd.overlap(1, True)(F.col("lectura_b"), F.col("ref")).alias("o")).where("o.in_a + o.in_b > 0")
+    dice = 2.0 * F.col("o.common") / (F.col("o.in_a") + F.col("o.in_b"))
     return o.select("doc_id", F.round(dice, 6).alias("acuerdo"), fd.agreement_class(dice).alias("clase"))
 
 
@@ -121,7 +120,8 @@ def y16_best_lag(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (y1_error_rate, y2_phrase_recall, y3_containment, y4_agreement, y5_text_kept, y6_y7_errors, y8_silent_channel, y9_stream_identity, y10_frames, y11_tags, y12_p22_palette, y13_fidelity_verdict, y14_five_classes, y15_correlation, y16_best_lag)}
 
-_T = "t AS (SELECT doc_id, " + ", ".join(_N10.replace("{x}", c) + f" AS {c}" for c in ("ref", "lectura_a", "lectura_b", "ajeno")) + " FROM v5)"
+_READ = ("lectura_a", "lectura_b", "ajeno")
+_T = "t AS (SELECT doc_id, " + ", ".join(_N10.replace("{x}", c) + f" AS {c}" for c in ("ref", "lectura_a", "lectura_b")) + " FROM v5)"
 _S = """s0 AS (SELECT vec_id AS pair, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS a FROM embeddings),
  s AS (SELECT pair, CAST(pos % 2 AS INTEGER) AS channel, CAST(pos AS INTEGER) AS pos, a, CASE WHEN pair % 3 = 0 THEN a WHEN pair % 3 = 1 THEN round(a, 2) WHEN pos % 2 = 1 THEN 0.0::DOUBLE ELSE a END AS b FROM s0)"""
 _E = "e AS (SELECT pair, sqrt(avg((a - b) * (a - b))) AS rmse, CASE WHEN avg((a - b) * (a - b)) > 0 THEN 10 * log10(1 / avg((a - b) * (a - b))) END AS psnr, count(*) AS n FROM s GROUP BY pair), e2 AS (SELECT pair, round(rmse, 6) AS rmse, round(psnr, 4) AS psnr, n, CASE WHEN rmse > 0 THEN CASE WHEN psnr < 10 THEN 'fallo' WHEN psnr < CASE WHEN pair % 11 = 0 THEN 0 WHEN pair % 7 = 0 THEN 20 WHEN pair % 5 = 0 THEN 30 ELSE 40 END THEN 'aviso' ELSE 'informativo' END END AS severity FROM e)"
@@ -137,7 +137,13 @@ _WORD = "list_filter(string_split({c}, ' '), lambda w: w <> '')"
 _OVER = "o AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS common, sum(coalesce(a.n, 0)) AS in_a, sum(coalesce(b.n, 0)) AS in_b FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.gram = b.gram GROUP BY 1)"
 
 ORACLE = {
-    "y1_error_rate": oracle("v5", f", {_T} SELECT doc_id, " + ", ".join(f"CASE WHEN length(ref) > 0 THEN round(100.0::DOUBLE * levenshtein(ref, {c}) / length(ref), 6) END AS {c}" for c in ("lectura_a", "lectura_b", "ajeno")) + ", 'acentos plegados' AS metrica FROM t"),
+    "y1_error_rate": oracle("v5 v5_ajeno", ", t AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS name, ref, {c} AS o FROM v5 JOIN v5_ajeno USING (doc_id)" for c in _READ) + f"""),
+ z AS (SELECT doc_id, name, o IS NULL AS gone, unnest(list_zip(string_split(ref, chr(10)), string_split(coalesce(o, ''), chr(10)))) AS p FROM t),
+ s AS (SELECT doc_id, name, gone, {_N10.replace("{x}", "coalesce(p[1], '')")} AS a, {_N10.replace("{x}", "coalesce(p[2], '')")} AS b FROM z),
+ u AS (SELECT *, unnest(range(0, greatest(1, length(a), length(b)), 400)) AS k FROM s),
+ d AS (SELECT doc_id, name, gone, levenshtein(substr(a, k + 1, 400), substr(b, k + 1, 400)) AS d, length(substr(a, k + 1, 400)) AS n FROM u),
+ r AS (SELECT doc_id, name, CASE WHEN NOT bool_or(gone) AND sum(n) > 0 THEN round(100.0::DOUBLE * sum(d) / sum(n), 6) END AS r FROM d GROUP BY doc_id, name)
+SELECT doc_id, """ + ", ".join(f"max(r) FILTER (name = '{c}') AS {c}" for c in _READ) + ", 'acentos plegados' AS metrica FROM r GROUP BY doc_id"),
     "y2_phrase_recall": oracle("v5", f""", {_T}, p AS (SELECT DISTINCT doc_id, unnest([substr(ref, 1, 20), substr(ref, 31, 20)]) AS frase, lectura_b FROM t WHERE length(ref) >= 60),
  d AS (SELECT doc_id, frase, CASE WHEN contains(lectura_b, frase) THEN 0 ELSE list_min(list_transform(range(1, greatest(2, length(lectura_b) - length(frase) + 2)), lambda i: levenshtein(frase, substr(lectura_b, i, length(frase))))) END AS distance FROM p)
 SELECT doc_id, frase, CAST(distance AS INTEGER) AS distance, CASE WHEN length(frase) > 0 THEN round(100.0::DOUBLE * greatest(0, length(frase) - distance) / length(frase), 6) ELSE 100.0 END AS similarity FROM d"""),

@@ -1,7 +1,8 @@
 """Arrivals as streams: listings of a folder in, complete and new files out; jobs that lost their owner.
 
-A listing row is (poll, ruta, tamano, mtime, incompleto). State is kept for each path: what was last seen, how often in
-a row, how often it was put off, what was served. It is dropped some time after the path stops being listed.
+A listing row is (poll, ruta, tamano, mtime, incompleto). State is kept for each path: what was last seen and when, how
+often in a row, how often it was put off, and every identity (size and time) that was served. Identities are
+remembered for good, so a file that changes and changes back isn't served twice.
 """
 
 from collections.abc import Iterator
@@ -12,28 +13,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "ruta string, poll timestamp, tamano long, mtime timestamp, estado string"
-STATE = "tamano long, mtime double, vistos int, pospuesto int, servido boolean"
+STATE = "tamano long, mtime double, poll double, vistos int, pospuesto int, servidos array<string>"
 
 
-def _step(state: tuple | None, tamano: int, mtime: float, incomplete: bool, polls: int, patience: int) -> tuple[tuple, str | None]:
+def _step(state: tuple | None, poll: float, tamano: int, mtime: float, incomplete: bool, polls: int, patience: int, every_s: float | None) -> tuple[tuple, str | None]:
     """The state after one listing, and what to say about the file."""
-    if state is None or state[:2] != (tamano, mtime):
-        state = (tamano, mtime, 0, 0, False)
-    seen, late, served = state[2] + 1, state[3], state[4]
-    said = None
-    if not served and seen >= polls:
-        if not incomplete:
-            served, said = True, "servido"
-        elif late < patience:
+    served = list(state[5] or []) if state else []
+    missed = state is not None and every_s is not None and poll - state[2] > 1.5 * every_s
+    seen, late = (0, 0) if state is None or missed or state[:2] != (tamano, mtime) else state[3:5]
+    seen, said, who = seen + 1, None, f"{tamano} {mtime!r}"
+    if seen >= polls and who not in served:
+        if incomplete and late < patience:
             late += 1
         else:
-            served, said = True, "desistido"
-    return (tamano, mtime, seen, late, served), said
+            said = "desistido" if incomplete else "servido"
+            served.append(who)
+    return (tamano, mtime, poll, seen, late, served), said
 
 
-def mature(listings: DataFrame, polls: int = 2, patience: int = 3, forget_ms: int = 3_600_000) -> DataFrame:
+def mature(listings: DataFrame, polls: int = 2, patience: int = 3, every_s: float | None = None, forget_ms: int | None = None) -> DataFrame:
     """A stream of (ruta, poll, tamano, mtime, estado): each identity once, when it has been listed `polls` times in a row
-    unchanged. An incomplete file is put off up to `patience` times, then given up and served as desistido."""
+    unchanged. An incomplete file is put off up to `patience` times, then given up and served as desistido.
+
+    every_s: seconds from one poll to the next; with it, a poll that misses the file starts the count anew, as in the
+    batch twin. forget_ms: processing time after which a path that isn't listed is forgotten; by default never.
+    """
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -43,14 +47,16 @@ def mature(listings: DataFrame, polls: int = 2, patience: int = 3, forget_ms: in
         rows = pd.concat(list(batches)).sort_values("poll")  # one path's listings of one micro-batch
         out = []
         for r in rows.itertuples():
-            now, said = _step(now, int(r.tamano), r.mtime.timestamp(), bool(r.incompleto), polls, patience)
+            now, said = _step(now, r.poll.timestamp(), int(r.tamano), r.mtime.timestamp(), bool(r.incompleto), polls, patience, every_s)
             if said:
                 out.append((key[0], r.poll, r.tamano, r.mtime, said))
         state.update(now)
-        state.setTimeoutDuration(forget_ms)
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(out, columns=["ruta", "poll", "tamano", "mtime", "estado"])
 
-    return listings.groupBy("ruta").applyInPandasWithState(work, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return listings.groupBy("ruta").applyInPandasWithState(work, OUT, STATE, "append", timeout)
 
 
 def unless_existing(served: DataFrame, outputs: DataFrame) -> DataFrame:

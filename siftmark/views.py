@@ -32,9 +32,9 @@ FROM (SELECT origen, destino, motor, row_number() OVER (PARTITION BY origen ORDE
  FROM (SELECT c.c_nationkey AS origen, s.s_nationkey AS destino, concat('m', (c.c_nationkey + s.s_nationkey) % 4) AS motor, count(*) AS n
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
   WHERE c.c_nationkey <> s.s_nationkey GROUP BY c.c_nationkey, s.s_nationkey) x) y WHERE r <= 3""",
-    "v5": """SELECT doc_id, lang, source, substr(text, 1, 300) AS ref, replace(substr(text, 1, 300), 'e', 'c') AS lectura_a,
- replace(replace(substr(text, 1, 300), 'n', 'm'), '.', '') AS lectura_b,
- substr(lead(text) OVER (PARTITION BY lang ORDER BY doc_id), 1, 300) AS ajeno, n_chars FROM documents""",
+    "v5": "SELECT doc_id, lang, source, text AS ref, replace(text, 'e', 'c') AS lectura_a, replace(replace(text, 'n', 'm'), '.', '') AS lectura_b, n_chars FROM documents",
+    "v5_ajeno": """SELECT w.doc_id, n.text AS ajeno FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS sigue FROM documents) w
+LEFT JOIN documents n ON n.doc_id = w.sigue""",
     "v6": "SELECT d.doc_id, d.text, l.quality, l.toxic, l.doc_id IS NOT NULL AS registrado FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "v8": """SELECT p.p_type AS ajuste, p.p_brand AS doc, avg(l.l_discount) * 100 AS metrica_a, avg(l.l_tax) * 100 AS metrica_b, count(*) AS n
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY p.p_type, p.p_brand""",

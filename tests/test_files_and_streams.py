@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from siftmark.functions import formats as fm
+from siftmark.operators import arrivals
 from siftmark.sources import files
 from siftmark.streaming import arrivals as st
 
@@ -80,6 +81,22 @@ def test_stream_of_listings(spark, tmp_path):
     assert run(3) == want  # remembered after a restart
 
 
+def test_stream_serves_what_batch_serves(spark, tmp_path):
+    """A change and back, a missed poll, a quiet file: the same identities at the same polls."""
+    seen = {"back": [1, 1, 2, 2, 1, 1, 1], "gap": [5, None, 5, None, 5, 5, 5], "quiet": [3] * 7, "never": [1, 2, 3, 4, 5, 6, 7]}
+    rows = [(f"2024-01-01 00:0{i}:00", k, v[i], "2023-12-31 00:00:00", False) for i in range(7) for k, v in seen.items() if v[i] is not None]
+    listings = spark.createDataFrame(rows, "poll string, ruta string, tamano long, mtime string, incompleto boolean")
+    listings = listings.select(F.col("poll").cast("timestamp").alias("poll"), "ruta", "tamano", F.col("mtime").cast("timestamp").alias("mtime"), "incompleto")
+    for i in range(7):
+        listings.where(F.minute("poll") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+    batch = {(r["ruta"], r["tamano"], r["servido"].minute) for r in arrivals.served_once(arrivals.stable_runs(listings)).collect()}
+    stream = spark.readStream.schema("poll timestamp, ruta string, tamano long, mtime timestamp, incompleto boolean").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "l"))
+    q = st.mature(stream, every_s=60).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = [(r["ruta"], r["tamano"], r["poll"].minute) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(set(got)) and set(got) == batch == {("back", 1, 1), ("back", 2, 3), ("gap", 5, 5), ("quiet", 3, 1)}
+
+
 def test_orphan_jobs(spark, tmp_path):
     def beat(rows):
         spark.createDataFrame(rows, "job long, ts string, estado string").select("job", F.col("ts").cast("timestamp").alias("ts"), "estado").coalesce(1).write.mode("append").parquet(str(tmp_path / "b"))
