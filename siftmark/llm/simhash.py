@@ -14,9 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import minhash
 from .common import connected_components, cut, texts
 from .hamming import close_forest
+from .minhash import band_keys, candidates, mixed, sized, verified
 
 SEED = 42
 ROWS = 6  # of minima that agree in a band, in drop_similar
@@ -121,7 +121,7 @@ def _sets(words: int, bands: int):
             for text in texts(batch):
                 found = np.unique(np.array(shingle_hashes(text, words), np.uint64))
                 ids.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
-                keys.append(minhash.sized(minhash.band_keys(minhash.mixed(found), np.array([0]), bands, ROWS), np.array([len(found)]))[0].tolist() if len(found) else [])
+                keys.append(sized(band_keys(mixed(found), np.array([0]), bands, ROWS), np.array([len(found)]))[0].tolist() if len(found) else [])
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(keys, schema.field("keys").type)], schema=schema)
 
     return work
@@ -156,11 +156,11 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int
     rows = cut(keyed.mapInArrow(_sets(words, bands), "doc_id long, row long, id long, keys array<long>"))
     nodes = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
     once = rows.dropDuplicates(["id"]).select(F.explode("keys").alias("key"), "id")
-    pairs, tiled = minhash.candidates(once, most, least)
+    pairs, tiled = candidates(once, most, least)
     every = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(tiled.select("id")).distinct()
     text = keyed.join(nodes.join(every, "id").select("id", "row"), "row").dropDuplicates(["id"]).select("id", "text")
     content = cut(text.mapInArrow(_bodies(words), "id long, node long, body binary"))
-    parts = connected_components(minhash.verified(pairs, tiled, content, jaccard_pairs(least), "long"))
+    parts = connected_components(verified(pairs, tiled, content, jaccard_pairs(least), "long"))
     joined = nodes.join(parts, nodes.id == parts.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     kept = joined.groupBy("root").agg(F.min("least").alias("kept"))
     gone = rows.join(joined.join(kept, "root").select("id", "kept"), "id").where("doc_id <> kept").select("doc_id").distinct()

@@ -697,6 +697,13 @@ def test_word_hashes_follow_the_normal_form():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_latin_text_is_plain_as_it_is():
+    every = "".join(chr(c) for c in range(32, 0x3000) if not 0xD800 <= c < 0xE000)
+    for i in range(0, len(every), 7):
+        t = "Äb " + every[i : i + 7]
+        assert lines.lowered(t).tobytes().decode() == lines.plain(t.lower())
+
+
 def test_word_hashes_pass_over_unicode_punctuation_and_space():
     same = ["dont say hello to me¿ ever", "don’t say “hello” to\u00a0me — ever…", "¿don't say «hello»\u2003to me –\u202fever?", "don't\u3000say 「hello」 to me。 e\u00adver\u2028"]
     assert {lines.normalise(x) for x in same} == {"dont say hello to me ever"}
