@@ -480,7 +480,7 @@ def test_lines_find_what_edit_similarity_alone_links(spark):
         forms, pairs, _, gone = line_truth(rows, step)
         k = lambda f: lines.Words().lines(f)
         keys = {f: lines.line_keys(*(x := k(f))[:2], x[3], np.array([0]), lines.BANDS)[0] for f in {f for p in pairs for f in p}}
-        met = sum(bool((keys[a] == keys[b]).any()) for a, b in pairs)
+        met = sum(bool((keys[a] == keys[b]).any() and lines.similar_pairs(0.8)([a], [b])[0]) for a, b in pairs)
         assert len(pairs) > 15 and met >= 0.95 * len(pairs)
         if step == 1:
             dropped = sum(x["n_dropped"] for x in lines.dedup_lines(docs_of(spark, rows)).collect())
@@ -579,7 +579,9 @@ def test_edit_distance_is_exact():
     pairs += zip(wide[::2], wide[1::2])
     want += [(slow(a, b), max(len(a), len(b))) for a, b in zip(wide[::2], wide[1::2])]
     assert lines.distances(*map(list, zip(*pairs))).tolist() == [d for d, _ in want]
-    assert lines.similar_pairs(0.8)(*map(list, zip(*pairs))) == [d <= int(0.2 * n + 1e-9) for d, n in want]
+    shared = [(p := lines.Form(a).features, q := lines.Form(b).features) and len(p & q) >= lines.LEAST_SHARED * len(p | q) for a, b in pairs]
+    same = [len(a.split(" ")) == len(b.split(" ")) and sum(max(len(x), len(y)) for x, y in zip(a.split(" "), b.split(" ")) if x != y) <= int(0.2 * n + 1e-9) for (a, b), (_, n) in zip(pairs, want)]
+    assert lines.similar_pairs(0.8)(*map(list, zip(*pairs))) == [d <= int(0.2 * n + 1e-9) and (s or e) for (d, n), s, e in zip(want, shared, same)]
 
 
 # --- 9 search ---
