@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HUB = 1000  # neighbours from which a node's edges aren't gathered by the node
+HUB = 100_000  # neighbours from which a node's edges aren't gathered by the node
 
 
 def shared_dir(spark: SparkSession) -> str:
