@@ -117,11 +117,26 @@ def _sets(words: int, bands: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for text in texts(batch):
+            ids, keys, sets, at, size = [], [[]] * batch.num_rows, [], [], 0
+
+            def fill() -> None:  # the keys of all sets that are held, at once: a call costs as much for one short text
+                n = np.array([len(x) for x in sets])
+                found = sized(band_keys(mixed(np.concatenate(sets)), np.cumsum(n) - n, bands, ROWS), n)
+                for i, k in zip(at, found.tolist()):
+                    keys[i] = k
+
+            for i, text in enumerate(texts(batch)):
                 found = np.unique(np.array(shingle_hashes(text, words), np.uint64))
                 ids.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
-                keys.append(sized(band_keys(mixed(found), np.array([0]), bands, ROWS), np.array([len(found)]))[0].tolist() if len(found) else [])
+                if len(found):
+                    sets.append(found)
+                    at.append(i)
+                    size += len(found)
+                if size > 1 << 17:
+                    fill()
+                    sets, at, size = [], [], 0
+            if sets:
+                fill()
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(keys, schema.field("keys").type)], schema=schema)
 
     return work
