@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, merkle, mixing, quality, secrets, sharding, simhash, warc
+from . import ann, bpe, collocations, lines, merkle, mixing, quality, secrets, sharding, simhash, spelling, vectors, warc
 from .common import new_shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,9 +79,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_importance_resampling, op2_warc_salvage, op3_simhash_pivots, op4_sharding, op5_mixing,
     op6_merkle, op7_secrets, op8_fuzzy_lines, op9_anisotropic_search, op10_bpe,
+    op11_collocations, op12_spelling_variants, op13_vector_groups,
 )}
 
 ORACLE: dict[str, str] = {
@@ -127,4 +140,19 @@ WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'v' |
  k AS (SELECT *, CAST(least(floor(before / (quota / n_blocks)), n_blocks - 1) AS BIGINT) AS mix_block FROM c, n WHERE before + n_tokens <= quota)
 SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, n_tokens, mix_block,
  CAST(row_number() OVER (PARTITION BY mix_block ORDER BY CAST('0x' || substr(md5(concat_ws('|', 'place', CAST(h AS VARCHAR))), 1, 15) AS BIGINT), key, epoch, doc_id, n_tokens) AS INTEGER) AS place FROM k""",
+    "op11_collocations": f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+ n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+ g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, {collocations.LONGEST + 1}) r(k) WHERE len(w) >= k),
+ f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= {collocations.LEAST}),
+ c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+ x AS (SELECT c.*, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:k], ' ') AS rest FROM c, range(1, {collocations.LONGEST}) r(cut) WHERE cut < k),
+ s AS (SELECT x.lang, x.phrase, x.k, x.a, x.w, x.cut, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * x.a * x.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.first JOIN f r ON r.lang = x.lang AND r.phrase = x.rest),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ o AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) y GROUP BY lang, phrase),
+ e AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.a IS NULL OR 100 * o.a < {collocations.COVERED} * b.a)
+SELECT e.lang, row_number() OVER (PARTITION BY e.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM e JOIN n ON n.lang = e.lang QUALIFY row_number() OVER (PARTITION BY e.lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
