@@ -1,49 +1,17 @@
-"""What several operators of this subpackage share: cutting lineage, Arrow batches, connected components."""
+"""What several operators of this subpackage share: Arrow batches, names, connected components; and the shared folder of the library."""
 
-import uuid
 from collections.abc import Iterable
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HUB = 100_000  # neighbours from which a node's edges aren't gathered by the node
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, which
-    they share as well."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def new_shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from ..shared import cut, join_small, new_shared_path, remove, shared_dir, written
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that new_shared_path() named, on whatever file system it lies."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["Codes", "connected_components", "cut", "free_names", "join_small", "new_shared_path", "remove", "shared_dir", "texts", "uniform63", "written"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the shared folder, so that a lost executor takes nothing with it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df, computed and kept as a table in the shared folder, and the table's path: to be read by column, or removed."""
-    path = new_shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+HUB = 100_000  # neighbours from which a node's edges aren't gathered by the node
 
 
 def free_names(taken: Iterable[str], *names: str) -> list[str]:
@@ -130,9 +98,3 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB
     else:
         raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def join_small(df: DataFrame, small: DataFrame, on: str, most_rows: int = 100_000) -> DataFrame:
-    """df inner-joined with a table that is broadcast only if it has been counted to have at most most_rows rows."""
-    small = cut(small)
-    return df.join(F.broadcast(small) if small.count() <= most_rows else small, on)

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
-from .hamming import runs, tiles
+from .common import connected_components, cut, join_small
+from .hamming import runs
 
 LEAST = 0.98
 LOST = 1e-4  # of pairs at the limit, by the tables and by the count each
@@ -26,7 +26,7 @@ WINDOW = 2.0  # half a window, and
 CELL = 8.0  # a cell, in distances of a pair at the limit
 COUNTED = 32  # projections whose collisions are counted
 FILLED = 512  # vectors of a cell, about, if they lie evenly
-MOST = 1024  # vectors of a cell that are compared at once; fuller ones are dealt out as pairs of chunks
+MOST = 1024  # vectors of a cell that one task takes; fuller cells are dealt out as pairs of chunks from the start
 
 
 def _normal_within(x: float) -> float:
@@ -138,7 +138,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return out
 
 
-LINKS = "kind int, a long, b long, n long"  # kind 0: node a has n links more; 1: an edge of a spanning forest; 2: row a of a full cell, in chunk n
+LINKS = "kind int, a long, b long, n long"  # kind 0: node a has n links more; 1: an edge (a, b) of a spanning forest
 
 
 def _links(rows: pa.Table, table: int, p: Plan, least: float, part: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -164,14 +164,9 @@ def _links(rows: pa.Table, table: int, p: Plan, least: float, part: np.ndarray |
         yield pa.record_batch([np.ones(len(edges), np.int32), node[i[edges]], node[j[edges]], np.zeros(len(edges), np.int64)], names=["kind", "a", "b", "n"])
 
 
-def _in_cells(p: Plan, least: float, most: int):
+def _in_cells(p: Plan, least: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts, chunk, split in runs(batches, lambda t: [t[c].to_numpy() for c in ("grp", "tab", "cell")], most):
-            if split:
-                n = rows.num_rows
-                key = np.asarray(rows["tab"].to_numpy(), np.int64)
-                yield pa.record_batch([np.full(n, 2, np.int32), rows["node"].to_numpy(), key, np.full(n, chunk, np.int64)], names=["kind", "a", "b", "n"])
-                continue
+        for rows, starts, _, _ in runs(batches, lambda t: [t[c].to_numpy() for c in ("grp", "tab", "cell")]):
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
                 if e - s > 1:
                     yield from _links(part := rows.slice(s, e - s), part["tab"][0].as_py(), p, least)
@@ -207,14 +202,15 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, lost: float = LOST
     p = plan(fullest, least, lost)
     units = cut(nodes.select("node", F.xxhash64("label").alias("grp"), "weight", "embedding").mapInArrow(_cells(p), "node long, grp long, weight long, unit array<double>, cells array<long>"))
     order = ["grp", "tab", "cell"]
-    dealt = units.select("node", "grp", "weight", "unit", "cells", F.posexplode("cells").alias("tab", "cell"))
-    found = cut(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_in_cells(p, least, most), LINKS))
-    over = found.where("kind = 2").select(F.col("a").alias("node"), F.col("b").cast("int").alias("tab"), F.col("n").cast("int").alias("chunk"))
-    slim = units.select("node", "grp", "cells")
-    over = over.join(slim, "node").select("node", "grp", "tab", F.expr("cells[tab]").alias("cell"), "chunk", F.col("chunk").alias("part"))
-    over = tiles(over.withColumn("k", F.struct(*order)), "k").drop("k").join(units.select("node", "weight", "unit", "cells"), "node")
+    cells = units.select("grp", F.posexplode("cells").alias("tab", "cell"))
+    full = cells.groupBy(*order).count().where(F.col("count") > most).select(*order, F.ceil(F.col("count") / most).alias("chunks"))
+    dealt = join_small(units.select("node", "grp", "weight", "unit", "cells", F.posexplode("cells").alias("tab", "cell")), full, order, "left")
+    small = dealt.where("chunks is null").drop("chunks").repartition(*order).sortWithinPartitions(*order).mapInArrow(_in_cells(p, least), LINKS)
+    large = dealt.where("chunks is not null").withColumn("part", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+    large = large.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("chunks", "other")
     order += ["i", "j"]
-    found = found.where("kind < 2").unionByName(cut(over.repartition(*order).sortWithinPartitions(*order).mapInArrow(_in_tiles(p, least), LINKS)))
+    large = large.repartition(*order).sortWithinPartitions(*order).mapInArrow(_in_tiles(p, least), LINKS)
+    found = cut(small.unionByName(large))
     linked = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     valid = units.select("node").withColumn("valid", F.lit(True))
     ends = connected_components(found.where("kind = 1").select("a", "b"))
