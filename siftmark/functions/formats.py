@@ -1,51 +1,55 @@
-"""File formats: names, capabilities, signatures, safe names."""
-
-from functools import reduce
+"""File formats: names, capabilities, what their signatures may be, safe names."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .signatures import MARKS, PATTERNS, mapped
+
 # Aliases of extensions; extensions by capability.
 ALIASES = {"jpeg": "jpg", "tiff": "tif", "htm": "html", "markdown": "md"}
 CATEGORY = {
-    "imagen": "png tif tiff webp avif jpg jpeg gif bmp ico", "vectorial": "svg", "documento": "pdf docx odt tex epub mobi azw3 html md txt rtf",
-    "hoja": "xlsx ods", "presentacion": "pptx odp", "video": "mp4 mkv webm mov avi mpd", "audio": "wav flac mp3 m4a aac opus ogg", "datos": "csv json tsv",
-}
-HOLDS_TEXT = "svg pdf docx odt xlsx ods pptx odp tex epub mobi azw3 html md txt rtf csv json tsv"
-HOLDS_ALPHA = "png tif tiff webp avif gif ico svg pdf"
+    "imagen": ("png", "tif", "tiff", "webp", "avif", "jpg", "jpeg", "gif", "bmp", "ico"),
+    "vectorial": ("svg",),
+    "documento": ("pdf", "docx", "odt", "tex", "epub", "mobi", "azw3", "html", "md", "txt", "rtf"),
+    "hoja": ("xlsx", "ods"),
+    "presentacion": ("pptx", "odp"),
+    "video": ("mp4", "mkv", "webm", "mov", "avi", "mpd"),
+    "audio": ("wav", "flac", "mp3", "m4a", "aac", "opus", "ogg"),
+    "datos": ("csv", "json", "tsv"),
+}
+HOLDS_TEXT = ("svg", "pdf", "docx", "odt", "xlsx", "ods", "pptx", "odp", "tex", "epub", "mobi", "azw3", "html", "md", "txt", "rtf", "csv", "json", "tsv")
+HOLDS_ALPHA = ("png", "tif", "tiff", "webp", "avif", "gif", "ico", "svg", "pdf")
 DEPTH = {"png": 16, "tif": 16, "tiff": 16, "avif": 12, "pdf": 16}
-LOSSY = "webp avif jpg jpeg gif mp4 mkv webm mov avi mpd mp3 m4a aac opus ogg"
-RESERVED = "CON PRN AUX NUL COM1 COM2 COM3 COM4 COM5 COM6 COM7 COM8 COM9 LPT1 LPT2 LPT3 LPT4 LPT5 LPT6 LPT7 LPT8 LPT9"
-# Fixed values: (offset, bytes in hexadecimal, type), tried in this order.
-SIGNATURES = [
-    (0, "89504e470d0a1a0a", "png"), (0, "ffd8ff", "jpeg"), (0, "0000000c6a5020200d0a870a", "jpeg2000"), (0, "ff4fff51", "jpeg2000"), (0, "474946383761", "gif"), (0, "474946383961", "gif"),
-    (0, "424d", "bmp"), (0, "49492a00", "tiff"), (0, "4d4d002a", "tiff"), (0, "38425053", "psd"), (0, "000001000000", "jbig"), (0, "00000100", "ico"),
-    (0, "664c6143", "flac"), (0, "4f676753", "ogg"), (0, "494433", "mp3"), (0, "1a45dfa3", "matroska"), (0, "255044462d", "pdf"), (0, "504b0304", "zip"), (0, "d0cf11e0a1b11ae1", "cfb"),
-    (522, "001102ff0c00", "pict"), (2048, "5043445f495049", "pcd"),
-]
-BRANDS = {"avif": "avif avis", "heif": "mif1 heic heix hevc msf1", "mp4": "isom iso2 iso4 iso5 iso6 mp41 mp42 mp71 dash avc1 isml MSNV mmp4", "3gp": "3gp4 3gp5 3gp6 3g2a 3g2b 3gr6", "mj2": "mj2s"}
-PALM = {"BOOKMOBI": "mobi", "TEXtREAd": "mobi", "vIMGView": "palm_imagen", "PNRdPPrs": "ereader"}
-ZIP_MIME = {"application/epub+zip": "epub", "application/vnd.oasis.opendocument.text": "odt", "application/vnd.oasis.opendocument.spreadsheet": "ods", "application/vnd.oasis.opendocument.presentation": "odp", "application/vnd.oasis.opendocument.graphics": "odg"}
-TEXT_MARKS = [("%!PS", "postscript"), ("%PDF-", "pdf"), ("{\\rtf", "rtf"), ("#EXTM3U", "m3u8"), ("WEBVTT", "vtt"), ("[Script Info]", "ass"), ("YUV4MPEG2", "y4m"), (";FFMETADATA", "ffmetadata"), ("#define ", "xbm"), ("GIMP Palette", "gimp_paleta"), ("#FIG ", "xfig"), ("ply\n", "ply"), ("solid ", "stl_ascii"), ("#?RADIANCE", "radiance"), ("ISO-10303-21;", "step")]
-PROBE = {"imagen": "png jpeg webp gif tiff avif heif bmp jpeg2000 psd jbig ico pict pcd palm_imagen xbm", "av": "mp4 m4a mov matroska ogg wav flac mp3 3gp mj2 y4m aiff avi", "pdf": "pdf", "datos": "texto m3u8 vtt ass ffmetadata", "documento": "postscript rtf xml html svg epub odt ods odp odg docx xlsx pptx mobi ereader cfb"}
-# What an extension's signature may be; those that only show a family; those that have none.
-ACCEPTED = {"png": "png", "jpg": "jpeg", "tif": "tiff", "gif": "gif", "bmp": "bmp", "webp": "webp", "avif": "avif", "pdf": "pdf", "flac": "flac", "ogg": "ogg", "opus": "ogg", "wav": "wav", "mp4": "mp4 mov", "mkv": "matroska", "webm": "matroska", "html": "html", "svg": "svg xml", "epub": "epub", "odt": "odt", "docx": "docx"}
-FAMILY_ONLY = "opus webm mkv"
-NO_MARK = "txt md csv tsv json tex"
-
-
-def mapped(key: Column, pairs: dict[str, str]) -> Column:
-    """The value of a key in a small fixed table; null for others."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key) if pairs else F.lit(None)
-
-
-def spread(groups: dict[str, str]) -> dict[str, str]:
-    """{member: group} of {group: 'member member'}."""
-    return {m: g for g, members in groups.items() for m in members.split()}
+LOSSY = ("webp", "avif", "jpg", "jpeg", "gif", "mp4", "mkv", "webm", "mov", "avi", "mpd", "mp3", "m4a", "aac", "opus", "ogg")
+RESERVED = ("CON", "PRN", "AUX", "NUL", *[f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10)])
+# Types that an extension's file may show. A type's own name is an extension that may show it, if nothing
+# is said of it here.
+ACCEPTED = {
+    "jpg": ("jpeg",), "jpe": ("jpeg",), "jfif": ("jpeg",), "mjpeg": ("jpeg",), "jp2": ("jpeg2000", "mj2", "isobmff"), "j2k": ("jpeg2000", "mj2", "isobmff"), "tif": ("tiff", "bigtiff"), "bigtiff": ("bigtiff", "tiff"),
+    "webp": ("webp",), "avif": ("avif", "isobmff"), "heic": ("heif", "isobmff"), "heif": ("heif", "isobmff"), "psb": ("psd",), "ras": ("sunras",), "hdr": ("radiance",), "cin": ("cineon",), "cur": ("cur", "ico"),
+    "mpc": ("mpc", "musepack"), "mat": ("mat", "texto"), "cal": ("cals",), "pct": ("pict",), "rb": ("rocketbook",), "pbm": ("pnm",), "pgm": ("pnm",), "ppm": ("pnm",), "brf": ("brf",),
+    "mp3": ("mp3", "mpegaudio"), "aac": ("adts",), "eac3": ("ac3",), "opus": ("ogg",), "oga": ("ogg",), "ogv": ("ogg",), "wav": ("wav",), "w64": ("wave64",), "aif": ("aiff",), "aifc": ("aiff",), "snd": ("au",), "wv": ("wavpack",),
+    "mid": ("midi",), "m4a": ("m4a", "mp4", "isobmff"), "m4b": ("m4a", "mp4", "isobmff"), "mp4": ("mp4", "mov", "m4a", "isobmff"), "m4v": ("mp4", "mov", "m4a", "isobmff"), "mov": ("mov", "mp4", "isobmff"), "3gp": ("3gp", "mp4", "isobmff"),
+    "mkv": ("matroska",), "mka": ("matroska",), "webm": ("matroska",), "avi": ("avi",), "wmv": ("asf",), "wma": ("asf",), "rm": ("realmedia",), "mpg": ("mpegps",), "mpeg": ("mpegps",), "vob": ("mpegps",), "m2v": ("mpegvideo", "flujo_es"),
+    "ts": ("mpegts",), "m2ts": ("m2ts", "mpegts"), "h264": ("flujo_es",), "h265": ("flujo_es",), "obu": ("av1obu",), "ps": ("postscript",), "eps": ("postscript", "eps_binario"), "gz": ("gzip",), "bz2": ("bzip2",),
+    "zip": ("zip", "docx", "xlsx", "pptx", "odt", "ods", "odp", "odg", "epub"), "epub": ("epub", "zip"), "docx": ("docx", "zip"), "xlsx": ("xlsx", "zip"), "pptx": ("pptx", "zip"), "odt": ("odt", "zip", "xml"), "ods": ("ods", "zip"),
+    "odp": ("odp", "zip"), "odg": ("odg", "zip"), "doc": ("cfb",), "xls": ("cfb",), "ppt": ("cfb",), "mobi": ("mobi",), "azw3": ("mobi",), "pdb": ("mobi", "palm_imagen", "ereader"), "svg": ("svg", "xml"), "svgz": ("gzip",),
+    "html": ("html", "xml", "texto"), "xhtml": ("html", "xml", "texto"), "xml": ("xml", "svg", "html", "texto"), "fb2": ("xml", "svg", "html", "texto"), "mpd": ("xml", "svg", "html", "texto"), "stl": ("stl_ascii", "stl_binario"), "stp": ("step",),
+    "glb": ("glb", "texto"), "gltf": ("glb", "texto"), "fbx": ("fbx", "texto"), "x": ("directx_x",), "fig": ("xfig",), "gpl": ("gimp_paleta",),
+    "csv": ("texto",), "json": ("texto",), "yaml": ("texto",), "toml": ("texto",), "srt": ("texto",), "txt": ("texto", "im_texto"), "md": ("texto", "im_texto"), "tsv": ("texto", "im_texto"),
+}
+# Extensions whose marks show a family only; those whose files have no mark.
+FAMILY_ONLY = ("csv", "json", "yaml", "toml", "txt", "md", "tsv", "srt", "xml", "html", "xhtml", "fb2", "gltf", "fbx", "mpd")
+NO_MARK = ("rgb", "rgba", "bgr", "cmyk", "gray", "yuv", "g3", "g4", "fax", "group4", "pcm", "al", "ul", "gsm", "avs", "tga", "wbmp", "docbook", "jats", "mediawiki", "tex", "latex", "rst", "org", "textile", "asciidoc", "obj", "pov", "ftxt")
+UNNAMED = ("desconocido", "matroska", "realmedia", "jpeg", "jpeg2000", "mpegaudio", "flujo_es", "av1obu", "eps_binario", "stl_binario", "directx_x", "rocketbook", "wave64")  # types that are no extension
+for _kind in dict.fromkeys([m.kind for m in MARKS] + [k for _, k in PATTERNS]):
+    if _kind not in UNNAMED:
+        ACCEPTED.setdefault(_kind, (_kind,))
 
 
-def among(x: Column, words: str) -> Column:
-    return x.isin(*words.split())
+def spread(groups: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """{member: group} of {group: members}."""
+    return {m: g for g, members in groups.items() for m in members}
 
 
 def extension(name: Column) -> Column:
@@ -61,7 +65,7 @@ def normal_extension(ext: Column) -> Column:
 
 def formats(spark: SparkSession) -> DataFrame:
     """(ext, categoria, texto, alfa, prof_max, perdida): a small table that joins may broadcast."""
-    rows = [(e, c, e in HOLDS_TEXT.split(), e in HOLDS_ALPHA.split(), DEPTH.get(e, 8), e in LOSSY.split()) for e, c in spread(CATEGORY).items()]
+    rows = [(e, c, e in HOLDS_TEXT, e in HOLDS_ALPHA, DEPTH.get(e, 8), e in LOSSY) for e, c in spread(CATEGORY).items()]
     return spark.createDataFrame(rows, "ext string, categoria string, texto boolean, alfa boolean, prof_max int, perdida boolean")
 
 
@@ -74,57 +78,26 @@ def _be(content: Column, at: int, n: int) -> Column:
     return F.conv(F.hex(F.substring(content, at + 1, n)), 16, 10).cast("long")
 
 
-def text_type(text: Column) -> Column:
-    """The kind of a text by its marker, after a byte order mark and white space; 'texto' if none."""
-    s = F.regexp_replace(text, "^﻿?[ \\t\\r\\n]*", "")
-    low = F.lower(F.substring(s, 1, 600))
-    out = reduce(lambda w, m: w.when(s.startswith(m[0]), m[1]), TEXT_MARKS, F.when(F.lit(False), ""))
-    xml = F.when(low.contains("<svg"), "svg").when(low.contains("<html") | low.contains("<!doctype html"), "html").otherwise("xml")
-    out = out.when(low.startswith("<?xml"), xml).when(low.startswith("<!doctype html") | low.startswith("<html"), "html").when(low.startswith("<svg"), "svg")
-    return out.otherwise("texto")
-
-
-def signature(content: Column) -> Column:
-    """A file's type by its bytes: the first signature that fits, containers told apart by their inner marks, then text."""
-    first = lambda at, n: F.substring(content, at + 1, n)
-    four = lambda at: F.decode(first(at, 4), "ISO-8859-1")
-    riff = F.when(four(8) == "WAVE", "wav").when(four(8) == "WEBP", "webp").when(four(8) == "AVI ", "avi").otherwise("riff")
-    form = F.when(four(8).isin("AIFF", "AIFC"), "aiff").otherwise("iff")
-    brand = F.coalesce(mapped(four(8), spread(BRANDS) | {"qt  ": "mov", "M4A ": "m4a", "M4B ": "m4a", "M4V ": "mp4", "f4v ": "mp4", "jp2 ": "jpeg2000", "jpx ": "jpeg2000", "crx ": "isobmff"}), F.lit("isobmff"))
-    out = F.when(F.length(content) == 0, "vacio").when(four(0) == "RIFF", riff).when(four(0) == "FORM", form).when(four(4) == "ftyp", brand)
-    palm = mapped(F.decode(first(60, 8), "ISO-8859-1"), PALM)
-    mime = F.decode(first(38, 80), "ISO-8859-1")
-    inner = reduce(lambda w, kv: w.when(mime.startswith(kv[0]), kv[1]), sorted(ZIP_MIME.items(), key=lambda kv: -len(kv[0])), F.when(F.lit(False), ""))
-    out = out.when(palm.isNotNull(), palm).when((first(0, 4) == F.unhex(F.lit("504b0304"))) & (F.decode(first(30, 8), "ISO-8859-1") == "mimetype"), inner.otherwise("zip"))
-    for at, mark, kind in SIGNATURES:
-        out = out.when(first(at, len(mark) // 2) == F.unhex(F.lit(mark)), kind)
-    head = first(0, 512)
-    binary = F.instr(F.decode(head, "ISO-8859-1"), "\0") > 0
-    return out.when(binary, "binario").otherwise(text_type(F.decode(F.substring(content, 1, 1024), "ISO-8859-1")))
-
-
-def probe_category(kind: Column) -> Column:
-    """What probe a type needs; null for types without one."""
-    return mapped(kind, spread(PROBE))
-
-
 def signature_status(ext: Column) -> Column:
     """How far an extension's signature can be checked: evaluado, familia, no_aplica or sin_vocabulario."""
-    known = among(ext, " ".join(ACCEPTED))
-    return F.when(known & among(ext, FAMILY_ONLY), "familia").when(known, "evaluado").when(among(ext, NO_MARK), "no_aplica").otherwise("sin_vocabulario")
+    known = ext.isin(*ACCEPTED)
+    return F.when(known & ext.isin(*FAMILY_ONLY), "familia").when(known, "evaluado").when(ext.isin(*NO_MARK), "no_aplica").otherwise("sin_vocabulario")
 
 
 def coherent(kind: Column, ext: Column) -> Column:
     """Whether a real type may carry an extension; null where the extension has no known signature."""
-    return F.array_contains(F.split(mapped(ext, ACCEPTED), " "), kind)
+    some = F.element_at(F.create_map(*[x for e, kinds in ACCEPTED.items() for x in (F.lit(e), F.array(*map(F.lit, kinds)))]), ext)
+    return F.array_contains(some, kind)
 
 
-def declared_length_status(content: Column) -> Column:
-    """completo or incompleto by what the header declares, sin_declaracion if it declares nothing."""
-    n, kind = F.length(content).cast("long"), F.decode(F.substring(content, 1, 4), "ISO-8859-1")
+def declared_length_status(content: Column, size: Column | None = None, tail: Column | None = None) -> Column:
+    """completo or incompleto by what the header declares, sin_declaracion if it declares nothing. Where content is only a
+    file's beginning, size is that of the file and tail its end, 8 bytes or more."""
+    n, kind = (F.length(content) if size is None else size).cast("long"), F.decode(F.substring(content, 1, 4), "ISO-8859-1")
+    tail = content if tail is None else tail
     riff = _le(content, 4, 4)
     riff_says = F.when(riff.isin(0, 0xFFFFFFFF), "sin_declaracion").when(n >= riff + 8, "completo").otherwise("incompleto")
-    png = F.when(F.decode(F.substring(content, -8, 4), "ISO-8859-1") == "IEND", "completo").otherwise("incompleto")
+    png = F.when(F.decode(F.substring(tail, -8, 4), "ISO-8859-1") == "IEND", "completo").otherwise("incompleto")
     return F.when(n < 12, "incompleto").when(kind == "RIFF", riff_says).when(F.substring(content, 1, 8) == F.unhex(F.lit("89504e470d0a1a0a")), png).otherwise("sin_declaracion")
 
 
@@ -135,5 +108,5 @@ def png_megapixels(content: Column) -> Column:
 
 def safe_name(name: Column) -> Column:
     """Whether a name is a plain file name everywhere: no separators, streams, trailing dots or spaces, no device."""
-    device = F.upper(F.substring_index(name, ".", 1)).isin(*RESERVED.split())
+    device = F.upper(F.substring_index(name, ".", 1)).isin(*RESERVED)
     return F.coalesce((name != "") & ~name.isin(".", "..") & ~name.rlike(r"[/\\:]") & ~name.rlike(r"[. ]\z") & ~device, F.lit(False))

@@ -3,11 +3,11 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .formats import mapped
+from .signatures import mapped
 
 # Codec aliases; samples in a frame of lossy codecs.
 CODEC_ALIAS = {"mp4a": "aac", "avc1": "h264", "mpeg4/iso/avc": "h264"}
-FRAME_SAMPLES = {"mp3": "1152", "aac": "1024", "alac": "4096", "opus": "960", "vorbis": "1024", "ac3": "1536"}
+FRAME_SAMPLES = {"mp3": 1152, "aac": 1024, "alac": 4096, "opus": 960, "vorbis": 1024, "ac3": 1536}
 
 
 def codec(name: Column) -> Column:

@@ -13,9 +13,9 @@ def normal(text: Column, fold: bool = False, keep_punctuation: bool = False) ->
     low = F.lower(text)
     if fold:
         low = F.translate(low, ACCENTED, PLAIN)
-    if not keep_punctuation:
-        low = F.regexp_replace(low, "[^a-z0-9 ]+" if fold else f"[^a-z0-9{ACCENTED} ]+", " ")
-    return F.trim(F.regexp_replace(low, "[ \\t\\r\\n]+", " "))
+    if keep_punctuation:
+        return F.trim(F.regexp_replace(low, "[ \\t\\r\\n]+", " "))
+    return F.trim(F.regexp_replace(low, "[^a-z0-9]+" if fold else f"[^a-z0-9{ACCENTED}]+", " "))
 
 
 def count_of(text: Column, characters: str) -> Column:
@@ -56,3 +56,25 @@ def lines_of(text: Column) -> Column:
     """Physical lines: line feeds, and one more if the last line has none."""
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     return F.when(F.length(text) == 0, 0).otherwise(n + F.when(text.endswith("\n"), 0).otherwise(1)).cast("int")
+
+
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value. Spark's parser passes over what follows a value, so it is asked about the text as the
+    only member of an array and of an object: what closes either too early leaves the other open."""
+    listed, held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return held.isNotNull() & listed.isNotNull() & F.try_variant_get(F.coalesce(listed, F.parse_json(F.lit("[]"))), "$[1]", "variant").isNull()
+
+
+def data_facts(content: Column, kind: Column) -> Column:
+    """What the bytes of a data file show: struct(utf8_valido, reemplazo, json_valido, anchos, bom). json_valido is null but for
+    json, anchos (the different numbers of fields of its lines, blank ones apart) but for csv."""
+    text = content.cast("string")
+    valid = F.is_valid_utf8(text)
+    read = F.make_valid_utf8(text)
+    lines = F.filter(F.split(F.regexp_replace(read, "\r\n", "\n"), "\n"), lambda x: F.trim(x) != "")
+    bom = F.hex(F.substring(content, 1, 3)) == "EFBBBF"
+    bare = F.when(bom, F.substring(read, 2, 1 << 30)).otherwise(read)
+    return F.struct(
+        valid.alias("utf8_valido"), (valid & F.contains(read, F.lit("\uFFFD"))).alias("reemplazo"), F.when(kind == "json", is_json(bare)).alias("json_valido"),
+        F.when(kind == "csv", F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.size(F.split(x, ",", -1)))))).alias("anchos"), bom.alias("bom"),
+    )

@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 def stable_runs(listings: DataFrame, polls: int = 2) -> DataFrame:
     """(ruta, tamano, mtime, desde, maduro, n): runs of equal listings of a file; maduro is the poll at which a run has
     been seen `polls` times (null if it never was). Any change begins a new run, and so does a poll that misses the file:
-    its state is forgotten."""
+    its state is forgotten. Of rows of one file and poll the latest by mtime, then the largest, counts."""
     w = Window.partitionBy("ruta").orderBy("poll")
+    listings = listings.groupBy("ruta", "poll").agg(F.max(F.struct("mtime", "tamano")).alias("_m")).select("ruta", "poll", "_m.tamano", "_m.mtime")
     order = listings.select("poll").distinct().withColumn("_i", F.row_number().over(Window.orderBy("poll")))  # as many rows as polls
     x = listings.join(F.broadcast(order), "poll")
     same = (F.lag("tamano").over(w) == F.col("tamano")) & (F.lag("mtime").over(w) == F.col("mtime")) & (F.lag("_i").over(w) == F.col("_i") - 1)
@@ -21,6 +22,22 @@ def stable_runs(listings: DataFrame, polls: int = 2) -> DataFrame:
     return x.groupBy("ruta", "_run", "tamano", "mtime").agg(F.min("poll").alias("desde"), F.min(F.when(F.col("_k") == polls, F.col("poll"))).alias("maduro"), F.count("*").alias("n")).drop("_run")
 
 
+def numbered(listings: DataFrame) -> DataFrame:
+    """listings with vuelta: the number of their poll, from 1, without gaps. As many rows are numbered as there are polls."""
+    order = listings.select("poll").distinct().withColumn("vuelta", F.row_number().over(Window.orderBy("poll")).cast("long"))
+    return listings.join(order, "poll")
+
+
+def evictions(listings: DataFrame) -> DataFrame:
+    """(ruta, visto, desalojado, polls): each time that a file of listings (vuelta, poll, ruta) is missed: the last poll that had it, the
+    first that hasn't, and for how many polls it had been there. The last poll of all ends nothing."""
+    once = listings.select("ruta", "vuelta", "poll").distinct()
+    w = Window.partitionBy("ruta").orderBy("vuelta")
+    runs = once.withColumn("_g", F.col("vuelta") - F.row_number().over(w)).groupBy("ruta", "_g").agg(F.max("vuelta").alias("_v"), F.max("poll").alias("visto"), F.count("*").alias("polls"))
+    after = listings.select((F.col("vuelta") - 1).alias("_v"), F.col("poll").alias("desalojado")).distinct()
+    return runs.join(after, "_v").select("ruta", "visto", "desalojado", "polls")
+
+
 def served_once(mature: DataFrame) -> DataFrame:
     """The first time that each identity (ruta, tamano, mtime) matured."""
     return mature.where("maduro IS NOT NULL").groupBy("ruta", "tamano", "mtime").agg(F.min("maduro").alias("servido"))

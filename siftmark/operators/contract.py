@@ -91,6 +91,19 @@ def aspect(w0: Column, h0: Column, w1: Column, h1: Column) -> Rule:
     return Rule("aspect", 4, F.when(F.abs(w0 / h0 - w1 / h1) > ASPECT_DRIFT, WARN), F.round(w0 / h0, 4), F.round(w1 / h1, 4), "aspect ratio moved")
 
 
+def data_rules(facts: str) -> list[Rule]:
+    """Point 3 of data files, over text.data_facts(): encoding, replacement characters, syntax, constant field counts; and an
+    unasked byte order mark (point 4)."""
+    f = lambda x: F.col(f"{facts}.{x}")
+    return [
+        Rule("D5-utf8", 3, F.when(~f("utf8_valido"), FAIL), F.lit(True), f("utf8_valido"), "not UTF-8"),
+        Rule("D5", 3, F.when(f("reemplazo"), FAIL), F.lit(False), f("reemplazo"), "replacement characters"),
+        Rule("D8", 3, F.when(~f("json_valido"), FAIL), F.lit(True), f("json_valido"), "invalid JSON"),
+        Rule("D2", 3, F.when(F.size(f("anchos")) > 1, FAIL), F.lit(1), F.size(f("anchos")), "field count varies"),
+        Rule("D4", 4, F.when(f("bom"), WARN), F.lit(False), f("bom"), "byte order mark"),
+    ]
+
+
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == FAIL, 2).when(severity == WARN, 1).otherwise(0)
 
@@ -151,16 +164,70 @@ def census(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFram
     return both.withColumn("estado", state)
 
 
-def writes(listing: DataFrame, job: str, target: Column, declared: Column, satellite: Column) -> DataFrame:
+# Targets that come with further files; what such files end in.
+SEVERAL_FILES = ("mpd", "m3u8", "html", "shtml", "ismv", "vtt")
+SATELLITES = ("m4s", "ts", "png", "jpg", "jpeg", "shtml", "map", "vtt", "m3u8", "mpd", "webvtt")
+
+
+def is_pattern(declared: Column) -> Column:
+    return F.contains(declared, F.lit("%"))
+
+
+def literal_prefix(declared: Column) -> Column:
+    """What every name of a declared output begins with: all of it, but for a printf pattern what stands before the number."""
+    return F.substring_index(declared, "%", 1)
+
+
+def output_pattern(declared: Column) -> Column:
+    """A declared output as an anchored regular expression; printf numbers (%d, %03d, %i, %u) are groups of digits."""
+    plain = F.regexp_replace(declared, r"([\\.\[\]{}()*+?^$|-])", r"\\$1")
+    return F.concat(F.lit("^"), F.regexp_replace(plain, "%0?[0-9]*[diu]", "([0-9]+)"), F.lit("$"))
+
+
+def is_declared(name: Column, declared: Column) -> Column:
+    """Whether a file is the declared output, or one that its pattern stands for."""
+    return F.when(is_pattern(declared), F.rlike(name, output_pattern(declared))).otherwise(name == declared)
+
+
+def is_satellite(name: Column, declared: Column) -> Column:
+    """Whether a file may come with the declared one: by its extension, or because its name holds the other's stem."""
+    stem = F.regexp_replace(declared, r"\.[^.]*$", "")
+    return F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*SATELLITES) | (F.contains(name, stem) & (stem != ""))
+
+
+def comes_in_several(target: Column, declared: Column, asked: Column | None = None) -> Column:
+    """Whether further files beside the declared one are no surprise."""
+    return target.isin(*SEVERAL_FILES) | is_pattern(declared) | (F.lit(False) if asked is None else F.coalesce(asked, F.lit(False)))
+
+
+def numbered_outputs(listing: DataFrame, declared: DataFrame, keys: Sequence[str], name: str, pattern: str) -> DataFrame:
+    """(keys, pattern, ficheros, primero, ultimo, huecos): the files of listing that each declared pattern stands for, from which
+    number to which, and how many runs of numbers are missing between. declared: (keys, pattern); a pattern meets only
+    names that begin as it does, and one that nothing matches has 0 files."""
+    p = declared.where(is_pattern(F.col(pattern))).select(*keys, pattern)
+    begin = literal_prefix(F.col(pattern))
+    lengths = [r[0] for r in p.select(F.length(begin)).distinct().limit(1000).collect()]  # lengths of prefixes, not of names
+    starts = F.explode(F.array_distinct(F.array(*[F.substring(name, 1, n) for n in lengths]))) if lengths else F.lit("")
+    near = listing.select(*keys, name, starts.alias("_begin")).join(p.withColumn("_begin", begin), [*keys, "_begin"])
+    met = near.where(F.rlike(F.col(name), output_pattern(F.col(pattern)))).select(*keys, pattern, F.call_function("regexp_extract", F.col(name), output_pattern(F.col(pattern)), F.lit(1)).cast("long").alias("_n"))
+    jump = F.col("_n") - F.lag("_n").over(Window.partitionBy(*keys, pattern).orderBy("_n"))
+    g = met.withColumn("_gap", (jump > 1).cast("int")).groupBy(*keys, pattern).agg(F.count("*").alias("ficheros"), F.min("_n").alias("primero"), F.max("_n").alias("ultimo"), F.coalesce(F.sum("_gap"), F.lit(0)).alias("huecos"))
+    return p.distinct().join(g, [*keys, pattern], "left").withColumn("ficheros", F.coalesce("ficheros", F.lit(0)))
+
+
+def writes(listing: DataFrame, job: str, target: Column, declared: Column, satellite: Column, several: Column | None = None) -> DataFrame:
     """Rules on what a job wrote: files outside the target folder (N5, N6), beside the output (N7), changed (N8), and the
-    share of the declared output (N9). target, declared, satellite: predicates on the rows of census()."""
+    share of the declared output (N9). target, declared, satellite, several: predicates on the rows of census(); files beside the
+    output are no warning if it comes in several files and they are all satellites."""
     size, new = F.coalesce("despues", F.lit(0)), F.col("estado") == "nuevo"
+    several = F.lit(True) if several is None else several
+    outside, beside = new & ~target, new & target & ~declared
     g = listing.groupBy(job).agg(
-        F.sum(F.when(new & declared, size).otherwise(0)).alias("declared_bytes"), F.sum(F.when(new & ~target, size).otherwise(0)).alias("outside_bytes"), F.count_if(new & ~target).alias("outside"),
-        F.count_if(new & target & ~declared).alias("beside"), F.count_if(new & target & ~declared & satellite).alias("satellites"), F.count_if(F.col("estado") == "cambiado").alias("changed"), F.sum(F.when(new, size).otherwise(0)).alias("written"),
+        F.sum(F.when(new & target & declared, size).otherwise(0)).alias("declared_bytes"), F.sum(F.when(outside, size).otherwise(0)).alias("outside_bytes"), F.count_if(outside).alias("outside"), F.count_if(beside).alias("beside"),
+        F.count_if(beside & satellite & several).alias("satellites"), F.count_if(F.col("estado") == "cambiado").alias("changed"), F.sum(F.when(new, size).otherwise(0)).alias("written"),
     )
     return g.select(
-        job, F.when(F.col("outside") > 0, F.when(F.col("outside_bytes") > F.col("declared_bytes"), FAIL).otherwise(WARN)).alias("n5"),
+        job, F.when(F.col("outside") > 0, F.when(F.col("outside_bytes") > F.greatest("declared_bytes", F.lit(1)), FAIL).otherwise(WARN)).alias("n5"),
         F.when(F.col("beside") > 0, F.when(F.col("beside") == F.col("satellites"), INFO).otherwise(WARN)).alias("n7"),
         F.when(F.col("changed") > 0, WARN).alias("n8"), F.when(F.col("written") > 0, F.round(F.col("declared_bytes") / F.col("written"), 6)).alias("n9"),
     )

@@ -4,12 +4,13 @@ import re
 from collections import Counter
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import media, text
+from ..functions import edits, media, text
 
 SILENT_IN, SILENT_OUT = -60.0, -80.0
 
@@ -26,37 +27,65 @@ def phrase_recall(pairs: DataFrame, doc: str, phrase: str, output: str) -> DataF
     return exact.unionByName(near).withColumn("similarity", F.when(n > 0, F.round(100.0 * F.greatest(F.lit(0), n - F.col("distance")) / n, 6)).otherwise(100.0))
 
 
-def error_rates(texts: DataFrame, key: str, ref: str, outputs: Sequence[str], stretch: int = 400) -> DataFrame:
-    """(key, a rate for each of outputs): character error rates in percent of the reference's length, after normalisation.
-
-    Edit distances are taken line by line, long lines in stretches, and added up: whole texts of any length in linear time, at
-    the price of an upper bound where an output breaks its lines elsewhere. Null for a null output or an empty reference.
-    """
-    one = [F.struct(F.lit(c).alias("name"), F.coalesce(c, F.lit("")).alias("out"), F.col(c).isNull().alias("gone")) for c in outputs]
-    t = texts.select(key, ref, F.explode(F.array(*one)).alias("o")).select(key, "o.name", "o.gone", F.explode(F.arrays_zip(F.split(ref, "\n").alias("a"), F.split("o.out", "\n").alias("b"))).alias("p"))
-    side = lambda c: text.normal(F.coalesce(F.col(c), F.lit("")), fold=True)
-    t = t.select(key, "name", "gone", side("p.a").alias("a"), side("p.b").alias("b"))
-    t = t.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.greatest(F.length("a"), F.length("b")) - 1), F.lit(stretch))))
-    part = lambda c: F.substring(F.col(c), F.col("at") + 1, F.lit(stretch))
-    t = t.select(key, "name", "gone", F.levenshtein(part("a"), part("b")).alias("d"), F.length(part("a")).alias("n"))
-    of = lambda x, c: F.sum(F.when(F.col("name") == c, F.col(x)))
-    rate = lambda c: F.when(~F.bool_or((F.col("name") == c) & F.col("gone")) & (of("n", c) > 0), F.round(100.0 * of("d", c) / of("n", c), 6))
-    return t.groupBy(key).agg(*[rate(c).alias(c) for c in outputs])
+def error_rates(texts: DataFrame, key: str, ref: str, outputs: Sequence[str]) -> DataFrame:
+    """(key, a rate for each of outputs): character error rates in percent of the reference's length, after normalisation:
+    edit distances of whole texts, exact, in the row that holds both. Null for a null output or an empty reference."""
+    side = lambda c: text.normal(F.col(c), fold=True)
+    t = texts.select(key, side(ref).alias("_ref"), *[side(c).alias(f"_o{i}") for i, c in enumerate(outputs)])
+    n = F.length("_ref")
+    return t.select(key, *[F.when(n > 0, F.round(100.0 * edits.distance(F.col("_ref"), F.col(f"_o{i}")) / n, 6)).alias(c) for i, c in enumerate(outputs)])
+
+
+def _grams(texts: Sequence[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of k characters of all texts as numbers, equal ones of equal runs; and the text of each.
+
+    Runs are written in the base of the characters that there are, which is exact as long as that fits 64 bits; if not,
+    they are numbered in their order."""
+    points = [np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
+    of = np.repeat(np.arange(len(points)), [len(p) for p in points])
+    letters, code = np.unique(np.concatenate([*points, np.zeros(0, np.uint32)]), return_inverse=True)
+    n = len(code) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out = np.zeros(n, np.int64)
+    for j in range(k):
+        if len(letters) ** (j + 1) >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * len(letters) + code[j : n + j]
+    whole = of[:n] == of[k - 1 :]
+    return out[whole], of[:n][whole]
+
+
+def _shared(a: Sequence[str | None], b: Sequence[str | None], k: int) -> tuple[np.ndarray, ...]:
+    """For each pair of texts: (runs of k characters that both have, as often as both have them, runs of a, runs of b)."""
+    n = len(a)
+    gram, of = _grams([*a, *b], k)
+    order = np.lexsort((gram, of % n)) if n else np.zeros(0, int)
+    gram, row, second = gram[order], of[order] % max(n, 1), of[order] >= n
+    starts = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))) if len(gram) else np.zeros(0, int)
+    if not len(gram):
+        return (np.zeros(n, np.int64),) * 3
+    in_b = np.add.reduceat(second.astype(np.int64), starts)
+    in_a = np.diff(np.append(starts, len(gram))) - in_b
+    added = lambda x: np.bincount(row[starts], x, n).astype(np.int64)
+    return added(np.minimum(in_a, in_b)), added(in_a), added(in_b)
 
 
 def overlap(k: int, words: bool) -> Callable[[Column, Column], Column]:
     """A function of two text columns: struct(common, in_a, in_b) of their multisets of k-grams, of characters or of words.
 
-    Both texts stand in one row, so nothing is exploded or shuffled; counting is done in Arrow batches.
+    Both texts stand in one row, so nothing is exploded or shuffled; an Arrow batch is counted at once, by sorting.
     """
 
     @F.pandas_udf("common long, in_a long, in_b long")
     def of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        if not words:
+            parts = [_shared(a[i : i + 256].tolist(), b[i : i + 256].tolist(), k) for i in range(0, len(a), 256)]
+            return pd.DataFrame({c: np.concatenate([p[j] for p in parts]) if parts else [] for j, c in enumerate(("common", "in_a", "in_b"))})
+
         def multiset(x: str | None) -> Counter:
-            if words:
-                w = re.findall("[^ \t\r\n]+", x or "")
-                return Counter(w) if k == 1 else Counter(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
-            return Counter(x[i : i + k] for i in range(len(x) - k + 1)) if x else Counter()
+            w = re.findall("[^ \t\r\n]+", x or "")
+            return Counter(w) if k == 1 else Counter(zip(*[w[i:] for i in range(k)]))
 
         both = [(multiset(x), multiset(y)) for x, y in zip(a, b)]
         return pd.DataFrame([((x & y).total(), x.total(), y.total()) for x, y in both], columns=["common", "in_a", "in_b"])

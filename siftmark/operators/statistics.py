@@ -2,6 +2,8 @@
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -180,3 +182,67 @@ def stratified(rows: DataFrame, stratum: str, identity: str, target: int, least:
     quota = F.greatest(F.lit(least), F.round(F.lit(target) * F.col("_n") / F.col("_all")))
     w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed), F.col(identity).cast("string"))), identity)
     return rows.join(F.broadcast(sizes.join(F.broadcast(total))), stratum).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota).drop("_n", "_all", "_r")
+
+
+def _inversions(b: np.ndarray, w: np.ndarray) -> int:
+    """Summed products of weights of pairs that stand in one order and whose b is in the other: b of rows in the order of a, ties
+    of a in the order of b. Counted by merges of runs that double in length."""
+    n, total, size = len(b), 0, 1
+    at = np.arange(n)
+    while size < n:
+        pair, right = at // (2 * size), (at // size) % 2
+        order = np.lexsort((right, b, pair))
+        left = np.where(right[order] == 0, w[order], 0)
+        seen = np.cumsum(left)
+        ends = np.append(np.flatnonzero(np.diff(pair[order])), n - 1)
+        before = np.append(0, seen[ends])  # of the pairs before
+        more = before[pair[order] + 1] - seen  # weight on the left with a greater b
+        total += int(np.sum((more * w[order])[right[order] == 1]))
+        size *= 2
+    return total
+
+
+def rank_changes(cells: DataFrame, family: str, a: str, b: str) -> DataFrame:
+    """(family, pares, inversiones, deshechos, hechos, cambia) between two metrics: pairs, pairs in opposite order, ties of a that b
+    breaks, ties of b that a doesn't have, and whether the items with the least value are others.
+
+    Items of equal values are summed first. What is tied follows from counts; inversions are counted by merging, in n log n, so
+    no pair is made. A family's distinct pairs of values meet in one task.
+    """
+    c = cells.select(family, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).where("_a is not null and _b is not null").groupBy(family, "_a", "_b").agg(F.count("*").alias("_n"))
+
+    def count(rows: pa.Table) -> pa.Table:
+        x, y, w = (rows[k].to_numpy() for k in ("_a", "_b", "_n"))
+        tied = lambda v: int(sum(n * (n - 1) // 2 for n in np.bincount(np.unique(v, return_inverse=True)[1], w).astype(np.int64).tolist()))
+        order = np.lexsort((y, x))
+        both, n = int(np.sum(w * (w - 1) // 2)), int(w.sum())
+        win = (x == x.min()) != (y == y.min())
+        out = [n * (n - 1) // 2, _inversions(y[order], w[order].astype(np.int64)), tied(x) - both, tied(y) - both]
+        return pa.table({family: rows[family].slice(0, 1), **{k: pa.array([v], pa.int64()) for k, v in zip(("pares", "inversiones", "deshechos", "hechos"), out)}, "cambia": pa.array([bool(win.any())])})
+
+    kind = dict(cells.dtypes)[family]
+    return c.groupBy(family).applyInArrow(count, f"{family} {kind}, pares long, inversiones long, deshechos long, hechos long, cambia boolean")
+
+
+def common_prefix(a: Column, b: Column, most: int) -> Column:
+    """How many of the first characters of two texts agree, `most` at most."""
+    n = F.least(F.length(a), F.length(b), F.lit(most))
+    same = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, 1) == F.substring(b, i, 1))
+    return F.when(n < 1, 0).otherwise(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, n)).cast("int")
+
+
+def best_evidence(heads: DataFrame, kind: str, engine: str, head: str, most: int = 64) -> DataFrame:
+    """(kind, engine, samples, prefix): for each format the engine whose files share the longest beginning, and that beginning. The
+    beginning that all share is what the least and the greatest of them share, so nothing is sorted or gathered."""
+    g = heads.groupBy(kind, engine).agg(F.min(head).alias("_lo"), F.max(head).alias("_hi"), F.count("*").alias("samples"))
+    g = g.withColumn("_n", common_prefix(F.col("_lo"), F.col("_hi"), most)).withColumn("prefix", F.expr("left(_lo, _n)"))
+    return g.groupBy(kind).agg(F.min_by(F.struct(engine, "samples", "prefix"), F.struct((-F.col("_n")).alias("n"), F.col(engine))).alias("_e")).select(kind, f"_e.{engine}", "_e.samples", "_e.prefix")
+
+
+def shared_prefixes(evidence: DataFrame, kind: str, least: int = 2) -> DataFrame:
+    """(prefix, kinds, under): beginnings of `least` characters or more; the formats that have just this one, and the longest other such
+    beginning that this one begins with (null if none): the edges of the trie that beginnings make."""
+    p = evidence.where(F.length("prefix") >= least).groupBy("prefix").agg(F.array_sort(F.collect_set(kind)).alias("kinds"))
+    shorter = p.select(F.col("prefix").alias("_own"), F.explode(F.when(F.length("prefix") > least, F.transform(F.sequence(F.lit(least), F.length("prefix") - 1), lambda i: F.substring("prefix", F.lit(1), i))).otherwise(F.array().cast("array<string>"))).alias("prefix"))
+    under = shorter.join(p.select("prefix"), "prefix").groupBy(F.col("_own").alias("prefix")).agg(F.max_by("prefix", F.length("prefix")).alias("under"))
+    return p.join(under, "prefix", "left")

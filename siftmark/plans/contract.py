@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats as fm
-from ..functions import media
+from ..functions import media, text
+from ..functions import signatures as sg
 from ..operators import contract as ct
-from ..views import oracle, view
+from ..views import oracle, table, view
 
 K3 = ["l_orderkey", "l_linenumber"]
 
@@ -54,7 +55,7 @@ def c1_return_and_size(spark: SparkSession, sf: str) -> DataFrame:
 
 def c2_c3_signatures(spark: SparkSession, sf: str) -> DataFrame:
     """Real type against extension, and whether an unknown extension's output kept the input's type."""
-    v = view(spark, sf, "v1").withColumn("ext", fm.normal_extension(fm.extension(F.col("name")))).withColumn("tipo", fm.text_type(F.col("body")))
+    v = view(spark, sf, "v1").withColumn("ext", fm.normal_extension(fm.extension(F.col("name")))).withColumn("tipo", sg.text_type(F.col("body")))
     v = v.withColumn("tipo_ent", F.when(F.length("body") % 2 == 0, F.col("tipo")).otherwise("pdf"))
     status, fits = fm.signature_status(F.col("ext")), fm.coherent(F.col("tipo"), F.col("ext"))
     rules = [
@@ -158,8 +159,36 @@ def j3_census(spark: SparkSession, sf: str) -> DataFrame:
     return _census(spark, sf)
 
 
+_FILE = """CASE nombre % 4 WHEN 0 THEN concat('f', lpad(CAST(nombre % 1000 AS VARCHAR(10)), 3, '0'), '.png') WHEN 1 THEN concat('hoja', CAST(nombre % 100 AS VARCHAR(10)), '.svg')
+ WHEN 2 THEN concat('seg', CAST(nombre AS VARCHAR(20)), '.m4s') ELSE CASE WHEN nombre % 3 = 0 THEN concat('salida', CAST(nombre AS VARCHAR(20)), '.log') ELSE concat('nota', CAST(nombre AS VARCHAR(20)), '.txt') END END"""
+_DECLARED = "CASE job % 5 WHEN 0 THEN 'f%03d.png' WHEN 1 THEN 'f%d.png' WHEN 2 THEN 'hoja%02i.svg' WHEN 3 THEN 'salida.mpd' ELSE 'f(1).[x]%d+.png' END"
+_TARGET = "CASE job % 5 WHEN 2 THEN 'svg' WHEN 3 THEN 'mpd' ELSE 'png' END"
+
+
 def c19_c21_writes(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.writes(_census(spark, sf), "job", F.col("nombre") % 5 != 0, F.col("nombre") % 4 == 1, F.col("nombre") % 2 == 1)
+    """Files get names by their numbers; jobs declare printf patterns, or a manifest that comes with segments."""
+    c = _census(spark, sf).withColumn("fichero", F.expr(_FILE)).withColumn("declarado", F.expr(_DECLARED))
+    name, said = F.col("fichero"), F.col("declarado")
+    return ct.writes(c, "job", F.col("nombre") % 5 != 0, ct.is_declared(name, said), ct.is_satellite(name, said), ct.comes_in_several(F.expr(_TARGET), said))
+
+
+def c20_numbered_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    c = _census(spark, sf).where("estado = 'nuevo'").select("job", F.expr(_FILE).alias("fichero"))
+    said = view(spark, sf, "v11").select("job").distinct().withColumn("declarado", F.expr(_DECLARED))
+    return ct.numbered_outputs(c, said, ["job"], "fichero", "declarado")
+
+
+def c8_data_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part is written as JSON or as CSV, some cut off, in another encoding, or with a mark before; facts come from the bytes."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 2 == 0, "json").otherwise("csv")
+    whole = F.when(k % 2 == 0, F.to_json(F.struct("p_partkey", "p_name"))).otherwise(F.concat_ws("\n", F.lit("clave,nombre"), F.concat_ws(",", k, "p_name"), F.when(k % 11 == 0, F.lit("1,2,3")), F.lit("")))
+    body = F.when(k % 9 == 0, F.expr("left(todo, length(todo) - 1)")).otherwise(F.col("todo"))
+    body = F.when(k % 5 == 0, F.concat(body, F.lit("\uFFFD"))).otherwise(body).cast("binary")
+    mark, tail = F.when(k % 7 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.lit(b"")), F.when(k % 13 == 0, F.unhex(F.lit("0AFF"))).otherwise(F.lit(b""))
+    x = table(spark, sf, "part").withColumn("todo", whole).select(k, kind.alias("formato"), F.concat(mark, body, tail).alias("c"))
+    x = x.withColumn("hechos", text.data_facts(F.col("c"), F.col("formato")))
+    return ct.findings(x, ["p_partkey"], ct.data_rules("hechos")).select("p_partkey", "rule", "severity")
 
 
 def c28_leftovers(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +202,7 @@ def c29_batch(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("outputs", F.array_join(F.transform("outputs", lambda x: x.cast("string")), ","))
 
 
-QUERIES = {f.__name__: f for f in (c1_return_and_size, c2_c3_signatures, c4_c17_findings, c5_c7_integrity, c8_c18_tabular, c10_density, c19_c21_writes, c22_c27_coverage, c23_tabular_verdict, c23_media_verdict, c24_chain, c25_short, c26_summary, c28_leftovers, c29_batch, j3_census)}
+QUERIES = {f.__name__: f for f in (c1_return_and_size, c2_c3_signatures, c4_c17_findings, c5_c7_integrity, c8_c18_tabular, c8_data_rules, c10_density, c19_c21_writes, c20_numbered_outputs, c22_c27_coverage, c23_tabular_verdict, c23_media_verdict, c24_chain, c25_short, c26_summary, c28_leftovers, c29_batch, j3_census)}
 
 _PAIRS = """p AS (SELECT *, CASE WHEN l_partkey % 5 > 0 THEN l_partkey % 5 * 64 END AS alfa_min, l_partkey % 3 = 0 AS alfa_sal, CASE WHEN l_linenumber < 6 THEN pistas_ent END AS esperadas FROM v3),
  r AS (SELECT *, (obtenido_bps - pedido_bps) / pedido_bps AS drift FROM p),
@@ -209,8 +238,7 @@ ORACLE = {
     "c1_return_and_size": oracle("v3", """SELECT l_orderkey, l_linenumber, 'G1-missing' AS rule, 'fallo' AS severity FROM v3 WHERE l_partkey % 13 = 0
 UNION ALL SELECT l_orderkey, l_linenumber, 'G1-empty', 'fallo' FROM v3 WHERE l_partkey % 13 > 0 AND l_partkey % 11 = 0 UNION ALL SELECT l_orderkey, l_linenumber, 'G1-rc', 'fallo' FROM v3 WHERE l_partkey % 7 <> 0"""),
     "c2_c3_signatures": oracle("v1", f""", x AS (SELECT name, {_NEXT} AS ext, {_TYPE} AS tipo, len FROM (SELECT b.name, b.b, length(v1.body) AS len FROM {_B} b JOIN v1 ON b.name = v1.name))
-SELECT name, 'G3' AS rule, 'fallo' AS severity FROM x WHERE ext = 'html' AND tipo <> 'html' UNION ALL SELECT name, 'G4', 'informativo' FROM x WHERE ext IN ('txt', 'md')
-UNION ALL SELECT name, 'G6', 'aviso' FROM x WHERE ext <> 'html' AND tipo <> 'texto' AND (len % 2 = 0 OR tipo = 'pdf')"""),
+SELECT name, 'G3' AS rule, 'fallo' AS severity FROM x WHERE ext = 'html' AND tipo NOT IN ('html', 'xml', 'texto') OR ext IN ('txt', 'md') AND tipo NOT IN ('texto', 'im_texto') UNION ALL SELECT name, 'G5', 'informativo' FROM x"""),
     "c4_c17_findings": oracle("v3", ", " + _PAIRS + "SELECT l_orderkey, l_linenumber, seq, point, rule, severity FROM found"),
     "c5_c7_integrity": oracle("v3", """SELECT l_orderkey, l_linenumber, rule, severity FROM (
  SELECT *, 'I1' AS rule, CASE WHEN l_partkey % 17 = 0 THEN 'fallo' WHEN l_partkey % 9 < 2 THEN 'aviso' END AS severity FROM v3 WHERE categoria = 'imagen'
@@ -223,11 +251,20 @@ UNION ALL SELECT name, 'G6', 'aviso' FROM x WHERE ext <> 'html' AND tipo <> 'tex
     "c10_density": oracle("v3", """SELECT l_orderkey, l_linenumber, rule, severity FROM (
  SELECT *, 'P4-dpi' AS rule, CASE WHEN abs(144 - (142 + l_partkey % 5)) > 1 THEN 'fallo' END AS severity FROM v3 UNION ALL SELECT *, 'P4-px', CASE WHEN abs(ancho_ent - ancho_sal) > 0.5 THEN 'fallo' END FROM v3
  UNION ALL SELECT *, 'P7', CASE WHEN ancho_sal > 900 AND l_partkey % 2 = 0 THEN 'aviso' END FROM v3) WHERE severity IS NOT NULL AND categoria = 'pdf'"""),
-    "c19_c21_writes": oracle("v11", ", " + _CENSUS + """, g AS (SELECT job, sum(CASE WHEN estado = 'nuevo' AND nombre % 4 = 1 THEN despues ELSE 0 END) AS declared, sum(CASE WHEN estado = 'nuevo' AND nombre % 5 = 0 THEN despues ELSE 0 END) AS outside_bytes,
-  count(*) FILTER (estado = 'nuevo' AND nombre % 5 = 0) AS outside, count(*) FILTER (estado = 'nuevo' AND nombre % 5 <> 0 AND nombre % 4 <> 1) AS beside, count(*) FILTER (estado = 'nuevo' AND nombre % 5 <> 0 AND nombre % 4 <> 1 AND nombre % 2 = 1) AS satellites,
-  count(*) FILTER (estado = 'cambiado') AS changed, sum(CASE WHEN estado = 'nuevo' THEN despues ELSE 0 END) AS written FROM census GROUP BY job)
-SELECT job, CASE WHEN outside > 0 THEN CASE WHEN outside_bytes > declared THEN 'fallo' ELSE 'aviso' END END AS n5, CASE WHEN beside > 0 THEN CASE WHEN beside = satellites THEN 'informativo' ELSE 'aviso' END END AS n7,
+    "c8_data_rules": """WITH x AS (SELECT p_partkey AS k, p_name FROM part), f AS (
+ SELECT k, 'D5-utf8' AS rule, 'fallo' AS severity FROM x WHERE k % 13 = 0 UNION ALL SELECT k, 'D5', 'fallo' FROM x WHERE k % 5 = 0 AND k % 13 <> 0
+ UNION ALL SELECT k, 'D8', 'fallo' FROM x WHERE k % 2 = 0 AND (k % 9 = 0 OR k % 5 = 0 OR k % 13 = 0) UNION ALL SELECT k, 'D2', 'fallo' FROM x WHERE k % 2 = 1 AND (k % 11 = 0 OR k % 13 = 0 OR (k % 5 = 0 AND k % 9 <> 0))
+ UNION ALL SELECT k, 'D4', 'aviso' FROM x WHERE k % 7 = 0) SELECT k AS p_partkey, rule, severity FROM f""",
+    "c19_c21_writes": oracle("v11", ", " + _CENSUS + f""", n AS (SELECT *, {_FILE} AS fichero, job % 5 AS k FROM census), m AS (SELECT *, estado = 'nuevo' AS nuevo, nombre % 5 <> 0 AS dentro, k <> 3 OR {_TARGET} = 'mpd' AS varios,
+  CASE WHEN k < 2 THEN regexp_full_match(fichero, 'f[0-9]+\\.png') WHEN k = 2 THEN regexp_full_match(fichero, 'hoja[0-9]+\\.svg') ELSE false END AS declarado, split_part(fichero, '.', 2) IN ('m4s', 'png', 'jpg') OR (k = 3 AND contains(fichero, 'salida')) AS satelite FROM n),
+ g AS (SELECT job, sum(CASE WHEN nuevo AND dentro AND declarado THEN despues ELSE 0 END) AS declared, sum(CASE WHEN nuevo AND NOT dentro THEN despues ELSE 0 END) AS outside_bytes, count(*) FILTER (nuevo AND NOT dentro) AS outside, count(*) FILTER (nuevo AND dentro AND NOT declarado) AS beside,
+  count(*) FILTER (nuevo AND dentro AND NOT declarado AND satelite AND varios) AS satellites, count(*) FILTER (estado = 'cambiado') AS changed, sum(CASE WHEN nuevo THEN despues ELSE 0 END) AS written FROM m GROUP BY job)
+SELECT job, CASE WHEN outside > 0 THEN CASE WHEN outside_bytes > greatest(declared, 1) THEN 'fallo' ELSE 'aviso' END END AS n5, CASE WHEN beside > 0 THEN CASE WHEN beside = satellites THEN 'informativo' ELSE 'aviso' END END AS n7,
  CASE WHEN changed > 0 THEN 'aviso' END AS n8, CASE WHEN written > 0 THEN round(declared / written, 6) END AS n9 FROM g"""),
+    "c20_numbered_outputs": oracle("v11", ", " + _CENSUS + f""", n AS (SELECT job, {_FILE} AS fichero FROM census WHERE estado = 'nuevo'), j AS (SELECT DISTINCT job, {_DECLARED} AS declarado FROM v11),
+ m AS (SELECT j.job, declarado, CAST(regexp_extract(fichero, '[0-9]+') AS BIGINT) AS x FROM j JOIN n ON n.job = j.job AND CASE j.job % 5 WHEN 2 THEN regexp_full_match(fichero, 'hoja[0-9]+\\.svg') WHEN 3 THEN false WHEN 4 THEN false ELSE regexp_full_match(fichero, 'f[0-9]+\\.png') END),
+ l AS (SELECT *, x - lag(x) OVER (PARTITION BY job ORDER BY x) > 1 AS hueco FROM m)
+SELECT j.job, j.declarado, count(l.x) AS ficheros, min(x) AS primero, max(x) AS ultimo, CASE WHEN count(l.x) > 0 THEN count(*) FILTER (hueco) END AS huecos FROM j LEFT JOIN l ON l.job = j.job WHERE j.job % 5 <> 3 GROUP BY j.job, j.declarado"""),
     "c22_c27_coverage": oracle("v3", """SELECT l_orderkey, l_linenumber, concat_ws(',', '1_firma', CASE WHEN l_linenumber < 6 THEN '2_flujos' END, '3_integridad', CASE WHEN l_partkey % 5 > 0 THEN '4_pedido' END, CASE WHEN n_audio > 0 THEN '5_escritura' END, CASE WHEN l_linenumber > 1 THEN '6_cadena' END) AS cubiertos,
  concat(2 + CAST(l_linenumber < 6 AS INT) + CAST(l_partkey % 5 > 0 AS INT) + CAST(n_audio > 0 AS INT) + CAST(l_linenumber > 1 AS INT), '/6') AS ratio FROM v3"""),
     "c23_tabular_verdict": oracle("v2", ", " + _TAB + "SELECT v2.job, CASE WHEN max(CASE severity WHEN 'fallo' THEN 2 WHEN 'aviso' THEN 1 END) = 2 THEN 'fallo' WHEN max(CASE severity WHEN 'fallo' THEN 2 WHEN 'aviso' THEN 1 END) = 1 THEN 'aviso' WHEN NOT any_value(sin_sonda_ent) THEN 'ok' ELSE 'ok_parcial' END AS verdict FROM v2 LEFT JOIN f ON v2.job = f.job GROUP BY v2.job"),

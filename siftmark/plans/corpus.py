@@ -219,13 +219,19 @@ def f5_skip_existing(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(existing, "ruta", "left").groupBy(F.when(F.col("existe"), "omitido").otherwise("servido").alias("accion")).agg(F.count("*").alias("n"))
 
 
+def f6_evictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user is a file that is there in the hours in which it has events; every hour with an event is a poll."""
+    seen = table(spark, sf, "events").select(F.date_trunc("hour", "ts").alias("poll"), F.col("user_id").alias("ruta"))
+    return ar.evictions(ar.numbered(seen))
+
+
 def f7_orphans(spark: SparkSession, sf: str) -> DataFrame:
     v = view(spark, sf, "v12")
     last = v.agg(F.max("ts").alias("ahora"))
     return ar.orphans(v.join(F.broadcast(last)), "job", "ts", "estado", F.col("ahora"), 36 * 3600)
 
 
-QUERIES = {f.__name__: f for f in (a1_table_profile, a2_json_profile, a3_text_profile, a17_factor_effects, a22_run_score, a24_indistinct, a25_twin_share, a27_name_collisions, a29_confusion, j4_not_handled, j5_ratchet, j6_subsumption, j7_balance, j8_near_twins, j9_longest_label, j10_never_mentioned, j13_two_runs, k1_dead_references, k2_k3_marks, k4_secrets_by_line, k5_manifests, k6_large_binaries, k7_stale_headings, k8_phrases, k9_log_triage, f1_f2_stable, f3_served_once, f4_patience, f5_skip_existing, f7_orphans)}
+QUERIES = {f.__name__: f for f in (a1_table_profile, a2_json_profile, a3_text_profile, a17_factor_effects, a22_run_score, a24_indistinct, a25_twin_share, a27_name_collisions, a29_confusion, j4_not_handled, j5_ratchet, j6_subsumption, j7_balance, j8_near_twins, j9_longest_label, j10_never_mentioned, j13_two_runs, k1_dead_references, k2_k3_marks, k4_secrets_by_line, k5_manifests, k6_large_binaries, k7_stale_headings, k8_phrases, k9_log_triage, f1_f2_stable, f3_served_once, f4_patience, f5_skip_existing, f6_evictions, f7_orphans)}
 
 _LINES = "d AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), lines AS (SELECT doc_id, unnest(t) AS linea, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS k FROM d)"
 _SETS = "w AS (SELECT p_partkey, list_sort(list_distinct(string_split(concat_ws(' ', p_type, p_brand, CAST(p_size % 5 AS VARCHAR)), ' '))) AS s FROM part), u AS (SELECT s, min(p_partkey) AS id, count(*) AS n FROM w GROUP BY s), j AS (SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM u a JOIN u b ON a.id < b.id), p AS (SELECT * FROM j WHERE jaccard >= 0.5)"
@@ -271,5 +277,8 @@ ORACLE = {
     "f3_served_once": f"WITH {_STABLE.format(polls=3)} SELECT ruta, tamano, mtime, min(maduro) AS servido FROM s WHERE maduro IS NOT NULL GROUP BY ruta, tamano, mtime",
     "f4_patience": f"WITH {_STABLE.format(polls=2)}, t AS (SELECT ruta, CASE WHEN n < 2 THEN 'pendiente' WHEN tamano % 3 <> 0 THEN 'servido' WHEN n >= 5 THEN 'desistido' ELSE 'pospuesto' END AS estado FROM s) SELECT estado, count(*) AS n, count(DISTINCT ruta) AS rutas FROM t GROUP BY estado",
     "f5_skip_existing": f"WITH {_STABLE.format(polls=3)}, m AS (SELECT ruta, tamano, mtime FROM s WHERE maduro IS NOT NULL GROUP BY ALL) SELECT CASE WHEN ruta IN (SELECT user_id FROM events WHERE event_type = 'purchase') THEN 'omitido' ELSE 'servido' END AS accion, count(*) AS n FROM m GROUP BY 1",
+    "f6_evictions": """WITH e AS (SELECT DISTINCT user_id AS ruta, date_trunc('hour', ts) AS poll FROM events), o AS (SELECT poll, lead(poll) OVER (ORDER BY poll) AS sigue, row_number() OVER (ORDER BY poll) AS i FROM (SELECT DISTINCT poll FROM e)),
+ x AS (SELECT e.ruta, e.poll, o.sigue, o.i, o.i - row_number() OVER (PARTITION BY e.ruta ORDER BY e.poll) AS g FROM e JOIN o ON e.poll = o.poll)
+SELECT ruta, max(poll) AS visto, arg_max(sigue, i) AS desalojado, count(*) AS polls FROM x GROUP BY ruta, g HAVING max(i) < (SELECT max(i) FROM o)""",
     "f7_orphans": oracle("v12", ", g AS (SELECT job, arg_max(estado, row(ts, event_id)) AS s, max(ts) AS t FROM v12 GROUP BY job) SELECT job, CASE WHEN s = 'working' AND epoch((SELECT max(ts) FROM v12)) - epoch(t) > 129600 THEN 'failed' ELSE s END AS estado, s = 'working' AND epoch((SELECT max(ts) FROM v12)) - epoch(t) > 129600 AS huerfano FROM g"),
 }

@@ -137,12 +137,8 @@ _WORD = "list_filter(string_split({c}, ' '), lambda w: w <> '')"
 _OVER = "o AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS common, sum(coalesce(a.n, 0)) AS in_a, sum(coalesce(b.n, 0)) AS in_b FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.gram = b.gram GROUP BY 1)"
 
 ORACLE = {
-    "y1_error_rate": oracle("v5 v5_ajeno", ", t AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS name, ref, {c} AS o FROM v5 JOIN v5_ajeno USING (doc_id)" for c in _READ) + f"""),
- z AS (SELECT doc_id, name, o IS NULL AS gone, unnest(list_zip(string_split(ref, chr(10)), string_split(coalesce(o, ''), chr(10)))) AS p FROM t),
- s AS (SELECT doc_id, name, gone, {_N10.replace("{x}", "coalesce(p[1], '')")} AS a, {_N10.replace("{x}", "coalesce(p[2], '')")} AS b FROM z),
- u AS (SELECT *, unnest(range(0, greatest(1, length(a), length(b)), 400)) AS k FROM s),
- d AS (SELECT doc_id, name, gone, levenshtein(substr(a, k + 1, 400), substr(b, k + 1, 400)) AS d, length(substr(a, k + 1, 400)) AS n FROM u),
- r AS (SELECT doc_id, name, CASE WHEN NOT bool_or(gone) AND sum(n) > 0 THEN round(100.0::DOUBLE * sum(d) / sum(n), 6) END AS r FROM d GROUP BY doc_id, name)
+    "y1_error_rate": oracle("v5 v5_ajeno", ", t AS (SELECT v5.doc_id, " + ", ".join(f"{_N10.replace('{x}', c)} AS {c}" for c in ["ref", *_READ]) + " FROM v5 JOIN v5_ajeno USING (doc_id)), u AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS name, ref, {c} AS o FROM t" for c in _READ) + f"""),
+ r AS (SELECT doc_id, name, CASE WHEN length(ref) > 0 THEN round(100.0::DOUBLE * levenshtein(ref, o) / length(ref), 6) END AS r FROM u)
 SELECT doc_id, """ + ", ".join(f"max(r) FILTER (name = '{c}') AS {c}" for c in _READ) + ", 'acentos plegados' AS metrica FROM r GROUP BY doc_id"),
     "y2_phrase_recall": oracle("v5", f""", {_T}, p AS (SELECT DISTINCT doc_id, unnest([substr(ref, 1, 20), substr(ref, 31, 20)]) AS frase, lectura_b FROM t WHERE length(ref) >= 60),
  d AS (SELECT doc_id, frase, CASE WHEN contains(lectura_b, frase) THEN 0 ELSE list_min(list_transform(range(1, greatest(2, length(lectura_b) - length(frase) + 2)), lambda i: levenshtein(frase, substr(lectura_b, i, length(frase))))) END AS distance FROM p)

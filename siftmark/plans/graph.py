@@ -50,8 +50,15 @@ def g5_paths(spark: SparkSession, sf: str) -> DataFrame:
     return _paths(spark, sf).select("origen", "final", "nodos", "motores", "saltos", "coste", "rasteriza")
 
 
+def _plans(spark, sf):
+    """Choices for all pairs that up to four live hops join."""
+    e = _e(spark, sf).withColumn("coste", F.col("coste").cast("double"))
+    asked = gr.first_hops(e.where("estado <> 'nominal'"), 4).select("origen", F.col("destino").alias("final"))
+    return gr.choose(gr.paths_between(asked, e, _f(spark, sf)))
+
+
 def g6_w1_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return gr.choose(_paths(spark, sf))
+    return _plans(spark, sf)
 
 
 def g7_why_not(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +74,7 @@ def g8_loss_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 def g9_targets(spark: SparkSession, sf: str) -> DataFrame:
     """For each source and target: the chosen path, hops, engines, and the first rasterising rejection."""
-    p = gr.choose(_paths(spark, sf))
+    p = _plans(spark, sf)
     bad = p.where("motivo = 'rasteriza'").groupBy("origen", "final").agg(F.min_by("nodos", "rango").alias("rechazo"))
     return p.where("rango = 1").join(bad, ["origen", "final"], "left").select("origen", "final", "nodos", "motores", "saltos", "motivo", "rechazo")
 
@@ -85,12 +92,14 @@ def j1_probe_overlay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j2_valid_probes(spark: SparkSession, sf: str) -> DataFrame:
-    """A probe holds only if every declared component of its fingerprint equals the installed one; absent ones don't count."""
-    e = _e(spark, sf).select("motor", "origen", "destino")
-    said = F.create_map(F.lit("bin"), (F.col("origen") % 3).cast("string"), F.lit("lib"), F.when(F.col("origen") % 2 == 0, (F.col("destino") % 4).cast("string")))
-    now = F.create_map(F.lit("bin"), (F.col("origen") % 3).cast("string"), F.lit("lib"), (F.col("origen") % 4).cast("string"))
-    off = F.map_filter(said, lambda k, v: v.isNotNull() & (v != F.element_at(now, k)))
-    return e.select("origen", "destino", "motor", F.when(F.size(off) == 0, "valida").otherwise(F.concat(F.lit("difiere: "), F.array_join(F.array_sort(F.map_keys(off)), ","))).alias("estado"))
+    """Suppliers' probes against what customers have installed; engines of either side that the other lacks are met too."""
+    part = lambda n, k, m: F.when(k % m > 0, F.concat(F.lit(n), (k % m).cast("string")))
+    fingerprint = lambda parts: F.map_filter(F.create_map(*[x for n, v in parts.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    none = F.when(s % 13 == 0, F.lit(None)).otherwise(fingerprint({"bin": part("b", s, 11), "lib": part("l", s, 4), "fmt": part("f", s, 9)}))
+    probes = table(spark, sf, "supplier").select(s.alias("motor"), F.when(s % 5 > 0, (F.col("s_nationkey") % 2).cast("string")).alias("build"), F.when(s % 3 > 0, (F.col("s_nationkey") % 3).cast("string")).otherwise("").alias("interprete"), none.alias("huella"))
+    there = table(spark, sf, "customer").where("c_custkey % 7 > 0").select(c.alias("motor"), (F.col("c_nationkey") % 2).cast("string").alias("build"), F.when(c % 6 > 0, (F.col("c_nationkey") % 3).cast("string")).alias("interprete"), fingerprint({"bin": part("b", c, 11), "lib": part("l", c + 4 * (c % 3), 8), "os": part("o", c, 2)}).alias("huella"))
+    return gr.guarded_probes(probes, there)
 
 
 def j11_second_pass(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +185,7 @@ _PATHS = """x AS (SELECT e.origen, e.destino, motor, CAST(coste AS DOUBLE) + CAS
  y AS (SELECT origen, destino AS final, [origen, destino] AS nodes, [motor] AS ms, c, r, p FROM x UNION ALL SELECT y.origen, x.destino, list_append(nodes, x.destino), list_append(ms, x.motor), y.c + x.c, y.r + x.r, y.p + x.p FROM y JOIN x ON y.final = x.origen WHERE len(ms) < 4 AND NOT list_contains(nodes, x.destino)),
  z AS (SELECT origen, final, array_to_string(nodes, '>') AS nodos, array_to_string(ms, ',') AS motores, CAST(len(ms) AS INTEGER) AS saltos, c + CASE WHEN coalesce(f.texto, false) THEN r * 1000 ELSE 0 END + 4 * greatest(0, p - 1) AS coste, r > 0 AS rasteriza, 4 * greatest(0, p - 1) AS pena, coalesce(f.texto, false) AS texto FROM y LEFT JOIN v4_formats f ON y.final = f.ext)"""
 _PLAN = """, k AS (SELECT *, row_number() OVER (PARTITION BY origen, final ORDER BY coste, saltos, nodos, motores) AS rango, row_number() OVER (PARTITION BY origen, final, rasteriza ORDER BY coste, saltos, nodos, motores) AS rr FROM z),
- plan AS (SELECT a.origen, a.final, CAST(a.rango AS INTEGER) AS rango, a.nodos, a.motores, a.saltos, a.coste, a.rasteriza, CASE WHEN a.rango = 1 THEN CASE WHEN a.rasteriza AND a.texto THEN 'unico: rasteriza' ELSE 'elegido' END WHEN a.rasteriza AND NOT b.rasteriza AND a.texto THEN 'rasteriza' WHEN a.saltos < b.saltos THEN CASE WHEN a.pena > b.pena THEN 'mas corto, mas perdidas' ELSE 'mas corto, mas caro' END ELSE 'mas caro' END AS motivo
+ plan AS (SELECT a.origen, a.final, CAST(least(a.rango, 9) AS INTEGER) AS rango, a.nodos, a.motores, a.saltos, a.coste, a.rasteriza, CASE WHEN a.rango = 1 THEN CASE WHEN a.rasteriza AND a.texto THEN 'unico: rasteriza' ELSE 'elegido' END WHEN a.rasteriza AND NOT b.rasteriza AND a.texto THEN 'rasteriza' WHEN a.saltos < b.saltos THEN CASE WHEN a.pena > b.pena THEN 'mas corto, mas perdidas' ELSE 'mas corto, mas caro' END ELSE 'mas caro' END AS motivo
   FROM k a JOIN k b ON a.origen = b.origen AND a.final = b.final AND b.rango = 1 WHERE a.rango <= 8 OR (a.rasteriza AND a.rr = 1))"""
 _HALF = """n AS (SELECT n_nationkey AS ext FROM nation), i AS (SELECT ext, CASE WHEN ext * 3 % 5 = 1 THEN 'muerta' WHEN ext * 3 % 7 = 1 THEN 'indeterminada' ELSE 'viva' END AS s FROM n), o AS (SELECT ext, CASE WHEN ext * 2 % 5 = 2 THEN 'muerta' WHEN ext * 2 % 7 = 2 THEN 'indeterminada' ELSE 'viva' END AS s FROM n),
  h AS (SELECT e.*, CASE WHEN i.s = 'viva' AND o.s = 'viva' THEN 3 WHEN i.s = 'muerta' OR o.s = 'muerta' THEN 1 ELSE 2 END AS rango, CASE WHEN i.s <> 'viva' THEN CASE WHEN o.s <> 'viva' THEN 'ambas' ELSE 'entrada' END WHEN o.s <> 'viva' THEN 'salida' ELSE 'ninguna' END AS culpa FROM v4_edges e JOIN i ON e.origen = i.ext JOIN o ON e.destino = o.ext)"""
@@ -196,7 +205,10 @@ FROM r WHERE origen <> destino AND NOT EXISTS (SELECT 1 FROM c WHERE c.origen =
     "g8_loss_cost": "WITH g AS (SELECT l_orderkey, sum(CASE l_returnflag WHEN 'A' THEN 1000 * l_discount ELSE 0 END) AS s, sum(CASE l_returnflag WHEN 'N' THEN 40 * l_discount ELSE 0 END) AS m, sum(CASE l_returnflag WHEN 'R' THEN 50 * l_discount ELSE 0 END) AS r FROM lineitem GROUP BY 1) SELECT l_orderkey, round(s, 5) AS semantica, round(m, 5) AS metrica, round(r, 5) AS riesgo, round(s + m + r, 5) AS coste, s + m + r < 500 AS aceptable FROM g",
     "g9_targets": oracle("v4_edges v4_formats", ", " + _PATHS + _PLAN + " SELECT p.origen, p.final, p.nodos, p.motores, p.saltos, p.motivo, b.rechazo FROM plan p LEFT JOIN (SELECT origen, final, arg_min(nodos, rango) AS rechazo FROM plan WHERE motivo = 'rasteriza' GROUP BY ALL) b ON p.origen = b.origen AND p.final = b.final WHERE p.rango = 1"),
     "j1_probe_overlay": oracle("v4_edges", ", p AS (SELECT origen, destino, motor, (origen * 31 + destino) % 500 AS ms, CASE WHEN (origen + destino) % 4 = 0 THEN 'nominal' WHEN origen % 7 = 3 THEN 'ilegible' ELSE 'real' END AS s FROM v4_edges WHERE destino % 3 <> 0) SELECT e.origen, e.destino, e.motor, coalesce(s, estado) AS estado, round(CAST(CASE WHEN s = 'real' THEN 1 + ms / 100000 ELSE coste END AS DOUBLE), 6) AS coste FROM v4_edges e LEFT JOIN p ON e.origen = p.origen AND e.destino = p.destino AND e.motor = p.motor AND s <> 'ilegible'"),
-    "j2_valid_probes": oracle("v4_edges", "SELECT origen, destino, motor, CASE WHEN origen % 2 = 0 AND destino % 4 <> origen % 4 THEN 'difiere: lib' ELSE 'valida' END AS estado FROM v4_edges"),
+    "j2_valid_probes": """WITH p AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 > 0 THEN s_nationkey % 2 END AS b, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey % 3 END AS i, s_suppkey % 13 = 0 OR (s_suppkey % 11 = 0 AND s_suppkey % 4 = 0 AND s_suppkey % 9 = 0) AS sin FROM supplier),
+ x AS (SELECT p.*, c_custkey, c_nationkey % 2 AS nb, CASE WHEN c_custkey % 6 > 0 THEN c_nationkey % 3 END AS ni, NOT sin AND k % 4 > 0 AND (k + 4 * (k % 3)) % 8 > 0 AND k % 4 <> (k + 4 * (k % 3)) % 8 AS lib FROM p LEFT JOIN customer ON c_custkey = k AND c_custkey % 7 > 0),
+ e AS (SELECT *, CASE WHEN c_custkey IS NULL THEN 'sin_instalar' WHEN b <> nb THEN 'build_distinto' WHEN i IS NOT NULL AND i IS DISTINCT FROM ni THEN 'interprete_distinto' WHEN lib THEN 'caducada' ELSE 'valida' END AS estado FROM x)
+SELECT k AS motor, estado, CASE WHEN estado = 'caducada' THEN 'lib' END AS partes, CASE WHEN estado = 'valida' THEN concat_ws(',', CASE WHEN i IS NULL THEN 'sin_interprete' END, CASE WHEN sin THEN 'sin_huella' END) END AS nota, estado = 'valida' AS vale FROM e""",
     "j11_second_pass": oracle("v4_edges", "SELECT origen, destino, motor, CASE WHEN (origen + destino) % 2 = 0 AND estado = 'sin_sondear' THEN 'real' ELSE estado END AS estado FROM v4_edges"),
     "j12_half_edges": oracle("v4_edges", ", " + _HALF + " SELECT origen, destino, CASE max(rango) WHEN 3 THEN 'viva' WHEN 2 THEN 'indeterminada' ELSE 'muerta' END AS estado, arg_max(culpa, row(rango, motor)) AS culpa FROM h GROUP BY origen, destino"),
     "a26_probe_tally": oracle("v4_edges", "SELECT motor, count(*) FILTER (estado = 'real') AS real, count(*) FILTER (estado = 'nominal') AS nominal, count(*) FILTER (estado = 'sin_sondear') AS sin_sondear FROM v4_edges GROUP BY motor"),

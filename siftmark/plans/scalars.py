@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from ..functions import formats as fm
 from ..functions import media, stats, text
+from ..functions import signatures as sg
 from ..views import oracle, table, view
 
 A, P = text.ACCENTED, text.PLAIN
@@ -29,17 +30,30 @@ def p2_capabilities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_text_type(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v1").select("name", fm.text_type(F.col("body")).alias("tipo"))
+    return view(spark, sf, "v1").select("name", sg.text_type(F.col("body")).alias("tipo"))
+
+
+_SPECIMENS = [
+    "", *[(b"-" * m.offset + m.bytes).hex().upper() for m in sg.MARKS], *[(b"RIFF\xff\0\0\0" + x.encode()).hex().upper() for x in (*sg.RIFF, "XXXX")], *[(b"FORM\0\0\0\0" + x.encode()).hex().upper() for x in (*sg.FORM, "ILBM")],
+    *[(b"\0\0\0\x1cftyp" + x.encode()).hex().upper() for x in (*sg.BRANDS, "none")], *[(b"title".ljust(60, b"\0") + x.encode()).hex().upper() for x in sg.PALM],
+    *[(b"PK\x03\x04".ljust(30, b"\0") + b"mimetype" + x.encode()).hex().upper() for x in (*sg.ZIP_MIME, "text/plain")], *[(b"PK\x03\x04".ljust(30, b"\0") + x.encode()).hex().upper() for x in (*sg.ZIP_MEMBERS, "other/")],
+    *[x.hex().upper() for x in (sg.CFB, sg.WAVE64, b"RF64", b"P6\n", b"P7 ", b"Pf\n", b"\x0a\x05\x00\x08", b"G".ljust(188, b"\1") + b"G", b"\1\1\1\1G".ljust(196, b"\1") + b"G", b"\0\0\0\1\x67", b"\0\0\1\x09", b"\xff\xf1\x50", b"\xff\xfb\x90", b"MM\x06\0\0\0", b"\0\1\2", b"RIFF", b"\xef\xbb\xbf \t%!PS", b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR\0\0\x02\x80\0\0\x01\xe0")],
+]
+
+
+def _specimens(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of V1, each behind one of the headers that the tables tell apart, by its place in the alphabet of digests."""
+    pick = F.expr(f"cast(conv(substr(md5(name), 1, 8), 16, 10) as bigint) % {len(_SPECIMENS)}").cast("int")
+    head = F.element_at(F.array(*map(F.lit, _SPECIMENS)), pick + 1)
+    return view(spark, sf, "v1").select("name", head.alias("head"), F.concat(F.unhex(head), F.coalesce("body", F.lit("")).cast("binary")).alias("content"))
 
 
 def p3_signature(spark: SparkSession, sf: str) -> DataFrame:
-    """Type by bytes, P5 to P8 beside it, of every file of the corpus and of the same bytes behind binary headers."""
-    heads = {"png": "89504e470d0a1a0a0000000d4948445200000280000001e0", "wav": "52494646ff0f000057415645", "mp4": "0000001c6674797069736f6d", "flac": "664c6143", "epub": "504b030400000000000000000000000000000000000000000000000000006d696d65747970656170706c69636174696f6e2f657075622b7a6970"}
-    files = view(spark, sf, "v1").withColumn("head", F.explode(F.array(F.lit(""), *[F.lit(h) for h in heads.values()])))
-    files = files.select("name", "head", F.concat(F.unhex("head"), F.col("body").cast("binary")).alias("content"))
-    kind = fm.signature(F.col("content"))
-    ext = fm.normal_extension(fm.extension(F.col("name")))
-    return files.select("name", F.length("head").alias("n_head"), kind.alias("tipo"), fm.probe_category(kind).alias("sonda"), fm.coherent(kind, ext).alias("coherente"), fm.declared_length_status(F.col("content")).alias("completo"), fm.png_megapixels(F.col("content")).alias("mpx"))
+    """Type by bytes, and P6 to P8 and P18 beside it, of every file of the corpus behind one of the headers."""
+    kind = fm.normal_extension(fm.extension(F.col("name")))
+    files = _specimens(spark, sf).select("name", "content", sg.signature(F.col("content")).alias("tipo"), kind.alias("ext"))
+    tipo = F.col("tipo")
+    return files.select("name", "tipo", sg.probe_category(tipo).alias("sonda"), fm.coherent(tipo, F.col("ext")).alias("coherente"), fm.declared_length_status(F.col("content")).alias("completo"), F.round(fm.png_megapixels(F.col("content")), 6).alias("mpx"))
 
 
 def p5_signature_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +63,7 @@ def p5_signature_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_coherent(spark: SparkSession, sf: str) -> DataFrame:
     ext = fm.normal_extension(fm.extension(F.col("name")))
-    return view(spark, sf, "v1").select("name", fm.coherent(fm.text_type(F.col("body")), ext).alias("coherente"))
+    return view(spark, sf, "v1").select("name", fm.coherent(sg.text_type(F.col("body")), ext).alias("coherente"))
 
 
 def p9_safe_name(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +150,7 @@ def s9_job_store(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_extension, p2_capabilities, p3_signature, p4_text_type, p5_signature_status, p7_coherent, p9_safe_name, p10_codec, p11_rate, p12_tolerance, p13_effective_rate, p14_normalisations, p15_character_census, p16_token_signals, p17_collapse, p19_cost_line, p20_admission, p21_budget, s7_last_pass, s9_job_store)}
 
-_FORMATS = ", ".join(f"('{e}', '{c}', {e in fm.HOLDS_TEXT.split()}, {e in fm.HOLDS_ALPHA.split()}, {fm.DEPTH.get(e, 8)}, {e in fm.LOSSY.split()})" for e, c in fm.spread(fm.CATEGORY).items())
+_FORMATS = ", ".join(f"('{e}', '{c}', {e in fm.HOLDS_TEXT}, {e in fm.HOLDS_ALPHA}, {fm.DEPTH.get(e, 8)}, {e in fm.LOSSY})" for e, c in fm.spread(fm.CATEGORY).items())
 _TYPE = """CASE WHEN regexp_matches(b, '^%!PS') THEN 'postscript' WHEN starts_with(b, '%PDF-') THEN 'pdf' WHEN starts_with(b, 'WEBVTT') THEN 'vtt' WHEN starts_with(b, '#define ') THEN 'xbm' WHEN starts_with(b, 'solid ') THEN 'stl_ascii'
  WHEN starts_with(lower(b), '<?xml') THEN CASE WHEN contains(lower(substr(b, 1, 600)), '<svg') THEN 'svg' WHEN contains(lower(substr(b, 1, 600)), '<html') THEN 'html' ELSE 'xml' END
  WHEN starts_with(lower(b), '<!doctype html') OR starts_with(lower(b), '<html') THEN 'html' WHEN starts_with(lower(b), '<svg') THEN 'svg' ELSE 'texto' END"""
@@ -146,12 +160,38 @@ _W = "list_filter(string_split(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'),
 _MPX = "least(428.0 + 235.0 * (l_partkey % 400 / 10.0), 1533.0)"
 _FREE = "CASE WHEN l_linenumber < 7 THEN l_partkey % 20 * 100.0 END"
 
+_HEX = lambda x: f"'{x.hex().upper() if isinstance(x, bytes) else x.encode().hex().upper()}'"
+_CASES = lambda x, pairs: f"CASE {x} " + " ".join(f"WHEN {_HEX(k)} THEN '{v}'" for k, v in pairs.items())
+_STARTS = lambda x, pairs: " ".join(f"WHEN starts_with({x}, {_HEX(k)}) THEN '{v}'" for k, v in pairs)
+_LOW = "lower(decode(unhex(regexp_replace(substr(regexp_replace(substr(h, 1, 1024), '^(EFBBBF)?((20|09|0D|0A))*', ''), 1, 1200), '([0-7].)|(..)', '\\1', 'g'))))"
+_P3 = f"""SELECT name, tipo, CASE {" ".join(f"WHEN tipo IN ({', '.join(repr(k) for k in ks)}) THEN '{c}'" for c, ks in sg.PROBE.items())} END AS sonda,
+ CASE ext {" ".join(f"WHEN '{e}' THEN tipo IN ({', '.join(repr(k) for k in fm.ACCEPTED[e])})" for e in ("html", "txt", "md"))} END AS coherente,
+ CASE WHEN n < 12 THEN 'incompleto' WHEN starts_with(h, {_HEX("RIFF")}) THEN CASE WHEN riff IN (0, 4294967295) THEN 'sin_declaracion' WHEN n >= riff + 8 THEN 'completo' ELSE 'incompleto' END
+  WHEN starts_with(h, {_HEX(sg.MARKS[0].bytes)}) THEN CASE WHEN substr(h, -16, 8) = {_HEX("IEND")} THEN 'completo' ELSE 'incompleto' END ELSE 'sin_declaracion' END AS completo,
+ CASE WHEN starts_with(h, {_HEX(sg.MARKS[0].bytes)}) THEN round(CAST('0x' || substr(h, 33, 8) AS BIGINT) * CAST('0x' || substr(h, 41, 8) AS BIGINT) / 1e6, 6)::DOUBLE END AS mpx
+FROM (SELECT *, CASE WHEN h = '' THEN 'vacio' WHEN starts_with(h, {_HEX("RIFF")}) AND n >= 12 THEN {_CASES("substr(h, 17, 8)", sg.RIFF)} ELSE 'riff' END WHEN starts_with(h, {_HEX("RF64")}) THEN 'wav' WHEN starts_with(h, {_HEX(sg.WAVE64)}) THEN 'wave64'
+  WHEN starts_with(h, {_HEX("FORM")}) AND n >= 12 THEN {_CASES("substr(h, 17, 8)", sg.FORM)} ELSE 'iff' END WHEN substr(h, 9, 8) = {_HEX("ftyp")} AND n >= 12 THEN {_CASES("substr(h, 17, 8)", sg.BRANDS)} ELSE 'isobmff' END
+  WHEN starts_with(h, '504B0304') THEN CASE WHEN substr(h, 61, 16) = {_HEX("mimetype")} AND EXISTS (SELECT 1 FROM (VALUES {", ".join(f"({_HEX(k)})" for k in sg.ZIP_MIME)}) z(m) WHERE starts_with(substr(h, 77), m)) THEN CASE {_STARTS("substr(h, 77)", sg.ZIP_MIME.items())} END
+   {_STARTS("substr(h, 61)", sg.ZIP_MEMBERS.items())} ELSE 'zip' END
+  WHEN starts_with(h, {_HEX(sg.CFB)}) THEN 'cfb' ELSE coalesce({_CASES("substr(h, 121, 16)", sg.PALM)} END, mark, CASE WHEN starts_with(h, '4D4D') AND n >= 6 AND CAST('0x' || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) AS BIGINT) = n THEN '3ds'
+   {" ".join(f"WHEN regexp_matches(substr(h, 1, 400), '{p}') THEN '{k}'" for p, k in sg.PATTERNS)}
+   WHEN NOT regexp_full_match(substr(h, 1, 1024), '(([2-9A-F].)|09|0A|0D)*') THEN 'desconocido' {_STARTS("regexp_replace(substr(h, 1, 1024), '^(EFBBBF)?((20|09|0D|0A))*', '')", sg.TEXT_MARKS)}
+   WHEN starts_with(low, '<?xml') THEN CASE WHEN contains(low, '<svg') THEN 'svg' WHEN contains(low, '<html') OR contains(low, '<!doctype html') THEN 'html' ELSE 'xml' END
+   WHEN starts_with(low, '<!doctype html') OR starts_with(low, '<html') THEN 'html' WHEN starts_with(low, '<svg') THEN 'svg' ELSE 'texto' END) END AS tipo
+ FROM (SELECT *, {_LOW} AS low, CASE WHEN n >= 8 THEN CAST('0x' || substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) AS BIGINT) END AS riff FROM b) x) y"""
+_P3 = f""", s AS (SELECT list_value({", ".join(f"'{x}'" for x in _SPECIMENS)}) AS all_), m(rank, pos, mark, kind) AS (VALUES {", ".join(f"({i}, {2 * m.offset + 1}, '{m.bytes.hex().upper()}', '{m.kind}')" for i, m in enumerate(sg.MARKS))}),
+a AS (SELECT name, {_NEXT} AS ext, all_[CAST('0x' || substr(md5(name), 1, 8) AS BIGINT) % {len(_SPECIMENS)} + 1] || hex(encode(coalesce(body, ''))) AS h FROM v1, s),
+k AS (SELECT name, arg_min(kind, rank) AS mark FROM a, m WHERE substr(h, pos, length(m.mark)) = m.mark GROUP BY name),
+b AS (SELECT a.*, k.mark, length(h) // 2 AS n FROM a LEFT JOIN k ON k.name = a.name)
+{_P3}"""
+
 ORACLE = {
+    "p3_signature": oracle("v1", _P3),
     "p1_extension": oracle("v1", f"SELECT name, {_NEXT} AS ext FROM v1"),
     "p2_capabilities": oracle("v1", f"SELECT x.name, x.ext, f.categoria, f.texto, f.alfa, CAST(f.prof_max AS INTEGER) AS prof_max, f.perdida FROM (SELECT name, {_NEXT} AS ext FROM v1) x LEFT JOIN (VALUES {_FORMATS}) f(ext, categoria, texto, alfa, prof_max, perdida) ON x.ext = f.ext"),
     "p4_text_type": oracle("v1", f"SELECT name, {_TYPE} AS tipo FROM {_B}"),
-    "p5_signature_status": oracle("v1", f"SELECT name, CASE {_NEXT} WHEN 'html' THEN 'evaluado' WHEN 'txt' THEN 'no_aplica' WHEN 'md' THEN 'no_aplica' ELSE 'sin_vocabulario' END AS estado FROM v1"),
-    "p7_coherent": oracle("v1", f"SELECT name, CASE WHEN {_NEXT} = 'html' THEN {_TYPE} = 'html' END AS coherente FROM {_B}"),
+    "p5_signature_status": oracle("v1", f"SELECT name, CASE {_NEXT} WHEN 'html' THEN 'familia' WHEN 'txt' THEN 'familia' WHEN 'md' THEN 'familia' ELSE 'sin_vocabulario' END AS estado FROM v1"),
+    "p7_coherent": oracle("v1", f"SELECT name, CASE WHEN {_NEXT} = 'html' THEN {_TYPE} IN ('html', 'xml', 'texto') WHEN {_NEXT} IN ('txt', 'md') THEN {_TYPE} IN ('texto', 'im_texto') END AS coherente FROM {_B}"),
     "p9_safe_name": oracle("v1", f"SELECT name, {_SAFE.format(x='s')} AS seguro, {_SAFE.format(x='t')} AS dispositivo FROM (SELECT name, substr(body, 1, 12) AS s, concat('con.', substr(body, 1, 12)) AS t FROM v1)"),
     "p10_codec": oracle("v3", "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'aac' WHEN 2 THEN 'opus' WHEN 3 THEN 'aac' WHEN 4 THEN 'h264' ELSE destino END AS codec FROM v3"),
     "p11_rate": oracle("v3", "SELECT l_orderkey, l_linenumber, CAST((l_partkey % 4000) * CASE l_linenumber % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END AS BIGINT) AS bps FROM v3"),

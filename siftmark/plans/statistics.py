@@ -127,11 +127,23 @@ def w2_argmins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w3_rank_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Inversions, ties broken and ties made between two metrics inside a family."""
-    v = view(spark, sf, "v8").select("doc", "ajuste", F.round("metrica_a", 1).alias("a"), F.round("metrica_b", 1).alias("b"))
-    w = v.select("doc", F.col("ajuste").alias("ajuste2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    sa, sb = F.signum(F.col("a") - F.col("a2")), F.signum(F.col("b") - F.col("b2"))
-    return v.join(w, "doc").where("ajuste < ajuste2").groupBy("doc").agg(F.count("*").alias("pares"), F.count_if(sa * sb < 0).alias("inversiones"), F.count_if((sa == 0) & (sb != 0)).alias("deshechos"), F.count_if((sa != 0) & (sb == 0)).alias("hechos"))
+    """Inversions, ties broken and made between two metrics inside a family, and whether its winners change."""
+    v = view(spark, sf, "v8").select("doc", F.round("metrica_a", 1).alias("a"), F.round("metrica_b", 1).alias("b"))
+    return st.rank_changes(v, "doc", "a", "b")
+
+
+def _heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Beginnings of pages: the kind is what the host and the first letters show, the engine a digest of the page."""
+    p = table(spark, sf, "pages")
+    return p.select(F.concat(F.lit("k"), F.pmod("page_id", F.lit(12)).cast("string")).alias("formato"), F.concat(F.lit("m"), F.substring(F.md5(F.col("page_id").cast("string")), 1, 1)).alias("motor"), F.concat(F.expr("repeat(substr('RFIX', cast(page_id % 3 as int) + 1, 2), cast(page_id % 12 div 3 as int))"), F.coalesce("html", F.lit(""))).alias("cabeza"))
+
+
+def a20_best_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return st.best_evidence(_heads(spark, sf), "formato", "motor", "cabeza")
+
+
+def a20_shared_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    return st.shared_prefixes(a20_best_evidence(spark, sf), "formato").withColumn("kinds", F.array_join("kinds", ","))
 
 
 def w4_families(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,12 +180,16 @@ def w9_stratified(spark: SparkSession, sf: str) -> DataFrame:
     return st.stratified(_v9(spark, sf), "estrato", "event_id", 300, 12, "semilla").select("estrato", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (a4_shares, a5_wilson, a6_fisher, a7_weighted_rate, a8_line, a9_steady, a10_two_way, a11_regret, a12_a13_sweep, a14_gap, a15_worst, a16_change, a18_timings, a19_a20_stable_heads, a23_run_costs, a28_counters, a30_cost_ratio, a31_additivity, a35_crossing, a36_monotone, w2_argmins, w3_rank_changes, w4_families, w5_largest_moves, w6_batch_order, w7_processed_before, w8_numbering, w9_stratified)}
+QUERIES = {f.__name__: f for f in (a4_shares, a5_wilson, a6_fisher, a7_weighted_rate, a8_line, a9_steady, a10_two_way, a11_regret, a12_a13_sweep, a14_gap, a15_worst, a16_change, a18_timings, a19_a20_stable_heads, a20_best_evidence, a20_shared_prefixes, a23_run_costs, a28_counters, a30_cost_ratio, a31_additivity, a35_crossing, a36_monotone, w2_argmins, w3_rank_changes, w4_families, w5_largest_moves, w6_batch_order, w7_processed_before, w8_numbering, w9_stratified)}
 
 _GRID = "WITH g AS (SELECT l_linenumber AS ajuste, l_suppkey % 5 AS doc, avg(l_discount) * 100 AS y FROM lineitem GROUP BY 1, 2)"
 _CURVE = "WITH g AS (SELECT o_orderpriority, CAST(month(o_orderdate) AS INTEGER) AS mes, count(*) AS n FROM orders GROUP BY 1, 2), c AS (SELECT o_orderpriority, mes, n - (SELECT avg(n) FROM g) AS y FROM g)"
 _SW = "SELECT l_orderkey, l_linenumber, fuente, clase, round(desvio, 6) AS d FROM v8_sweep"
 
+_HEADS = """WITH h AS (SELECT 'k' || page_id % 12 AS formato, 'm' || substr(md5(CAST(page_id AS VARCHAR)), 1, 1) AS motor, repeat(substr('RFIX', CAST(page_id % 3 AS INT) + 1, 2), page_id % 12 // 3) || coalesce(html, '') AS cabeza FROM pages),
+ g AS (SELECT formato, motor, list(cabeza) AS l, count(*) AS samples FROM h GROUP BY 1, 2), n AS (SELECT *, coalesce(list_max(list_filter(range(1, 65), lambda i: len(list_distinct(list_transform(l, lambda x: substr(x, 1, i)))) = 1 AND length(l[1]) >= i)), 0) AS n FROM g),
+ e AS (SELECT formato, motor, samples, substr(l[1], 1, n) AS prefix FROM n QUALIFY row_number() OVER (PARTITION BY formato ORDER BY n DESC, motor) = 1)"""
+
 ORACLE = {
     "a4_shares": oracle("v9", "SELECT catalogo, herramienta, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY catalogo), 6) AS share FROM v9 GROUP BY catalogo, herramienta"),
     "a5_wilson": oracle("v9", """, g AS (SELECT catalogo, estrato, count(*) FILTER (herramienta <> 'error') AS k, count(*) AS n FROM v9 GROUP BY GROUPING SETS ((catalogo, estrato), (catalogo)))
@@ -202,6 +218,9 @@ SELECT job, n, round(median, 5) AS median, round(a + (b - a) * f, 5) AS p90, min
     "a19_a20_stable_heads": oracle("v1", """, h AS (SELECT lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS ext, body FROM v1), s AS (SELECT ext, least(64, min(length(body))) AS shortest, count(*) AS samples FROM h GROUP BY ext),
  p AS (SELECT h.ext, i AS pos, count(DISTINCT substr(body, i + 1, 1)) AS k FROM h JOIN s ON h.ext = s.ext CROSS JOIN range(64) r(i) WHERE i < shortest GROUP BY 1, 2)
 SELECT p.ext, any_value(samples) AS samples, count(*) FILTER (k = 1) AS stable, CAST(coalesce(min(pos) FILTER (k > 1), any_value(shortest)) AS INTEGER) AS prefix FROM p JOIN s ON p.ext = s.ext GROUP BY p.ext"""),
+    "a20_best_evidence": _HEADS + " SELECT formato, motor, samples, prefix FROM e",
+    "a20_shared_prefixes": _HEADS + """, p AS (SELECT prefix, string_agg(formato, ',' ORDER BY formato) AS kinds FROM e WHERE length(prefix) >= 2 GROUP BY prefix)
+SELECT p.prefix, p.kinds, arg_max(q.prefix, length(q.prefix)) AS under FROM p LEFT JOIN p q ON starts_with(p.prefix, q.prefix) AND q.prefix <> p.prefix GROUP BY p.prefix, p.kinds""",
     "a23_run_costs": oracle("v9", "SELECT catalogo, round(avg(coste), 5) AS coste, count(*) AS llamadas, round(count(*) / count(DISTINCT row(user_id, dia)), 5) AS por_dia FROM v9 GROUP BY catalogo"),
     "a28_counters": oracle("v12", "SELECT estado, count(*) AS n, count(DISTINCT job) AS jobs FROM v12 GROUP BY estado"),
     "a30_cost_ratio": "WITH p AS (SELECT l_orderkey, sum(l_tax) AS verif FROM lineitem GROUP BY 1), x AS (SELECT *, round(verif / o_totalprice * 1e6, 6) AS r FROM orders JOIN p ON o_orderkey = l_orderkey) SELECT o_orderpriority, count(*) AS n, round(median(r), 5) AS mediana, min(r) AS min, max(r) AS max, round(sum(verif) / sum(o_totalprice) * 1e6, 5) AS total FROM x GROUP BY 1",
@@ -209,7 +228,7 @@ SELECT p.ext, any_value(samples) AS samples, count(*) FILTER (k = 1) AS stable,
     "a35_crossing": _CURVE + ", p AS (SELECT *, lead(mes) OVER w AS x2, lead(y) OVER w AS y2 FROM c WINDOW w AS (PARTITION BY o_orderpriority ORDER BY mes)) SELECT o_orderpriority, round(min(mes + (x2 - mes) * (0 - y) / (y2 - y)), 5) AS at FROM p WHERE y < 0 AND y2 >= 0 GROUP BY 1",
     "a36_monotone": _CURVE + " SELECT o_orderpriority, bool_and(b IS NULL OR y >= b) AS monotone FROM (SELECT *, lag(y) OVER (PARTITION BY o_orderpriority ORDER BY mes) AS b FROM c) GROUP BY 1",
     "w2_argmins": oracle("v8", "SELECT doc, ajuste, y AS metrica_a FROM (SELECT doc, ajuste, round(metrica_a, 1) AS y, rank() OVER (PARTITION BY doc ORDER BY round(metrica_a, 1)) AS r FROM v8) WHERE r = 1"),
-    "w3_rank_changes": oracle("v8", ", v AS (SELECT doc, ajuste, round(metrica_a, 1) AS a, round(metrica_b, 1) AS b FROM v8), p AS (SELECT v.doc, sign(v.a - w.a) AS sa, sign(v.b - w.b) AS sb FROM v JOIN v w ON v.doc = w.doc AND v.ajuste < w.ajuste) SELECT doc, count(*) AS pares, count(*) FILTER (sa * sb < 0) AS inversiones, count(*) FILTER (sa = 0 AND sb <> 0) AS deshechos, count(*) FILTER (sa <> 0 AND sb = 0) AS hechos FROM p GROUP BY doc"),
+    "w3_rank_changes": oracle("v8", ", v AS (SELECT doc, ajuste, round(metrica_a, 1) AS a, round(metrica_b, 1) AS b FROM v8), p AS (SELECT v.doc, sign(v.a - w.a) AS sa, sign(v.b - w.b) AS sb FROM v JOIN v w ON v.doc = w.doc AND v.ajuste < w.ajuste), n AS (SELECT *, min(a) OVER (PARTITION BY doc) AS ma, min(b) OVER (PARTITION BY doc) AS mb FROM v), k AS (SELECT doc, bool_or((a = ma) <> (b = mb)) AS cambia FROM n GROUP BY doc) SELECT doc, count(*) AS pares, count(*) FILTER (sa * sb < 0) AS inversiones, count(*) FILTER (sa = 0 AND sb <> 0) AS deshechos, count(*) FILTER (sa <> 0 AND sb = 0) AS hechos, any_value(cambia) AS cambia FROM p JOIN k USING (doc) GROUP BY doc"),
     "w4_families": oracle("v8", ", t AS (SELECT DISTINCT ajuste, string_split(ajuste, ' ') AS t FROM v8), x AS (SELECT t, i FROM t CROSS JOIN range(1, 20) r(i) WHERE i <= len(t)), y AS (SELECT array_to_string(list_transform(t, lambda e, k: CASE WHEN k = i THEN '*' ELSE e END), ' ') AS mascara, t[i] AS tok FROM x) SELECT mascara, count(*) AS n, array_to_string(list(tok ORDER BY tok), ',') AS valores FROM y GROUP BY mascara HAVING count(*) >= 2"),
     "w5_largest_moves": oracle("v8", "SELECT ajuste, doc, round(abs(metrica_a - metrica_b), 5) AS d FROM v8 ORDER BY d DESC, ajuste, doc LIMIT 15"),
     "w6_batch_order": oracle("v8", "SELECT doc, ajuste, n, CAST(row_number() OVER (PARTITION BY doc ORDER BY n DESC, ajuste) AS INTEGER) AS puesto FROM v8"),

@@ -1,22 +1,25 @@
 """Sources and sinks: folders of files, probe documents, run logs, pivot tables."""
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats as fm
+from . import folders
 
 HEAD, LONG_HEAD = 512, 2056
 
 
 def inventory(spark: SparkSession, path: str, recursive: bool = True, glob: str = "*") -> DataFrame:
-    """(path, name, ext, size, mtime) of the files of a folder. Contents aren't asked for, so Spark doesn't load them.
-    Spark's file sources pass over files of zero bytes: compare with the declared outputs to find those."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), fm.normal_extension(fm.extension(name)).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    """(path, name, ext, size, mtime) of the files of a folder, those without a byte too. No file is opened. glob: a pattern for
+    names, as in shells."""
+    if folders.arrow_reads(path):
+        found = folders.folder(spark, path, recursive=recursive, glob=glob)
+    else:  # a file system that Arrow doesn't have: Spark lists it, and passes over files without a byte
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(path)
+        found = found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return found.select("path", "name", fm.normal_extension(fm.extension(F.col("name"))).alias("ext"), "size", "mtime")
 
 
 def candidates(files: DataFrame, reach: DataFrame, target: str) -> DataFrame:
@@ -31,35 +34,14 @@ def census(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), "name", "size")
 
 
-def headers(spark: SparkSession, path: str, n: int = LONG_HEAD, most_bytes: int = 1 << 28) -> DataFrame:
-    """(path, size, head, reason): the first n bytes of every file. Spark reads whole files for it, so of larger ones than
-    most_bytes tasks read only the beginning; the filters on length are pushed to the listing. Where a task can't open a
-    large file (another scheme than file), head is null and reason says why."""
+def headers(spark: SparkSession, path: str, n: int = LONG_HEAD, tail: int = 0) -> DataFrame:
+    """(path, size, head, tail, reason): the first n bytes of every file, and the last `tail`; only those are read. Where a file
+    can't be opened both are null, and reason says why. On file systems that Arrow doesn't have Spark reads whole files."""
+    if folders.arrow_reads(path):
+        return folders.folder(spark, path, head=n, tail=tail).select("path", "size", "head", "tail", "reason")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    size = F.col("length").alias("size")
-    small = files.where(F.col("length") <= most_bytes).select("path", size, F.substring("content", 1, n).alias("head"), F.lit(None).cast("string").alias("reason"))
-    large = files.where(F.col("length") > most_bytes).select("path", size)
-    return small.unionByName(large.mapInArrow(_beginnings(n), "path string, size long, head binary, reason string"))
-
-
-def _beginnings(n: int):
-    def begin(path: str) -> tuple[bytes | None, str | None]:
-        scheme, colon, rest = path.partition(":")
-        if colon and scheme != "file":
-            return None, f"a large file of scheme {scheme}"
-        try:
-            with open("/" + rest.lstrip("/") if colon else path, "rb") as f:
-                return f.read(n), None
-        except OSError as e:
-            return None, str(e)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [begin(p) for p in batch.column(0).to_pylist()]
-            heads, reasons = pa.array([h for h, _ in found], pa.binary()), pa.array([r for _, r in found], pa.string())
-            yield pa.record_batch([batch.column(0), batch.column(1), heads, reasons], names=["path", "size", "head", "reason"])
-
-    return work
+    end = F.substring("content", -tail, tail) if tail else F.lit(b"")
+    return files.select("path", F.col("length").alias("size"), F.substring("content", 1, n).alias("head"), end.alias("tail"), F.lit(None).cast("string").alias("reason"))
 
 
 def decoded(content: Column) -> Column:
@@ -76,7 +58,7 @@ def texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def probes(spark: SparkSession, path: str) -> DataFrame:
     """(motor, build, huella map, aristas array) of probe documents, one JSON file an engine; unreadable ones are left out."""
     schema = "motor string, build string, huella map<string,string>, aristas array<struct<origen:string,destino:string,estado:string,ms:double>>, _corrupt_record string"
-    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(path).cache()
+    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(path)
     return rows.where("_corrupt_record IS NULL AND motor IS NOT NULL").drop("_corrupt_record")
 
 

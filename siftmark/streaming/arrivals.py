@@ -1,8 +1,10 @@
 """Arrivals as streams: listings of a folder in, complete and new files out; jobs that lost their owner.
 
-A listing row is (poll, ruta, tamano, mtime, incompleto). State is kept for each path: what was last seen and when, how
-often in a row, how often it was put off, and every identity (size and time) that was served. Identities are
-remembered for good, so a file that changes and changes back isn't served twice.
+A listing row is (vuelta, poll, ruta, tamano, mtime, incompleto): vuelta numbers the polls without gaps. State of a path is a value for the
+present run (what was last seen, at which poll, how often in a row, how often it was put off), and a map with a row for every
+identity (size and time) that was served. A poll that misses the path ends the run: its value is cleared by a timer once the
+watermark has passed, or by the next listing, whichever comes first. Identities are remembered for good, so a file
+that changes and changes back isn't served twice; serving one writes one row, whatever was served before.
 """
 
 from collections.abc import Iterator
@@ -11,52 +13,70 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 OUT = "ruta string, poll timestamp, tamano long, mtime timestamp, estado string"
-STATE = "tamano long, mtime double, poll double, vistos int, pospuesto int, servidos array<string>"
-
+RUN = "tamano long, mtime long, vuelta long, vistos int, pospuesto int, reloj long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _micros(t: pd.Timestamp) -> int:
+    return t.value // 1000
+
+
+class Arrivals(StatefulProcessor):
+    def __init__(self, polls: int, patience: int):
+        self.polls, self.patience = polls, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", RUN)
+        self.served = handle.getMapState("served", "tamano long, mtime long", "vuelta long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        out, now = [], self.run.get() if self.run.exists() else None
+        before = now[5] if now else None
+        listed = pd.concat(list(rows)).sort_values(["vuelta", "mtime", "tamano"]).drop_duplicates("vuelta", keep="last")
+        for r in listed.itertuples():
+            size, mtime = int(r.tamano), _micros(r.mtime)
+            if now is not None and r.vuelta <= now[2]:  # late, or listed before
+                continue
+            same = now is not None and r.vuelta == now[2] + 1 and now[:2] == (size, mtime)
+            seen, late = (now[3] + 1, now[4]) if same else (1, 0)
+            if seen >= self.polls and not self.served.containsKey((size, mtime)):
+                if r.incompleto and late < self.patience:
+                    late += 1
+                else:
+                    self.served.updateValue((size, mtime), (int(r.vuelta),))
+                    out.append((key[0], r.poll, size, r.mtime, "desistido" if r.incompleto else "servido"))
+            now = (size, mtime, int(r.vuelta), seen, late, r.poll.value // 1_000_000 + 1)
+        if now is not None and now[5] != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(now[5])
+            self.run.update(now)
+        yield pd.DataFrame(out, columns=["ruta", "poll", "tamano", "mtime", "estado"])
 
-def _step(state: tuple | None, poll: float, tamano: int, mtime: float, incomplete: bool, polls: int, patience: int, every_s: float | None) -> tuple[tuple, str | None]:
-    """The state after one listing, and what to say about the file."""
-    served = list(state[5] or []) if state else []
-    missed = state is not None and every_s is not None and poll - state[2] > 1.5 * every_s
-    seen, late = (0, 0) if state is None or missed or state[:2] != (tamano, mtime) else state[3:5]
-    seen, said, who = seen + 1, None, f"{tamano} {mtime!r}"
-    if seen >= polls and who not in served:
-        if incomplete and late < patience:
-            late += 1
-        else:
-            said = "desistido" if incomplete else "servido"
-            served.append(who)
-    return (tamano, mtime, poll, seen, late, served), said
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A later poll has come, and the path wasn't in it."""
+        if self.run.exists() and self.run.get()[5] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.run.clear()
+        yield pd.DataFrame([], columns=["ruta", "poll", "tamano", "mtime", "estado"])
 
 
-def mature(listings: DataFrame, polls: int = 2, patience: int = 3, every_s: float | None = None, forget_ms: int | None = None) -> DataFrame:
+def mature(listings: DataFrame, polls: int = 2, patience: int = 3, delay: str = "10 seconds") -> DataFrame:
     """A stream of (ruta, poll, tamano, mtime, estado): each identity once, when it has been listed `polls` times in a row
     unchanged. An incomplete file is put off up to `patience` times, then given up and served as desistido.
 
-    every_s: seconds from one poll to the next; with it, a poll that misses the file starts the count anew, as in the
-    batch twin. forget_ms: processing time after which a path that isn't listed is forgotten; by default never.
+    listings: a stream of (vuelta, poll, ruta, tamano, mtime, incompleto). A poll that misses the path, by its number, begins the count
+    anew, as in the batch twin. delay: event time by which rows of a poll may come after those of a later one; what is
+    later, or belongs to a poll of the path that was seen already, is passed over. Of rows of one path and
+    poll in one micro-batch the latest by mtime, then the largest, counts.
     """
-
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("poll")  # one path's listings of one micro-batch
-        out = []
-        for r in rows.itertuples():
-            now, said = _step(now, r.poll.timestamp(), int(r.tamano), r.mtime.timestamp(), bool(r.incompleto), polls, patience, every_s)
-            if said:
-                out.append((key[0], r.poll, r.tamano, r.mtime, said))
-        state.update(now)
-        if forget_ms is not None:
-            state.setTimeoutDuration(forget_ms)
-        yield pd.DataFrame(out, columns=["ruta", "poll", "tamano", "mtime", "estado"])
-
-    timeout = GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return listings.groupBy("ruta").applyInPandasWithState(work, OUT, STATE, "append", timeout)
+    spark = listings.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = listings.select("vuelta", "poll", "ruta", "tamano", "mtime", "incompleto").withWatermark("poll", delay)
+    return rows.groupBy("ruta").transformWithStateInPandas(Arrivals(polls, patience), OUT, "append", "EventTime")
 
 
 def unless_existing(served: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -1,0 +1,83 @@
+"""Edit distances and shared runs of characters against plain versions."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from siftmark.functions import edits
+from siftmark.operators import fidelity as fd
+
+
+def plain(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def edited(r, a, n, letters):
+    a = list(a)
+    for _ in range(n):
+        i = r.randrange(len(a) + 1)
+        kind = r.randrange(3)
+        if kind == 0 or i == len(a):
+            a.insert(i, r.choice(letters))
+        elif kind == 1:
+            a.pop(i)
+        else:
+            a[i] = r.choice(letters)
+    return "".join(a)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghé \U0001f600"])
+def test_distances_of_short_texts(letters):
+    r = random.Random(1)
+    for _ in range(400):
+        a = "".join(r.choice(letters) for _ in range(r.randrange(0, 40)))
+        b = edited(r, a, r.randrange(12), letters) if r.random() < 0.7 else "".join(r.choice(letters) for _ in range(r.randrange(0, 40)))
+        want = plain(a, b)
+        assert edits.edit_distance(a, b) == want
+        long, short = (a, b) if len(a) >= len(b) else (b, a)
+        for most in range(max(1, len(long) - len(short)), len(long)):
+            if short:
+                assert edits._within(long, short, most) == (want if want <= most else None)
+
+
+def test_distances_of_long_texts():
+    """The band gives what the whole matrix gives, on 100,000 characters too; and a text of 3,000 what the plain version does."""
+    r = random.Random(2)
+    for n, changes in ((3000, 100), (100_000, 900)):
+        a = "".join(r.choice("abcdefghij klmno") for _ in range(n))
+        b = edited(r, a, changes, "abcdxyz")
+        got = edits.edit_distance(a, b)
+        assert got == edits._whole(a, b) and got <= changes
+        if n == 3000:
+            assert got == plain(a, b)
+    assert edits.edit_distance(a, "z" * 1000) == edits._whole(a, "z" * 1000)
+
+
+def test_error_rates_of_awkward_rows(spark):
+    long = "The quick brown fox. " * 3000
+    rows = [(1, "abc", "abd", None), (2, "", "x", "y"), (3, None, "x", "y"), (4, "Más café", "mas CAFE!", ""), (5, long, "x" + long, long[:-1000])]
+    got = {r["k"]: (r["p"], r["q"]) for r in fd.error_rates(spark.createDataFrame(rows, "k int, r string, p string, q string"), "k", "r", ["p", "q"]).collect()}
+    n = 3000 * 20 - 1  # normalised: no full stops
+    assert got[1] == (33.333333, None) and got[2] == got[3] == (None, None) and got[4] == (0.0, 100.0)
+    assert got[5][0] == round(100 / n, 6) and abs(got[5][1] - 100 * 952 / n) < 0.1
+
+
+@pytest.mark.parametrize("k", [1, 5, 13])
+def test_shared_runs_of_characters(spark, k):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeé€\U0001f600") for _ in range(r.randrange(0, 60))) for _ in range(600)] + [None, "", "a" * 500]
+    rows = [(i, a, edited(r, a or "", 5, "abxyz") if i % 3 else r.choice(words)) for i, a in enumerate(words)]
+    got = spark.createDataFrame(rows, "i int, a string, b string").select("i", fd.overlap(k, False)(F.col("a"), F.col("b")).alias("o")).select("i", "o.*").collect()
+
+    def grams(x):
+        return Counter((x or "")[i : i + k] for i in range(len(x or "") - k + 1))
+
+    assert {x["i"]: (x["common"], x["in_a"], x["in_b"]) for x in got} == {i: ((grams(a) & grams(b)).total(), grams(a).total(), grams(b).total()) for i, a, b in rows}
