@@ -227,12 +227,16 @@ def by_marks(content: Column, marks: tuple[Mark, ...] = MARKS) -> Column:
 
 def text_type(text: Column) -> Column:
     """The kind of a text by its marker, after a byte order mark and white space; 'texto' if none."""
-    s = F.regexp_replace(text, "^(\\uFEFF|\\u00EF\\u00BB\\u00BF)?[ \\t\\r\\n]*", "")
-    low = F.lower(F.substring(s, 1, 600))
-    out = reduce(lambda w, m: w.when(s.startswith(m[0]), m[1]), TEXT_MARKS, F.when(F.lit(False), ""))
-    xml = F.when(low.contains("<svg"), "svg").when(low.contains("<html") | low.contains("<!doctype html"), "html").otherwise("xml")
-    out = out.when(low.startswith("<?xml"), xml).when(low.startswith("<!doctype html") | low.startswith("<html"), "html").when(low.startswith("<svg"), "svg")
-    return out.otherwise("texto")
+    bare = F.regexp_replace(text, "^(\\uFEFF|\\u00EF\\u00BB\\u00BF)?[ \\t\\r\\n]*", "")
+
+    def told(s: Column, low: Column) -> Column:
+        out = reduce(lambda w, m: w.when(s.startswith(m[0]), m[1]), TEXT_MARKS, F.when(F.lit(False), ""))
+        xml = F.when(low.contains("<svg"), "svg").when(low.contains("<html") | low.contains("<!doctype html"), "html").otherwise("xml")
+        out = out.when(low.startswith("<?xml"), xml).when(low.startswith("<!doctype html") | low.startswith("<html"), "html").when(low.startswith("<svg"), "svg")
+        return out.otherwise("texto")
+
+    one = F.array(F.struct(bare.alias("s"), F.lower(F.substring(bare, 1, 600)).alias("low")))  # bound once, not evaluated anew for each branch
+    return F.get(F.transform(one, lambda x: told(x["s"], x["low"])), 0)
 
 
 def zip_type(content: Column) -> Column:
