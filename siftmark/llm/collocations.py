@@ -2,16 +2,18 @@
 
 Every run of one to three words is a Rabin-Karp fingerprint: numpy prefix polynomials over the bytes give words, and
 over the words' values runs of words, for a whole window of texts at once. Tasks add equal fingerprints up and send
-them in byte planes, dealt out by their leading bits, each with a second hash and one occurrence (a text and a place in it).
-Only of fingerprints that are frequent in all is the text read, at that place. A fingerprint under which a second hash or
-the text at the place disagrees stands for several phrases: its occurrences are counted again by their texts.
+them in byte planes, dealt out by their leading bits, each with a second hash and a pointer to one text that has it.
+Only of fingerprints that are frequent in all is the text read. A fingerprint under which second hashes differ, or that the
+text pointed to doesn't have, stands for several phrases: its occurrences are counted again by their texts.
 """
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +25,13 @@ from .minhash import mixed
 LEAST = 10  # occurrences of a phrase
 LONGEST = 3  # words of a phrase
 COVERED = 50  # percent of a phrase's occurrences within a longer one, from which it goes
-WINDOW = 1 << 20  # bytes that are hashed at once, but for longer words
-HELD = 3_000_000  # runs of words that a task adds up before it sends them
+BITS = 56  # of a fingerprint; with the second hash, 80 bits tell phrases apart
+WINDOW = 1 << 18  # bytes that are hashed at once, but for longer words
+HELD = 7_000_000  # unlike runs of words that a task holds before it sends them, about
+CHUNK = 500_000  # runs of words that are added up at once
+PART = 1 << 20  # bytes of text that are split into words at once, but for longer texts
 SLICE_CHARS = 8_000_000  # characters of text for a slice of fingerprints that one task adds up
 MARKS = 20  # leading bits by which fingerprints are marked that stand for several phrases
-NOT_IN_WORDS = r"[^ \t.,;:!?\n\x0B\f\r]+"
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -60,7 +64,7 @@ class Polynomials:
 
 
 class Words:
-    """The words of the texts of an Arrow column: where each begins and ends, its text, and its piece."""
+    """The words of the texts of an Arrow column: where each begins and ends, and its text."""
 
     def __init__(self, column: pa.Array):
         column = column.cast(pa.large_string())
@@ -77,9 +81,7 @@ class Words:
         before = np.append(inside[1:], False)
         self.end = np.flatnonzero(inside & (~before | first[1:])) + 1
         self.text = np.searchsorted(at, self.begin, "right") - 1
-        self.place = np.arange(len(self.begin)) - np.searchsorted(self.begin, at)[self.text]  # among the words of its text
-        breaks = np.cumsum(kind == 2, dtype=np.int64)
-        piece = breaks[self.begin] if len(self.begin) else np.zeros(0, np.int64)
+        piece = np.searchsorted(np.flatnonzero(kind == 2), self.begin)
         self.joined = (np.diff(piece) == 0) & (np.diff(self.text) == 0)  # to the next word
 
     def phrase(self, i: int, n: int) -> bytes:
@@ -112,18 +114,19 @@ class Hasher:
                 at = np.flatnonzero(ok[: j - i])
                 seed = seeds[words.text[at + i]] + np.uint64(k)
                 fp, check = (mixed(p.stretches(v, at, at + k) + seed) for p, v in zip(self.words, values))
-                yield fp & self.kept, (check >> np.uint64(32)).astype(np.uint32), at + i, k
+                yield fp & self.kept, (check >> np.uint64(40)).astype(np.uint32), at + i, k
             i = j
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of x, all lowest ones first: those planes that hardly change compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The lowest `size` bytes of x, all lowest ones first: those planes that hardly change compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :size].T).tobytes()
 
 
-def _from_planes(b: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _from_planes(b: bytes, size: int, kind) -> np.ndarray:
+    out = np.zeros((len(b) // size, np.dtype(kind).itemsize), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(size, -1).T
+    return out.view(kind).ravel()
 
 
 def _added(fp: np.ndarray, check: np.ndarray, count: np.ndarray):
@@ -143,87 +146,142 @@ def _seeds(langs: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.encode(), 7) for x in langs], np.uint64)
 
 
-SENT = "slice int, fp binary, second binary, n binary, text binary, place binary, texts binary"
+def _parts(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of stretches of rows whose texts have `most` bytes together, or are a single one."""
+    at = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, (at[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
+SENT = "slice int, flush long, fp binary, second binary, n binary, text binary, other binary"
+
+
+def _sent(k: int, flush: int, *columns: bytes, other: bytes = b"") -> pa.RecordBatch:
+    columns = (*(columns or [b""] * 4), other)
+    return pa.record_batch([pa.array([k], pa.int32()), pa.array([flush], pa.int64()), *[pa.array([c], pa.binary()) for c in columns]], names=[c.split()[0] for c in SENT.split(", ")])
 
 
 def _send(slices: int, bits: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(bits), [], 0
-        shift = np.uint64(64 - (slices.bit_length() - 1)) if slices > 1 else None
+    """Sums of the fingerprints of a task, a row for each slice of them; the keys of the texts that they point to, a row for all of
+    a flush (slice -2 and less, by its number, which is a hash of the keys); and how many words languages have (slice -1)."""
+    shift = np.uint64(64 - (slices.bit_length() - 1))
+    edges = np.arange(1, slices, dtype=np.uint64) << shift
 
-        def out() -> pa.RecordBatch:
-            fp, second, text, place = (np.concatenate([h[k] for h in held]) for k in range(4))
-            fp, second, n, one = _added(fp, second, np.ones(len(fp), np.int64))
-            text, place = text[one], place[one]
-            of = (fp >> shift).astype(np.int32) if shift is not None else np.zeros(len(fp), np.int32)
-            edges = np.searchsorted(of, np.arange(slices + 1))
-            rows = []
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                s = slice(edges[k], edges[k + 1])
-                texts, which = np.unique(text[s], return_inverse=True)
-                steps = np.diff(fp[s], prepend=np.uint64(0))
-                rows.append((k, _planes(steps), _planes(second[s]), _planes(n[s]), _planes(which.astype(np.uint32)), _planes(place[s]), texts.tobytes()))
-            return pa.record_batch([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(7)], names=[c.split()[0] for c in SENT.split(", ")])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, words_of = Hasher(bits), Counter()
+        new, chunks, keys, n_new = [], [], [], 0
+
+        def add_up() -> None:
+            fp, second, text = (np.concatenate([h[k] for h in new]) for k in range(3))
+            fp, second, n, one = _added(fp, second, np.ones(len(fp), np.int32))
+            chunks.append((np.searchsorted(fp, edges), fp, second, n.astype(np.int32), text[one]))
+            new.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key = np.concatenate(keys).tobytes()
+            flush = xxhash.xxh64_intdigest(key)
+            yield _sent(-2 - flush % slices, flush - (1 << 63), other=key)
+            for k in range(slices):
+                cuts = [slice(c[0][k - 1] if k else 0, c[0][k] if k < slices - 1 else len(c[1])) for c in chunks]
+                fp, second, n, text = (np.concatenate([c[i][s] for c, s in zip(chunks, cuts)]) for i in range(1, 5))
+                if len(fp):
+                    fp, second, n, one = _added(fp, second, n)
+                    yield _sent(k, flush - (1 << 63), _planes(np.diff(fp >> np.uint64(64 - bits), prepend=np.uint64(0)), 8), _planes(second, 3), _planes(n.astype(np.int32), 4), _planes(text[one], 4))
+            chunks.clear()
+            keys.clear()
 
         for batch in batches:
-            words = Words(batch.column(2))
-            if not len(words.begin):
-                continue
-            key = batch.column(0).to_numpy()
-            for fp, second, at, n in hasher.runs(words, _seeds(batch.column(1).to_pylist())):
-                if len(fp):
-                    held.append((fp, second, key[words.text[at]], (words.place[at] << 2 | n).astype(np.uint32)))
-                    size += len(fp)
-                if size > HELD:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+            for i, j in _parts(batch.column(2), PART):
+                part = batch.slice(i, j - i)
+                words, langs = Words(part.column(2)), part.column(1).to_pylist()
+                for lang, n in zip(langs, np.bincount(words.text, minlength=j - i).tolist()):
+                    words_of[lang] += n
+                before = sum(map(len, keys))
+                keys.append(part.column(0).to_numpy())
+                for fp, second, at, n in hasher.runs(words, _seeds(langs)):
+                    if len(fp):
+                        new.append((fp, second, (words.text[at] + before).astype(np.uint32)))
+                        n_new += len(fp)
+                    if n_new > CHUNK:
+                        add_up()
+                        n_new = 0
+                if sum(len(c[1]) for c in chunks) > HELD:
+                    if new:
+                        add_up()
+                        n_new = 0
+                    yield from out()
+        if new:
+            add_up()
+        if chunks:
+            yield from out()
+        if words_of:
+            yield _sent(-1, 0, other=json.dumps(words_of).encode())
 
     return work
 
 
-def _frequent(least: int):
+FOUND = "kind int, fp long, a long, several boolean, flush long, text int, key long, lang string"
+FREQUENT, TOTAL, KEY = range(3)  # kinds: a frequent fingerprint, the words of a language, the key of a flush's text
+
+
+def _found(kind: int, n: int, **columns) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [c.split() for c in FOUND.split(", ")]
+    return pa.table([pa.array(np.full(n, kind, np.int32)) if c == "kind" else pa.array(columns[c], kinds[t]) if c in columns else pa.nulls(n, kinds[t]) for c, t in fields], names=[c for c, _ in fields])
+
+
+def _frequent(least: int, bits: int):
     def work(rows: pa.Table) -> pa.Table:
-        fp, second, n, text, place = [], [], [], [], []
+        k = rows["slice"][0].as_py()
+        if k == -1:
+            total = Counter()
+            for x in rows["other"].to_pylist():
+                total.update(json.loads(x))
+            return _found(TOTAL, len(total), lang=list(total), a=list(total.values()))
+        if k < -1:
+            keys = {f: np.frombuffer(x, np.int64) for f, x in zip(rows["flush"].to_pylist(), rows["other"].to_pylist())}  # equal ones of a part that is there twice
+            sizes = [len(x) for x in keys.values()]
+            return _found(KEY, sum(sizes), flush=np.repeat(np.array(list(keys), np.int64), sizes), text=np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), key=np.concatenate(list(keys.values())))
+        fp, second, n, flush, text = [], [], [], [], []
         for r in rows.to_pylist():
-            fp.append(np.cumsum(_from_planes(r["fp"], np.uint64), dtype=np.uint64))
-            second.append(_from_planes(r["second"], np.uint32))
-            n.append(_from_planes(r["n"], np.int64))
-            text.append(np.frombuffer(r["texts"], np.int64)[_from_planes(r["text"], np.uint32)])
-            place.append(_from_planes(r["place"], np.uint32))
+            fp.append(np.cumsum(_from_planes(r["fp"], 8, np.uint64), dtype=np.uint64) << np.uint64(64 - bits))
+            second.append(_from_planes(r["second"], 3, np.uint32))
+            n.append(_from_planes(r["n"], 4, np.int32).astype(np.int64))
+            flush.append(np.full(len(n[-1]), r["flush"]))
+            text.append(_from_planes(r["text"], 4, np.uint32))
         fp, _, total, one = _added(*map(np.concatenate, (fp, second, n)))
         ok = np.abs(total) >= least
-        text, place, one = np.concatenate(text), np.concatenate(place), one[ok]
-        return pa.table({"fp": fp[ok].view(np.int64), "a": np.abs(total[ok]), "several": total[ok] < 0, "key": text[one], "place": place[one].astype(np.int64)})
+        one = one[ok]
+        return _found(FREQUENT, len(one), fp=fp[ok].view(np.int64), a=np.abs(total[ok]), several=total[ok] < 0, flush=np.concatenate(flush)[one], text=np.concatenate(text)[one].astype(np.int32))
 
     return work
 
 
 def _read(bits: int):
-    """Of rows (lang, text, found: fp, a, place): the phrase at each place, null if its fingerprint is another."""
+    """Of rows (lang, text, found: fp, a): the phrase that each fingerprint stands for in its text, null if it isn't there."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(bits)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                words = Words(part.column(1))
-                langs = part.column(0).to_pylist()
+            for i, j in _parts(batch.column(1), PART // 4):
+                part = batch.slice(i, j - i)
+                words, langs = Words(part.column(1)), part.column(0).to_pylist()
                 found = part.column(2)
-                row = np.repeat(np.arange(part.num_rows), np.diff(found.offsets.to_numpy()))
                 items = found.flatten()
-                fp, a, place = (items.field(i).to_numpy() for i in range(3))
-                first = np.searchsorted(words.text, row) + (place >> 2)
-                n = place & 3
-                hashes = [np.zeros(len(words.begin), np.uint64) for _ in range(LONGEST + 1)]
-                for h, _, at, size in hasher.runs(words, _seeds(langs)):
-                    hashes[size][at] = h
-                out = []
-                for i, (f, w, size, r) in enumerate(zip(fp.view(np.uint64).tolist(), first.tolist(), n.tolist(), row.tolist())):
-                    same = w + size <= len(words.begin) and int(hashes[size][w]) == f and words.text[w] == r
-                    out.append(words.phrase(w, size).decode() if same else None)
-                yield pa.record_batch([pa.array([langs[r] for r in row], pa.string()), pa.array(out, pa.string()), n.astype(np.int32), a, fp], names=["lang", "phrase", "words", "a", "fp"])
+                fp, a = items.field(0).to_numpy().view(np.uint64), items.field(1).to_numpy()
+                lang = np.repeat(np.arange(part.num_rows), np.diff(found.offsets.to_numpy()))
+                where, size = np.full(len(fp), -1), np.zeros(len(fp), np.int32)  # a fingerprint tells languages apart: any text may show it
+                order = np.argsort(fp)
+                for h, _, at, n in hasher.runs(words, _seeds(langs)):
+                    k = np.searchsorted(fp, h, sorter=order)
+                    k = order[np.minimum(k, len(fp) - 1)] if len(fp) else k
+                    hit = np.flatnonzero(fp[k] == h) if len(fp) else np.zeros(0, int)
+                    where[k[hit]], size[k[hit]] = at[hit], n
+                out = [words.phrase(w, n).decode() if w >= 0 else None for w, n in zip(where.tolist(), size.tolist())]
+                yield pa.record_batch([pa.array([langs[r] for r in lang], pa.string()), pa.array(out, pa.string()), size, a, fp.view(np.int64)], names=["lang", "phrase", "words", "a", "fp"])
 
     return work
 
@@ -241,8 +299,8 @@ def _again(bits: int, marked: np.ndarray):
             cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array([k[3] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())]
             return pa.record_batch(cols, names=["fp", "lang", "phrase", "words", "a"])
 
-        for batch in batches:
-            words, langs = Words(batch.column(2)), batch.column(1).to_pylist()
+        for part in (b.slice(i, j - i) for b in batches for i, j in _parts(b.column(2), PART)):
+            words, langs = Words(part.column(2)), part.column(1).to_pylist()
             for fp, _, at, n in hasher.runs(words, _seeds(langs)):
                 hit = np.flatnonzero(marks[(fp >> np.uint64(64 - MARKS)).astype(np.int64)])
                 for f, w in zip(fp[hit].view(np.int64).tolist(), at[hit].tolist()):
@@ -256,9 +314,9 @@ def _again(bits: int, marked: np.ndarray):
     return work
 
 
-def phrases(docs: DataFrame, least: int = LEAST, bits: int = 64) -> DataFrame:
+def phrases(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words int, a): every run of one to three words within a piece that occurs `least` times or more in the
-    texts of its language.
+    texts of its language; and (lang, n): how many words each language has.
 
     docs: lang, text; other columns don't matter. Null texts are empty, a null lang is `und`. bits of a fingerprint
     don't change the result: with few, more is counted by the texts.
@@ -268,17 +326,19 @@ def phrases(docs: DataFrame, least: int = LEAST, bits: int = 64) -> DataFrame:
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = 1 << max(5, (chars // SLICE_CHARS).bit_length())
     sent = rows.mapInArrow(_send(slices, bits), SENT)
-    frequent = cut(sent.groupBy("slice").applyInArrow(_frequent(least), "fp long, a long, several boolean, key long, place long"))
-    wanted = frequent.where("not several").groupBy("key").agg(F.collect_list(F.struct("fp", "a", "place")).alias("found"))  # no more than a text has runs
+    found = cut(sent.groupBy("slice").applyInArrow(_frequent(least, bits), FOUND))
+    frequent, totals = found.where(F.col("kind") == FREQUENT), found.where(F.col("kind") == TOTAL).select("lang", F.col("a").alias("n"))
+    pointed = frequent.where("not several").select("fp", "a", "flush", "text").join(found.where(F.col("kind") == KEY).select("flush", "text", "key"), ["flush", "text"])
+    wanted = pointed.groupBy("key").agg(F.collect_list(F.struct("fp", "a")).alias("found"))  # no more than a text has runs
     read = rows.dropDuplicates(["key"]).join(wanted, "key").select("lang", "text", "found").mapInArrow(_read(bits), "lang string, phrase string, words int, a long, fp long")
     read = cut(read)
     unsure = cut(frequent.where("several").select("fp").unionByName(read.where("phrase is null").select("fp")))
     out = read.where("phrase is not null").select("lang", "phrase", "words", "a")
     if unsure.isEmpty():
-        return out
+        return out, totals
     marked = unsure.select(F.shiftrightunsigned("fp", 64 - MARKS).alias("mark")).distinct().toArrow()["mark"].to_numpy()  # at most 2**MARKS
     counted = rows.mapInArrow(_again(bits, marked), "fp long, lang string, phrase string, words int, a long").join(unsure, "fp", "left_semi")
-    return out.unionByName(counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    return out.unionByName(counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)), totals
 
 
 def _top(rows: DataFrame, by: str, order: list[Column], most: int, parts: tuple[int, ...] = (64, 8)) -> DataFrame:
@@ -291,7 +351,7 @@ def _top(rows: DataFrame, by: str, order: list[Column], most: int, parts: tuple[
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= most)
 
 
-def collocations(docs: DataFrame, most: int = 2000, least: int = LEAST, covered: int = COVERED, bits: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, most: int = 2000, least: int = LEAST, covered: int = COVERED, bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): of each language the `most` phrases of two or three words that stand together most.
 
     a: occurrences; n: words of the language; l and r: occurrences of the two parts at the cut that scores least (the first
@@ -299,7 +359,8 @@ def collocations(docs: DataFrame, most: int = 2000, least: int = LEAST, covered:
     `covered` percent of the occurrences is left out. Ties: more occurrences, then byte order. Null texts are
     empty, a null lang counts as `und`; repeated rows count as often as they come; tables without words give no rows.
     """
-    found = cut(phrases(docs, least, bits))
+    found, totals = phrases(docs, least, bits)
+    found = cut(found)
     long = found.where("words > 1").withColumn("w", F.split("phrase", " "))
     joined = lambda i, n: F.array_join(F.slice("w", i, n), " ")
     two = F.array(F.struct(F.lit(1).alias("k"), joined(1, 1).alias("first"), joined(2, 1).alias("rest")))
@@ -314,5 +375,4 @@ def collocations(docs: DataFrame, most: int = 2000, least: int = LEAST, covered:
     inner = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = best.join(inner, ["lang", "phrase"], "left").where(F.coalesce(F.lit(100) * F.col("longer") < F.lit(covered) * F.col("a"), F.lit(True)))
     top = _top(kept.select("lang", "phrase", "a", "c.l", "c.r", "c.score"), "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], most)
-    words = docs.groupBy(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).agg(F.sum(F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(NOT_IN_WORDS))).cast("long").alias("n"))
-    return top.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
