@@ -75,23 +75,26 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def _parse(marks: Finder, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the record that begins here; raises Failed unless all checks pass."""
-    data, head = marks.data, marks.next(END, at)
+    """Headers, block and end of the record that begins here; raises Failed unless all checks pass. Headers are read line by
+    line, and a version line is none: from each one no more is read than up to the next."""
+    data = marks.data
     line_end = data.find(b"\r\n", at, at + 16)
     if line_end < 0 or not FIRST_LINE.match(data[at:line_end]):
         raise Failed("no version line")
-    if head == len(data):
-        raise Failed("headers don't end")
     headers: dict[str, str] = {}
-    for line in data[line_end + 2 : head].split(b"\r\n"):
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
+    pos = line_end + 2
+    while (end := data.find(b"\r\n", pos)) != pos:
+        if end < 0:
+            raise Failed("headers don't end")
+        name, colon, value = data[pos:end].decode("utf-8", "replace").partition(":")
         if not colon:
             raise Failed("malformed header")
         headers[name.strip().lower()] = value.strip()
+        pos = end + 2
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Failed("no length")
-    begin, end = head + 4, head + 4 + int(length)
+    begin, end = pos + 2, pos + 2 + int(length)
     if data[end : end + 4] != END:
         raise Failed("record doesn't end where its length says")
     block = data[begin:end]
@@ -258,15 +261,16 @@ def write_archives(pages: DataFrame, path: str, compressed: bool = True, least_b
     smallest page_id are responses too; a row without page_id is a revisit unless all its copies lack one. Line
     breaks in a URL become spaces, without URL the header is left out. Other columns don't matter.
 
-    A file holds about file_bytes before compression at most: Spark rolls files by records, so pages of `large` bytes or
-    more (with their URL) are written apart, as many to a file as fit if all are as long as the longest.
+    A file holds about file_bytes before compression at most, or a single record: Spark rolls files by records, so pages of `large`
+    bytes or more (with their URL) are written by classes of size, each twice the one before, each with its own number to a file.
     """
     rows = with_copies(pages, least_bytes)
-    size = F.col("n") + F.coalesce(F.octet_length("url"), F.lit(0))
-    longest = pages.agg(F.max(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)))).first()[0] or 0
-    _write(rows if longest < large else rows.where(size < large), path, compressed, max(1, file_bytes // (large + 1024)))
-    if longest >= large:
-        _write(rows.where(size >= large), path, compressed, max(1, file_bytes // (longest + 1024)))
+    size = F.col("n") + F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0))
+    of_pages = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0))
+    kind = lambda n: F.when(n < large, 0).otherwise(F.floor(F.log2(n / large)).cast("int") + 1)
+    kinds = sorted(r[0] for r in pages.select(kind(of_pages).alias("k")).distinct().collect())  # as many as doublings
+    for k in kinds or [0]:
+        _write(rows if len(kinds) < 2 else rows.where(kind(size) == k), path, compressed, max(1, file_bytes // ((large << k) + 1024)))
 
 
 def _write(rows: DataFrame, path: str, compressed: bool, records_a_file: int) -> None:
