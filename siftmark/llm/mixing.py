@@ -66,9 +66,9 @@ def weights(sizes: DataFrame, budget: int | None = None, max_repeats: float | No
 
     found = whole.select("all_tokens", "budget", "p", F.round(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve)["hi"], 9).alias("exponent"))
     found = found.select("all_tokens", "budget", "exponent", total(F.col("exponent")).alias("total"))
-    out = some.join(F.broadcast(found)).withColumn("weight", F.round(F.pow(F.col("n_tokens") / F.col("all_tokens"), F.col("exponent")) / F.col("total"), 9))
-    out = out.withColumn("quota", F.floor(F.col("weight") * F.col("budget")).cast("long"))
-    return out.select("key", "n_docs", "n_tokens", "exponent", "weight", "quota", F.floor(F.col("quota") / F.col("n_tokens")).cast("int").alias("epochs"))
+    out = some.join(F.broadcast(found)).withColumn("share", F.pow(F.col("n_tokens") / F.col("all_tokens"), F.col("exponent")) / F.col("total"))
+    out = out.withColumn("quota", F.floor(F.round(F.col("share") * F.col("budget"), 3)).cast("long"))  # of the share as it is: small sources keep theirs
+    return out.select("key", "n_docs", "n_tokens", "exponent", F.round("share", 9).alias("weight"), "quota", F.floor(F.col("quota") / F.col("n_tokens")).cast("int").alias("epochs"))
 
 
 def _sizes(rows: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'v' |
     list_max(list_transform(p, lambda x: pow(x, (lo + hi) / 2) / (x * t))) * t / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))) <= {MIX_REPEATS} AS good
     FROM b, a WHERE step < {mixing.STEPS}) y),
  e AS (SELECT round(hi, 9) AS exponent FROM b WHERE step = {mixing.STEPS}),
- w AS (SELECT key, s.n_tokens, CAST(floor(round(pow(s.n_tokens / t, exponent) / list_sum(list_transform(p, lambda x: pow(x, exponent))), 9) * t) AS BIGINT) AS quota FROM s, a, e),
+ w AS (SELECT key, s.n_tokens, CAST(floor(round(pow(s.n_tokens / t, exponent) / list_sum(list_transform(p, lambda x: pow(x, exponent))) * t, 3)) AS BIGINT) AS quota FROM s, a, e),
  n AS (SELECT greatest(1, CAST(ceil(sum(quota) / {MIX_BLOCK}) AS BIGINT)) AS n_blocks FROM w),
  r AS (SELECT d.doc_id, d.source, d.key, u.epoch, d.n_tokens, w.quota, CAST('0x' || substr(md5(concat_ws('|', '0', CAST(u.epoch AS VARCHAR), CAST(d.row AS VARCHAR))), 1, 15) AS BIGINT) AS h
   FROM d JOIN w ON d.key = w.key CROSS JOIN range(1000) u(epoch) WHERE u.epoch <= w.quota // w.n_tokens),
