@@ -1,19 +1,26 @@
 """Intervals, exact tests, cost lines."""
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The Wilson score interval of k successes in n trials, within 0 and 1; (0, 0) for no trials."""
-    p = k / n
-    d, c = 1 + z * z / n, p + z * z / (2 * n)
-    r = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (c - r) / d)), F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), (c + r) / d))
+    share = k / n
+    shrink, centre = 1 + z * z / n, share + z * z / (2 * n)
+    half_width = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    low, high = (centre - half_width) / shrink, (centre + half_width) / shrink
+    return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), low)), F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), high))
 
 
 def log_factorial(n: Column) -> Column:
-    return F.when(n < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), n.cast("int"))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double"))))
+    """Logarithm of n!: looked up below 16, by Stirling's series above, right to twelve digits."""
+    few = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), F.least(n.cast("int"), F.lit(15)) + 1)
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 16, few).otherwise(series)
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:

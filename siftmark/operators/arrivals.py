@@ -15,7 +15,7 @@ def stable_runs(listings: DataFrame, polls: int = 2) -> DataFrame:
     w = Window.partitionBy("ruta").orderBy("poll")
     listings = listings.groupBy("ruta", "poll").agg(F.max(F.struct("mtime", "tamano")).alias("_m")).select("ruta", "poll", "_m.tamano", "_m.mtime")
     order = listings.select("poll").distinct().withColumn("_i", F.row_number().over(Window.orderBy("poll")))  # as many rows as polls
-    x = listings.join(F.broadcast(order), "poll")
+    x = listings.join(order, "poll")
     same = (F.lag("tamano").over(w) == F.col("tamano")) & (F.lag("mtime").over(w) == F.col("mtime")) & (F.lag("_i").over(w) == F.col("_i") - 1)
     x = x.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
     x = x.withColumn("_k", F.row_number().over(Window.partitionBy("ruta", "_run").orderBy("poll")))

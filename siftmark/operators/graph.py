@@ -62,7 +62,7 @@ def paths(edges: DataFrame, formats: DataFrame, most: int = MOST_HOPS) -> DataFr
     Written as unrolled joins with the cycle test in each, so Catalyst prunes before every expansion. coste holds steps
     at the final format's prices and the penalty for lossy writes after the first.
     """
-    e = edges.where("estado <> 'nominal'").join(F.broadcast(formats.select(F.col("ext").alias("destino"), "perdida")), "destino", "left")
+    e = edges.where("estado <> 'nominal'").join(formats.select(F.col("ext").alias("destino"), "perdida"), "destino", "left")
     plain = F.col("coste") + F.when(F.col("estado") == "sin_sondear", UNPROBED).otherwise(0.0)
     e = e.select("origen", "destino", "motor", plain.alias("c"), F.col("rasteriza").cast("int").alias("r"), F.coalesce("perdida", F.lit(False)).cast("int").alias("p"))
     level = e.select("origen", F.col("destino").alias("final"), F.array("origen", "destino").alias("nodos"), F.array("motor").alias("motores"), F.col("c").alias("c"), F.col("r").alias("r"), F.col("p").alias("p"))
@@ -73,7 +73,7 @@ def paths(edges: DataFrame, formats: DataFrame, most: int = MOST_HOPS) -> DataFr
         level = level.select("origen", F.col("next").alias("final"), F.array_append("nodos", F.col("next")).alias("nodos"), F.array_append("motores", F.col("motor")).alias("motores"), (F.col("c") + F.col("c2")).alias("c"), (F.col("r") + F.col("r2")).alias("r"), (F.col("p") + F.col("p2")).alias("p"))
         out = out.unionByName(level)
     holds = formats.select(F.col("ext").alias("final"), F.coalesce("texto", F.lit(False)).alias("texto"))
-    out = out.join(F.broadcast(holds), "final", "left").withColumn("texto", F.coalesce("texto", F.lit(False)))
+    out = out.join(holds, "final", "left").withColumn("texto", F.coalesce("texto", F.lit(False)))
     pena = LOSSY * F.greatest(F.lit(0), F.col("p") - 1)
     cost = F.col("c") + F.when(F.col("texto"), F.col("r") * RASTER).otherwise(0.0) + pena
     return out.select("origen", "final", F.array_join(F.transform("nodos", lambda x: x.cast("string")), ">").alias("nodos"), F.array_join("motores", ",").alias("motores"), (F.size("motores")).alias("saltos"), cost.alias("coste"), (F.col("r") > 0).alias("rasteriza"), pena.alias("pena"), "texto")
@@ -169,7 +169,7 @@ def why_not(requests: DataFrame, edges: DataFrame) -> DataFrame:
 def loss_cost(paths_: DataFrame, path: str, weights: DataFrame) -> DataFrame:
     """(path, semantica, metrica, riesgo, coste, aceptable) from losses (path, perdida, valor) and weights (perdida, clase,
     peso): sums by class; 500 and more is refused."""
-    x = paths_.join(F.broadcast(weights), "perdida")
+    x = join_small(paths_, weights, "perdida")
     part = lambda c: F.sum(F.when(F.col("clase") == c, F.col("peso") * F.col("valor")).otherwise(0.0)).alias(c)
     g = x.groupBy(path).agg(part("semantica"), part("metrica"), part("riesgo"))
     total = F.col("semantica") + F.col("metrica") + F.col("riesgo")

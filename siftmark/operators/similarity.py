@@ -1,5 +1,7 @@
 """Joins by likeness and containment: token Jaccard, subsumption, mentions."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,15 @@ def equal_groups(sets: DataFrame, key: str, items: str) -> DataFrame:
     return sets.groupBy(F.array_sort(F.array_distinct(items)).alias("s")).agg(F.min(key).alias("id"), F.count("*").alias("n")).where(F.size("s") > 0).select("id", "n")
 
 
+def membership(sets: DataFrame, key: str, items: Sequence[str]) -> DataFrame:
+    """(key, id): each row's class, named by the smallest key of the rows whose sets in all of `items` are equal: what the pairs of
+    classes of jaccard_pairs() and subsumes() are to be read with. Rows of a class meet by a join, not in a group."""
+    named = {c: F.array_sort(F.array_distinct(c)) for c in items}
+    x = sets.select(key, F.xxhash64(*named.values()).alias("_h"), *[v.alias(c) for c, v in named.items()])
+    least = x.groupBy("_h", *items).agg(F.min(key).alias("id"))
+    return x.join(least, ["_h", *items]).select(key, "id")
+
+
 def subsumes(props: DataFrame, key: str, names: str, required: str) -> DataFrame:
     """(a, b): a's properties are a proper part of b's, and b requires nothing that a lacks. Rows with equal signatures are
     one class, named by the smallest key. Candidates share a's rarest property, so only b's that hold it are tried."""

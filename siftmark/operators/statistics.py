@@ -173,15 +173,19 @@ def processed_before(log: DataFrame, engine: str, order: Sequence[Column], size:
     return x.withColumn("resident", F.max(F.when(processed, F.col(size))).over(e)).drop("_epoch")
 
 
-def stratified(rows: DataFrame, stratum: str, identity: str, target: int, least: int, seed: str) -> DataFrame:
+def stratified(rows: DataFrame, stratum: str, identity: str, target: int, least: int, seed: str, parts: int = 64) -> DataFrame:
     """A sample: of each stratum max(least, its share of target), as far as it goes, by a keyed hash of the identity.
 
-    Its size is the feature: target rows, more where small strata are filled up."""
+    Its size is the feature: target rows, more where small strata are filled up. Each of `parts` parts of a stratum gives as many rows as
+    the whole may, and only those meet."""
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_all"))
+    total = sizes.agg(F.sum("_n").alias("_all"))  # one row
     quota = F.greatest(F.lit(least), F.round(F.lit(target) * F.col("_n") / F.col("_all")))
-    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed), F.col(identity).cast("string"))), identity)
-    return rows.join(F.broadcast(sizes.join(F.broadcast(total))), stratum).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota).drop("_n", "_all", "_r")
+    order = [F.md5(F.concat(F.lit(seed), F.col(identity).cast("string"))), F.col(identity)]
+    part = F.pmod(F.xxhash64(identity), F.lit(parts))
+    x = rows.join(sizes.join(F.broadcast(total)), stratum)
+    x = x.withColumn("_r", F.row_number().over(Window.partitionBy(stratum, part).orderBy(*order))).where(F.col("_r") <= quota)
+    return x.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("_r") <= quota).drop("_n", "_all", "_r")
 
 
 def _inversions(b: np.ndarray, w: np.ndarray) -> int:

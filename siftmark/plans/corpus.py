@@ -127,6 +127,14 @@ def j6_subsumption(spark: SparkSession, sf: str) -> DataFrame:
     return sm.subsumes(_props(spark, sf), "l_orderkey", "p", "q")
 
 
+def j6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return sm.membership(_props(spark, sf), "l_orderkey", ["p", "q"])
+
+
+def j8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return sm.membership(_brands(spark, sf), "p_partkey", ["w"])
+
+
 def j7_balance(spark: SparkSession, sf: str) -> DataFrame:
     """A variant's findings against a known list: caught, missed, undeclared."""
     found, known = table(spark, sf, "documents").where("n_chars < 900").select("doc_id"), table(spark, sf, "labels").where("quality = 0 OR toxic = 1").select("doc_id").distinct()
@@ -231,7 +239,7 @@ def f7_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return ar.orphans(v.join(F.broadcast(last)), "job", "ts", "estado", F.col("ahora"), 36 * 3600)
 
 
-QUERIES = {f.__name__: f for f in (a1_table_profile, a2_json_profile, a3_text_profile, a17_factor_effects, a22_run_score, a24_indistinct, a25_twin_share, a27_name_collisions, a29_confusion, j4_not_handled, j5_ratchet, j6_subsumption, j7_balance, j8_near_twins, j9_longest_label, j10_never_mentioned, j13_two_runs, k1_dead_references, k2_k3_marks, k4_secrets_by_line, k5_manifests, k6_large_binaries, k7_stale_headings, k8_phrases, k9_log_triage, f1_f2_stable, f3_served_once, f4_patience, f5_skip_existing, f6_evictions, f7_orphans)}
+QUERIES = {f.__name__: f for f in (a1_table_profile, a2_json_profile, a3_text_profile, a17_factor_effects, a22_run_score, a24_indistinct, a25_twin_share, a27_name_collisions, a29_confusion, j4_not_handled, j5_ratchet, j6_subsumption, j6_classes, j7_balance, j8_near_twins, j8_classes, j9_longest_label, j10_never_mentioned, j13_two_runs, k1_dead_references, k2_k3_marks, k4_secrets_by_line, k5_manifests, k6_large_binaries, k7_stale_headings, k8_phrases, k9_log_triage, f1_f2_stable, f3_served_once, f4_patience, f5_skip_existing, f6_evictions, f7_orphans)}
 
 _LINES = "d AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), lines AS (SELECT doc_id, unnest(t) AS linea, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS k FROM d)"
 _SETS = "w AS (SELECT p_partkey, list_sort(list_distinct(string_split(concat_ws(' ', p_type, p_brand, CAST(p_size % 5 AS VARCHAR)), ' '))) AS s FROM part), u AS (SELECT s, min(p_partkey) AS id, count(*) AS n FROM w GROUP BY s), j AS (SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM u a JOIN u b ON a.id < b.id), p AS (SELECT * FROM j WHERE jaccard >= 0.5)"
@@ -260,6 +268,8 @@ ORACLE = {
     "j4_not_handled": f"WITH v10 AS ({V10}) SELECT ruta, count(*) AS n FROM (SELECT DISTINCT ruta, tamano, mtime FROM v10) WHERE ruta % 3 <> 0 GROUP BY ruta",
     "j5_ratchet": "SELECT coalesce(k.doc_id, f.doc_id) AS doc_id, CASE WHEN k.doc_id IS NULL THEN 'NUEVO' WHEN f.doc_id IS NULL THEN 'ARREGLADO' ELSE 'heredado' END AS estado FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) k FULL JOIN (SELECT DISTINCT doc_id FROM documents WHERE n_chars < 600) f ON k.doc_id = f.doc_id",
     "j6_subsumption": f"WITH {_PROPS} SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON len(a.p) > 0 AND len(a.p) < len(b.p) AND len(list_intersect(a.p, b.p)) = len(a.p) AND len(list_intersect(b.q, a.p)) = len(b.q)",
+    "j6_classes": f"WITH {_PROPS} SELECT l_orderkey, min(l_orderkey) OVER (PARTITION BY p, q) AS id FROM g",
+    "j8_classes": f"WITH {_SETS} SELECT p_partkey, min(p_partkey) OVER (PARTITION BY s) AS id FROM w",
     "j7_balance": "WITH f AS (SELECT doc_id FROM documents WHERE n_chars < 900), k AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 OR toxic = 1) SELECT (SELECT count(*) FROM k JOIN f ON k.doc_id = f.doc_id) AS atrapados, (SELECT count(*) FROM k WHERE doc_id NOT IN (SELECT doc_id FROM f)) AS perdidos, (SELECT count(*) FROM f WHERE doc_id NOT IN (SELECT doc_id FROM k)) AS no_declarados",
     "j8_near_twins": f"WITH {_SETS} SELECT * FROM p",
     "j9_longest_label": "WITH n AS (SELECT palabra FROM (SELECT unnest(string_split(text, ' ')) AS palabra FROM documents) WHERE length(palabra) BETWEEN 5 AND 9 AND regexp_full_match(palabra, '[a-z]+') GROUP BY palabra HAVING count(*) >= 3), w AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS palabra FROM benchmark) SELECT item_id, arg_min(w.palabra, row(-length(w.palabra), w.palabra)) AS palabra FROM w JOIN n ON w.palabra = n.palabra GROUP BY item_id",

@@ -87,7 +87,7 @@ def _probe(spark, sf):
 
 def j1_probe_overlay(spark: SparkSession, sf: str) -> DataFrame:
     p = _probe(spark, sf).where("sondeo IN ('real', 'nominal')")
-    x = _e(spark, sf).join(F.broadcast(p), ["origen", "destino", "motor"], "left")
+    x = _e(spark, sf).join(p, ["origen", "destino", "motor"], "left")
     return x.select("origen", "destino", "motor", F.coalesce("sondeo", "estado").alias("estado"), F.round(F.when(F.col("sondeo") == "real", 1 + F.col("ms") / 100000).otherwise(F.col("coste")).cast("double"), 6).alias("coste"))
 
 
@@ -116,7 +116,7 @@ def _halves(spark, sf):
 
 def _half_edges(spark, sf):
     i, o = _halves(spark, sf)
-    x = _e(spark, sf).join(F.broadcast(i), "origen").join(F.broadcast(o), "destino")
+    x = _e(spark, sf).join(i, "origen").join(o, "destino")
     rank = F.when((F.col("entra") == "viva") & (F.col("sale") == "viva"), 3).when((F.col("entra") == "muerta") | (F.col("sale") == "muerta"), 1).otherwise(2)
     blame = F.when(F.col("entra") != "viva", F.when(F.col("sale") != "viva", "ambas").otherwise("entrada")).when(F.col("sale") != "viva", "salida").otherwise("ninguna")
     return x.select("origen", "destino", "motor", rank.alias("rango"), blame.alias("culpa"))
@@ -153,7 +153,7 @@ def a26_probe_tally(spark: SparkSession, sf: str) -> DataFrame:
 def u1_pair_buckets(spark: SparkSession, sf: str) -> DataFrame:
     e = _e(spark, sf).select("origen", "destino").distinct()
     f = _f(spark, sf).select("ext", "familia", (F.col("ext") % 4 < 2).alias("popular"))
-    x = e.join(F.broadcast(f.toDF("origen", "fo", "po")), "origen").join(F.broadcast(f.toDF("destino", "fd", "pd")), "destino")
+    x = e.join(f.toDF("origen", "fo", "po"), "origen").join(f.toDF("destino", "fd", "pd"), "destino")
     return x.select("origen", "destino", F.when(F.col("po") & F.col("pd"), "sustantiva").when(F.col("fo") != F.col("fd"), "cruzada").otherwise("ruido").alias("cubo"))
 
 

@@ -25,7 +25,7 @@ def a5_wilson(spark: SparkSession, sf: str) -> DataFrame:
 
 def a6_fisher(spark: SparkSession, sf: str) -> DataFrame:
     g = _v9(spark, sf).groupBy("user_id").agg(*[F.count_if((F.col("herramienta") == "error") == e).alias(n) for e, n in ((True, "x"), (False, "y"))])
-    t = g.select("user_id", (F.col("x") % 12).alias("a"), (F.col("y") % 10).alias("b"), (F.col("y") % 7).alias("c"), (F.col("x") % 9 + 1).alias("d"))
+    t = g.select("user_id", F.col("x").alias("a"), F.col("y").alias("b"), F.floor(F.col("y") / 2).alias("c"), (F.col("x") * 2 + 1).alias("d"))
     return t.select("user_id", "a", "b", "c", "d", F.round(stats.fisher(*[F.col(k) for k in "abcd"]), 6).alias("p"))
 
 
@@ -196,7 +196,7 @@ ORACLE = {
 SELECT catalogo, estrato, k, n, round(k / n, 6) AS rate, round(greatest(0, (k / n + 1.96::DOUBLE * 1.96 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96::DOUBLE * 1.96 / (4 * n * n))) / (1 + 1.96::DOUBLE * 1.96 / n)), 6) AS low,
  round(least(1, (k / n + 1.96::DOUBLE * 1.96 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96::DOUBLE * 1.96 / (4 * n * n))) / (1 + 1.96::DOUBLE * 1.96 / n)), 6) AS high FROM g"""),
     "a6_fisher": oracle("v9", """, g AS (SELECT user_id, count(*) FILTER (herramienta = 'error') AS x, count(*) FILTER (herramienta <> 'error') AS y FROM v9 GROUP BY user_id),
- t AS (SELECT user_id, x % 12 AS a, y % 10 AS b, y % 7 AS c, x % 9 + 1 AS d FROM g),
+ t AS (SELECT user_id, x AS a, y AS b, y // 2 AS c, x * 2 + 1 AS d FROM g),
  p AS (SELECT *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1))) AS ps FROM t)
 SELECT user_id, a, b, c, d, round(least(1, list_sum(list_filter(ps, lambda q: q <= ps[CAST(a - greatest(0, a - d) AS BIGINT) + 1] + 1e-12))), 6) AS p FROM p"""),
     "a7_weighted_rate": oracle("v9", """, g AS (SELECT estrato, count(*) FILTER (event_id % 6 > 0 AND herramienta <> 'error') AS k, count(*) FILTER (event_id % 6 = 0) AS u, count(*) AS n, count(DISTINCT user_id) * 10 AS size FROM v9 GROUP BY estrato)
