@@ -6,6 +6,7 @@ done leave the matrix, as do columns that no row needs. The vocabulary is a file
 """
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,19 +100,32 @@ class Vocabulary:
         return out
 
     def merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """The same for one long row, in place: only the two pairs beside a merge are looked up again."""
-        n, ranks = len(ids), self.pair_ranks(ids[:-1], ids[1:])
-        while n > 1:
-            at = int(ranks[: n - 1].argmin())
-            if (best := ranks[at]) == NONE:
-                break
-            ids[at] = best
-            ids[at + 1 : n - 1] = ids[at + 2 : n]
-            ranks[at : n - 2] = ranks[at + 1 : n - 1]
-            n -= 1
-            left, right = max(0, at - 1), min(n - 1, at + 1)
-            ranks[left:right] = self.pair_ranks(ids[left:right], ids[left + 1 : right + 1])
-        return ids[:n].copy()
+        """The same for one long row: a heap of pairs by rank and place, and links between what is left, so that each merge
+        costs the logarithm of the row's length."""
+        n = len(ids)
+        now = self.pair_ranks(ids[:-1], ids[1:]).tolist() + [int(NONE)]  # of the pair that begins at each place
+        ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, r in enumerate(now) if r != NONE]
+        heapq.heapify(heap)
+
+        def look_up(i: int) -> None:
+            j = after[i]
+            now[i] = r = self.ranks.get(self.bytes[ids[i]] + self.bytes[ids[j]], int(NONE)) if j < n else int(NONE)
+            if r != NONE:
+                heapq.heappush(heap, (r, i))
+
+        while heap:
+            r, i = heapq.heappop(heap)
+            if now[i] != r:  # merged since
+                continue
+            j = after[i]
+            ids[i], after[i], now[j], ids[j] = r, after[j], int(NONE), -1
+            if after[i] < n:
+                before[after[i]] = i
+            look_up(i)
+            if before[i] >= 0:
+                look_up(before[i])
+        return np.array([x for x in ids if x >= 0], np.int32)
 
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]

@@ -312,3 +312,21 @@ def test_small_sources_keep_their_quota(spark):
     sizes = spark.createDataFrame([("vbig", 10, 10**13), ("vsmall", 3, 120), ("vtiny", 1, 1)], "key string, n_docs long, n_tokens long")
     got = {r["key"]: (r["quota"], r["epochs"]) for r in mixing.weights(sizes, max_repeats=1.0).collect()}
     assert got["vsmall"] == (120, 1) and got["vtiny"] == (1, 1) and abs(got["vbig"][0] - 10**13) <= 1
+
+
+def test_long_pieces_merge_as_the_library_does():
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    from siftmark.llm import bpe
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    vocabulary, library = bpe.Vocabulary(ranks), tiktoken.Encoding("all", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(1)
+    for n in (2048, 5000, 40_000):
+        for letters in ("abcde theorting", "a", "é€x"):
+            x = "".join(r.choice(letters) for _ in range(n))
+            got = vocabulary.merge_long(vocabulary.of_byte[np.frombuffer(x.encode(), np.uint8)])
+            assert got.tolist() == library.encode_ordinary(x)
