@@ -27,7 +27,7 @@ LONGEST = 3  # words of a phrase
 COVERED = 50  # percent of a phrase's occurrences within a longer one, from which it goes
 BITS = 56  # of a fingerprint; with the second hash, 80 bits tell phrases apart
 WINDOW = 1 << 18  # bytes that are hashed at once, but for longer words
-HELD = 7_000_000  # unlike runs of words that a task holds before it sends them, about
+HELD = 5_000_000  # unlike runs of words that a task holds before it sends them, about
 CHUNK = 500_000  # runs of words that are added up at once
 PART = 1 << 20  # bytes of text that are split into words at once, but for longer texts
 SLICE_CHARS = 8_000_000  # characters of text for a slice of fingerprints that one task adds up
