@@ -41,8 +41,12 @@ def said(rules: Sequence[Rule]) -> Column:
 
 
 def findings(pairs: DataFrame, keys: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
-    """(keys, seq, point, rule, severity, expected, obtained, message): a row for each rule that has something to say."""
-    return pairs.select(*keys, F.explode(said(rules)).alias("f")).select(*keys, "f.*")
+    """(keys, seq, point, rule, severity, expected, obtained, message): a row for each rule that has something to say. Severities
+    are columns of their own first, so that none is worked out twice."""
+    parts = {"s": [r.severity for r in rules], "e": [r.expected.cast("string") for r in rules], "o": [r.obtained.cast("string") for r in rules]}
+    worked = pairs.select(*keys, *[x.alias(f"_{k}{i}") for k, columns in parts.items() for i, x in enumerate(columns)])
+    named = [Rule(r.name, r.point, F.col(f"_s{i}"), F.col(f"_e{i}"), F.col(f"_o{i}"), r.message) for i, r in enumerate(rules)]
+    return worked.select(*keys, F.explode(said(named)).alias("f")).select(*keys, "f.*")
 
 
 def differ(name: str, point: int, a: str, b: str, message: str, severity: str = FAIL) -> Rule:

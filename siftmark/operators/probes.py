@@ -4,7 +4,7 @@ A pair holds three structs: entrada and salida (PROBE) and pedido (ASKED). Every
 Rules look at tracks by kind, so one row holds a file whatever number of tracks it has.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media
@@ -26,11 +26,21 @@ def _pair() -> tuple[Column, Column, Column]:
     return F.col("entrada"), F.col("salida"), F.col("pedido")
 
 
-def tracks(file: Column, kind: str) -> Column:
-    return F.filter(F.coalesce(file["pistas"], F.array().cast(f"array<{TRACK}>")), lambda t: t["tipo"] == kind)
+def prepared(pairs: DataFrame) -> DataFrame:
+    """pairs with their tracks by kind, worked out once for all rules (_entrada_audio and so on)."""
+    empty = F.array().cast(f"array<{TRACK}>")
 
+    def of(file: str, kind: str) -> Column:
+        return F.filter(F.coalesce(F.col(file)["pistas"], empty), lambda t: t["tipo"] == kind)
 
-def first(file: Column, kind: str, field: str) -> Column:
+    return pairs.withColumns({f"_{file}_{kind}": of(file, kind) for file in ("entrada", "salida") for kind in KINDS})
+
+
+def tracks(file: str, kind: str) -> Column:
+    return F.col(f"_{file}_{kind}")
+
+
+def first(file: str, kind: str, field: str) -> Column:
     """A field of the first track of a kind that has it."""
     return F.get(F.filter(F.transform(tracks(file, kind), lambda t: t[field]), lambda x: x.isNotNull() & (x != 0)), 0)
 
@@ -44,9 +54,9 @@ def _both(kind: str) -> Column:
     return _is((s["categoria"] == kind) & (e["categoria"] == kind))
 
 
-def _size(file: Column) -> tuple[Column, Column]:
+def _size(name: str) -> tuple[Column, Column]:
     """Width and height of an image, else of the first video track that has them."""
-    video = F.get(F.filter(tracks(file, "video"), lambda t: F.coalesce(t["ancho"], F.lit(0)) > 0), 0)
+    file, video = F.col(name), F.get(F.filter(tracks(name, "video"), lambda t: F.coalesce(t["ancho"], F.lit(0)) > 0), 0)
     whole = F.coalesce(file["ancho"], F.lit(0)) > 0
     return F.when(whole, file["ancho"]).otherwise(video["ancho"]), F.when(whole, file["alto"]).otherwise(video["alto"])
 
@@ -65,10 +75,10 @@ def track_counts() -> list[Rule]:
     sound = {"video": 0, "audio": 1, "subtitulo": 0}
     out = [Rule("V3-sin", 2, F.when(av & said.isNull() & ~_is(known), INFO), F.lit(None), F.lit(None), "no input to compare tracks with")]
     for kind, name in KINDS.items():
-        like = F.size(tracks(e, kind))
+        like = F.size(tracks("entrada", kind))
         like = F.when(_is(p["solo_video"]), like if kind == "video" else F.lit(0)).when(_is(p["solo_audio"]), F.lit(sound[kind])).when(p["destino"] == "gif", F.lit(one[kind])).otherwise(like)
         expected = F.when(said.isNotNull(), F.coalesce(said[kind], F.lit(0))).when(_is(known), like)
-        got = F.size(tracks(s, kind))
+        got = F.size(tracks("salida", kind))
         out.append(Rule(name, 2, F.when(av & (got < expected), FAIL).when(av & (got > expected), WARN), expected, got, f"tracks: {kind}"))
     return out
 
@@ -79,7 +89,7 @@ def integrity() -> list[Rule]:
     cat = lambda k: _is(s["categoria"] == k)
     none = F.lit(None)
     w, h = F.coalesce(s["ancho"], F.lit(0)), F.coalesce(s["alto"], F.lit(0))
-    sound, video = tracks(s, "audio"), tracks(s, "video")
+    sound, video = tracks("salida", "audio"), tracks("salida", "video")
     return [
         Rule("G4-size", 3, F.when(cat("imagen"), F.when((w == 0) | (h == 0), FAIL).when((w < 2) | (h < 2), WARN)), F.lit(2), w, "dimensions"),
         Rule("G4-depth", 3, F.when(cat("imagen") & s["bits"].isNotNull() & ~s["bits"].isin(*DEPTHS), WARN), none, s["bits"], "odd depth"),
@@ -93,7 +103,7 @@ def integrity() -> list[Rule]:
     ]
 
 
-def _lossy_frames(file: Column) -> Column:
+def _lossy_frames(file: str) -> Column:
     return F.transform(tracks(file, "audio"), lambda t: F.struct(t["codec"].alias("codec"), F.when(t["sample_rate"] > 0, t["sample_rate"]).alias("sample_rate")))
 
 
@@ -101,9 +111,9 @@ def durations() -> Rule:
     """With sound alone asked for, the first audio tracks are compared, not the files. Cuts and other frame rates excuse."""
     e, s, p = _pair()
     alone = _is(p["solo_audio"])
-    side = lambda f: F.when(alone, F.coalesce(first(f, "audio", "dur"), f["dur"])).otherwise(f["dur"])
-    before, after = side(e), side(s)
-    tolerance = F.when(F.size(tracks(s, "video")) > 0, VIDEO_TOLERANCE).otherwise(media.duration_tolerance(F.concat(_lossy_frames(s), _lossy_frames(e)), F.lit(False)))
+    side = lambda f: F.when(alone, F.coalesce(first(f, "audio", "dur"), F.col(f)["dur"])).otherwise(F.col(f)["dur"])
+    before, after = side("entrada"), side("salida")
+    tolerance = F.when(F.size(tracks("salida", "video")) > 0, VIDEO_TOLERANCE).otherwise(media.duration_tolerance(F.concat(_lossy_frames("salida"), _lossy_frames("entrada")), F.lit(False)))
     sure = (before > 0) & (after > 0) & ~_is(p["recortar"]) & p["fps"].isNull()
     return Rule("A1/V1", 4, F.when(sure & (F.abs(after - before) > tolerance), FAIL), F.round(before, 4), F.round(after, 4), "duration drift")
 
@@ -111,15 +121,15 @@ def durations() -> Rule:
 def asked() -> list[Rule]:
     """Point 4: what was asked must be there, and what wasn't asked must not have changed."""
     e, s, p = _pair()
-    (w, h), (w0, h0) = _size(s), _size(e)
+    (w, h), (w0, h0) = _size("salida"), _size("entrada")
     resized = p["ancho"].isNotNull() | p["alto"].isNotNull() | p["dpi"].isNotNull()
     dpi, bits, bits0 = p["dpi"], _bits(s), _bits(e)
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in DEPTH_LIMIT.items() for x in kv]), p["destino"])
     sound = lambda f, field: first(f, "audio", field)
-    rate0, rate, lost = sound(e, "sample_rate"), sound(s, "sample_rate"), _is(e["alfa"]) & ~_is(s["alfa"])
-    codec = F.get(F.filter(tracks(s, "audio"), lambda t: t["sample_rate"] > 0), 0)["codec"]
+    rate0, rate, lost = sound("entrada", "sample_rate"), sound("salida", "sample_rate"), _is(e["alfa"]) & ~_is(s["alfa"])
+    codec = F.get(F.filter(tracks("salida", "audio"), lambda t: t["sample_rate"] > 0), 0)["codec"]
     drift = (s["bitrate_bps"] - p["bitrate_video_bps"]) / p["bitrate_video_bps"]
-    off = F.abs(sound(s, "bitrate_bps") - p["bitrate_bps"]) / p["bitrate_bps"]
+    off = F.abs(sound("salida", "bitrate_bps") - p["bitrate_bps"]) / p["bitrate_bps"]
     points = w0 * 72.0 / dpi
     return [
         Rule("I1/V7", 4, F.when(~resized & ~_is(e["categoria"] == "pdf") & ((w != w0) | (h != h0)), FAIL), w0, w, "resized without being asked"),
@@ -128,13 +138,13 @@ def asked() -> list[Rule]:
         Rule("P4-dpi", 4, F.when(_is(s["categoria"] == "imagen") & (s["ppp"] > 0) & (F.abs(s["ppp"] - dpi) > DPI_OFF), FAIL), dpi, s["ppp"], "density"),
         Rule("P4-px", 4, F.when(_is((e["categoria"] == "pdf") & (s["categoria"] == "imagen")) & (F.abs(w - F.round(e["ancho_pt"] * dpi / 72.0)) > PIXELS_OFF), FAIL), F.round(e["ancho_pt"] * dpi / 72.0), w, "pixels for points"),
         Rule("I5", 4, F.when(_both("imagen") & (bits < bits0) & ~_is(p["bits"] == bits), F.when(bits <= limit, INFO).otherwise(FAIL)), bits0, bits, "depth fell"),
-        Rule("A6", 4, F.when(_is(s["categoria"] == "av") & (bits > bits0) & F.exists(tracks(s, "audio"), lambda t: media.codec(t["codec"]).isin(*LOSSLESS)), WARN), bits0, bits, "depth rose without new information"),
+        Rule("A6", 4, F.when(_is(s["categoria"] == "av") & (bits > bits0) & F.exists(tracks("salida", "audio"), lambda t: media.codec(t["codec"]).isin(*LOSSLESS)), WARN), bits0, bits, "depth rose without new information"),
         Rule("I2", 4, F.when(_both("imagen") & lost, F.when(e["alfa_min"].isNull(), INFO).when(e["alfa_min"] < 255, F.when(p["destino"].isin(*NO_ALPHA), INFO).otherwise(FAIL))), e["alfa_min"], s["alfa"], "alpha lost"),
         durations(),
         Rule("A3", 4, F.when(p["sample_rate"].isNull() & (rate != rate0), F.when(_is(F.lower(codec).contains("opus")) & (rate == 48000), INFO).otherwise(FAIL)), rate0, rate, "sample rate changed"),
-        Rule("A2", 4, F.when(p["canales"].isNull() & (sound(s, "canales") != sound(e, "canales")), FAIL), sound(e, "canales"), sound(s, "canales"), "channels changed"),
-        Rule("V10", 4, F.when(F.size(tracks(s, "video")) > 0, F.when(drift < -VIDEO_RATE_DRIFT, FAIL).when(drift > VIDEO_RATE_DRIFT, F.when(F.size(tracks(s, "audio")) == 0, FAIL).otherwise(INFO))), p["bitrate_video_bps"], s["bitrate_bps"], "video bit rate"),
-        Rule("A-rate", 4, F.when(off > AUDIO_RATE_FAIL, FAIL).when(off > AUDIO_RATE_WARN, WARN), p["bitrate_bps"], sound(s, "bitrate_bps"), "audio bit rate"),
+        Rule("A2", 4, F.when(p["canales"].isNull() & (sound("salida", "canales") != sound("entrada", "canales")), FAIL), sound("entrada", "canales"), sound("salida", "canales"), "channels changed"),
+        Rule("V10", 4, F.when(F.size(tracks("salida", "video")) > 0, F.when(drift < -VIDEO_RATE_DRIFT, FAIL).when(drift > VIDEO_RATE_DRIFT, F.when(F.size(tracks("salida", "audio")) == 0, FAIL).otherwise(INFO))), p["bitrate_video_bps"], s["bitrate_bps"], "video bit rate"),
+        Rule("A-rate", 4, F.when(off > AUDIO_RATE_FAIL, FAIL).when(off > AUDIO_RATE_WARN, WARN), p["bitrate_bps"], sound("salida", "bitrate_bps"), "audio bit rate"),
         Rule("P7-box", 4, F.when(_is((s["categoria"] == "pdf") & (e["categoria"] == "imagen")) & dpi.isNotNull() & (F.abs(s["ancho_pt"] - points) > POINTS_OFF), FAIL), F.round(points, 1), s["ancho_pt"], "page box against density"),
         Rule("P7", 4, F.when(_is((s["categoria"] == "pdf") & (e["categoria"] == "imagen")) & dpi.isNull() & (F.abs(s["ancho_pt"] - w0) < 1.0) & (w0 > ABSURD_PX), WARN), F.lit(None), s["ancho_pt"], "one pixel a point"),
         Rule("P1", 4, F.when(_both("pdf") & (e["paginas"] > 0) & (s["paginas"] > 0) & (e["paginas"] != s["paginas"]), FAIL), e["paginas"], s["paginas"], "page count changed"),
@@ -142,5 +152,5 @@ def asked() -> list[Rule]:
 
 
 def media_rules() -> list[Rule]:
-    """Points 2 to 4 of the contract, in order."""
+    """Points 2 to 4 of the contract, in order, for prepared() pairs."""
     return track_counts() + integrity() + asked()

@@ -23,13 +23,13 @@ def probe_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c4_c14_probes(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.findings(probe_pairs(spark, sf), ["job"], pr.media_rules()).select("job", "point", "rule", "severity")
+    return ct.findings(pr.prepared(probe_pairs(spark, sf)), ["job"], pr.media_rules()).select("job", "point", "rule", "severity")
 
 
 def c23_probe_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """The verdict of each whole probe; covered if there was an input of the same kind to compare with."""
     same = F.coalesce(F.col("entrada.categoria") == F.col("salida.categoria"), F.lit(False))
-    return ct.verdicts(probe_pairs(spark, sf), pr.media_rules(), ["job"], same)
+    return ct.verdicts(pr.prepared(probe_pairs(spark, sf)), pr.media_rules(), ["job"], same)
 
 
 QUERIES = {f.__name__: f for f in (c4_c14_probes, c23_probe_verdict)}

@@ -73,6 +73,7 @@ def test_every_rule_of_probes_is_met_and_not_met(spark):
     rows = [(name, *[json.dumps(x) if x is not None else None for x in (e, s, p)]) for name, s, e, p, _ in CASES]
     df = spark.createDataFrame(rows, "name string, e string, s string, p string")
     parsed = df.select("name", F.from_json("e", pr.PROBE).alias("entrada"), F.from_json("s", pr.PROBE).alias("salida"), F.from_json("p", pr.ASKED).alias("pedido"))
+    parsed = pr.prepared(parsed)
     got = {name: set() for name, *_ in CASES}
     for r in ct.findings(parsed, ["name"], pr.media_rules()).collect():
         got[r["name"]].add((r["rule"], r["severity"]))
