@@ -23,23 +23,26 @@ def count_of(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("int")
 
 
-def tokens(text: Column) -> Column:
-    """The words between blanks; none of an empty text."""
-    return F.filter(F.split(F.regexp_replace(text, "[ \\t\\r\\n]+", " "), " "), lambda w: w != "")
-
-
-def mean_length(words: Column) -> Column:
-    return F.when(F.size(words) > 0, F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) / F.size(words)).otherwise(0.0)
-
-
-def share(words: Column, test) -> Column:
-    """Percentage of the words for which the test holds; 0 of none."""
-    return F.when(F.size(words) > 0, 100.0 * F.size(F.filter(words, test)) / F.size(words)).otherwise(0.0)
-
-
-def looks_made_up(words: Column) -> Column:
-    """Short words throughout: a warning, not a verdict. Fewer than eight words aren't judged."""
-    return (F.size(words) >= 8) & ((mean_length(words) < 3.0) | (share(words, lambda w: F.length(w) == 1) >= 50.0))
+BLANK = " \\t\\r\\n"
+
+
+def _words_of(text: Column, letters: str) -> Column:
+    """How many words between blanks consist of the given class of characters alone."""
+    return F.regexp_count(text, F.lit(f"(?<![^{BLANK}]){letters}(?![^{BLANK}])"))
+
+
+def token_signals(text: Column) -> dict[str, Column]:
+    """tokens between blanks, their mean length, and the percentages that are a single character, have no letter, or no vowel;
+    0 of none. Counted on the whole text: no array of words is made. sospecha: short words throughout, a warning and not a
+    verdict; fewer than eight words aren't judged."""
+    n = F.regexp_count(text, F.lit(f"[^{BLANK}]+"))
+    share = lambda k: F.when(n > 0, 100.0 * k / n).otherwise(0.0)
+    mean = F.when(n > 0, F.length(F.regexp_replace(text, f"[{BLANK}]+", "")) / n).otherwise(0.0)
+    one = share(_words_of(text, f"[^{BLANK}]"))
+    return {
+        "tokens": n, "media": mean, "una": one, "no_alfa": share(_words_of(text, f"[^{BLANK}a-zA-Z]+")), "sin_vocal": share(_words_of(F.lower(text), f"[^{BLANK}aeiou]+")),
+        "sospecha": (n >= 8) & ((mean < 3.0) | (one >= 50.0)),
+    }
 
 
 def error_rate(ref: Column, out: Column) -> Column:

@@ -103,9 +103,9 @@ def p15_character_census(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p16_token_signals(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
-    w = F.col("w")
-    return d.select("doc_id", F.size(w).alias("tokens"), F.round(text.mean_length(w), 6).alias("media"), F.round(text.share(w, lambda x: F.length(x) == 1), 6).alias("una"), F.round(text.share(w, lambda x: ~x.rlike("[a-zA-Z]")), 6).alias("no_alfa"), F.round(text.share(w, lambda x: ~F.lower(x).rlike("[aeiou]")), 6).alias("sin_vocal"), text.looks_made_up(w).alias("sospecha"))
+    said = text.token_signals(F.col("text"))
+    exact = ("tokens", "sospecha")
+    return table(spark, sf, "documents").select("doc_id", *[(c if k in exact else F.round(c, 6)).alias(k) for k, c in said.items()])
 
 
 def p17_collapse(spark: SparkSession, sf: str) -> DataFrame:
