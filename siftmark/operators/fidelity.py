@@ -160,3 +160,29 @@ def five_classes(losses: DataFrame, job: str) -> DataFrame:
     rank = F.when(F.col("severity") == "rota", 4).when(F.col("severity") == "ninguna", 0).when(~F.col("possible"), 1).when(F.col("severity") == "leve", 2).otherwise(3)
     names = F.array(*[F.lit(x) for x in ("ÍNTEGRO", "PÉRDIDA INEVITABLE", "DEGRADADO", "DESTRUIDO", "FALLO")])
     return losses.groupBy(job).agg(F.element_at(names, F.max(rank) + 1).alias("class"))
+
+
+TAGS = ("language", "title")
+UNKNOWN = "und"  # a language that says nothing
+LOSSLESS_OPTION = ("webp", "avif")  # targets that can keep drawings as they are
+
+
+def tags_kept(before: DataFrame, after: DataFrame, key: str, track: str) -> DataFrame:
+    """(key, severity, lost): whether the tags of tracks (key, track, language, title) are kept. A warning with the tags that were lost or
+    changed, in order; informative if all are kept, or if no track of the input has any, when the rule tells nothing. A tag of an
+    unknown language may go."""
+    x = before.select(key, track, *TAGS).join(after.select(key, track, *[F.col(t).alias(f"_{t}") for t in TAGS]), [key, track], "left")
+    some = lambda t: F.coalesce(F.col(t), F.lit("")) != ""
+    gone = lambda t: F.when(some(t) & (F.col(t) != UNKNOWN) & ~F.col(t).eqNullSafe(F.col(f"_{t}")), F.concat_ws(" ", F.col(track).cast("string"), F.lit(t)))
+    g = x.groupBy(key).agg(F.bool_or(some(TAGS[0]) | some(TAGS[1])).alias("_any"), F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(*map(gone, TAGS)))))).alias("_lost"))
+    lost = F.size("_lost") > 0
+    return g.select(key, F.when(lost, "aviso").otherwise("informativo").alias("severity"), F.when(lost, F.array_join("_lost", "; ")).when(~F.col("_any"), "sin etiquetas").alias("lost"))
+
+
+def palette_rules(drawing: Column, target: Column, lossy: Column, grid: Column) -> list[tuple[str, Column]]:
+    """I8: a drawing written with loss to a target that can keep it; V9: a film's palette that is a regular grid, not made from the
+    film. Each a rule's name and its severity; an unknown loss counts as one, an unknown palette says nothing."""
+    return [
+        ("I8", F.when(drawing & target.isin(*LOSSLESS_OPTION) & F.coalesce(lossy, F.lit(True)), "aviso")),
+        ("V9", F.when((target == "gif") & grid, "aviso").when((target == "gif") & ~grid, "informativo")),
+    ]

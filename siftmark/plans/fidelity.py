@@ -118,7 +118,25 @@ def y16_best_lag(spark: SparkSession, sf: str) -> DataFrame:
     return fd.best_lag(s.select("pair", "pos", F.col("a").alias("v")), b, "pair", 5).select("pair", "lag", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (y1_error_rate, y2_phrase_recall, y3_containment, y4_agreement, y5_text_kept, y6_y7_errors, y8_silent_channel, y9_stream_identity, y10_frames, y11_tags, y12_p22_palette, y13_fidelity_verdict, y14_five_classes, y15_correlation, y16_best_lag)}
+_TRACK = "concat_ws('-', l_linenumber, l_partkey, l_suppkey)"
+
+
+def y11_track_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of an order are tracks; some languages and titles go, some tracks with them."""
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", F.expr(_TRACK).alias("pista"), F.expr("CASE l_returnflag WHEN 'A' THEN 'spa' WHEN 'N' THEN 'und' END").alias("language"), F.expr("CASE WHEN l_linestatus = 'F' AND l_partkey % 3 = 0 THEN l_returnflag ELSE '' END").alias("title"))
+    after = t.where("l_suppkey % 23 > 0").withColumn("language", F.when(F.col("l_suppkey") % 10 > 0, F.col("language"))).withColumn("title", F.when(F.col("l_suppkey") % 19 == 0, "otro").otherwise(F.col("title")))
+    return fd.tags_kept(t, after, "l_orderkey", "pista")
+
+
+def y12_palette_rules(spark: SparkSession, sf: str) -> DataFrame:
+    p, k = y12_p22_palette(spark, sf), F.col("pair")
+    target = F.element_at(F.array(*map(F.lit, ("gif", "webp", "avif", "png"))), (k % 4 + 1).cast("int"))
+    rules = fd.palette_rules(k % 3 == 0, target, F.when(k % 5 > 0, k % 2 == 0), F.when(k % 7 > 0, F.col("rejilla") | (k % 8 == 0)))
+    x = p.select("pair", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), s.alias("severity")) for n, s in rules])).alias("r"))
+    return x.where("r.severity is not null").select("pair", "r.rule", "r.severity")
+
+
+QUERIES = {f.__name__: f for f in (y1_error_rate, y2_phrase_recall, y3_containment, y4_agreement, y5_text_kept, y6_y7_errors, y8_silent_channel, y9_stream_identity, y10_frames, y11_tags, y12_p22_palette, y11_track_tags, y12_palette_rules, y13_fidelity_verdict, y14_five_classes, y15_correlation, y16_best_lag)}
 
 _READ = ("lectura_a", "lectura_b", "ajeno")
 _T = "t AS (SELECT doc_id, " + ", ".join(_N10.replace("{x}", c) + f" AS {c}" for c in ("ref", "lectura_a", "lectura_b")) + " FROM v5)"
@@ -153,6 +171,10 @@ SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND y = '' THEN 'P5' WHEN length(y) < 10
     "y10_frames": f"WITH {_S}, f AS (SELECT pair, pos // 8 AS frame, md5(array_to_string(list(CAST(floor(a * 1000000) AS BIGINT) ORDER BY pos), ',')) AS ha, md5(array_to_string(list(CAST(floor(b * 1000000) AS BIGINT) ORDER BY pos), ',')) AS hb FROM s GROUP BY 1, 2) SELECT pair, count(*) AS frames, count(*) FILTER (ha <> hb) AS distintos, CASE WHEN count(*) FILTER (ha <> hb) > 0 AND pair % 2 = 0 THEN 'fallo' END AS severity FROM f GROUP BY pair",
     "y11_tags": oracle("v11", ", g AS (SELECT coalesce(a.job, b.job) AS job, a.tam AS a, b.tam AS b FROM (SELECT * FROM v11 WHERE fase = 'antes') a FULL JOIN (SELECT * FROM v11 WHERE fase = 'despues') b ON a.job = b.job AND a.nombre = b.nombre), h AS (SELECT job, count(a) AS de_entrada, count(*) FILTER (a IS NOT NULL AND (b IS NULL OR a <> b)) AS perdidas FROM g GROUP BY job) SELECT *, CASE WHEN de_entrada = 0 THEN 'informativo' WHEN perdidas > 0 THEN 'fallo' END AS severity FROM h"),
     "y12_p22_palette": f"WITH {_S}, q AS (SELECT pair, pos // 3 AS px, max(CAST(floor(a * 4) AS INT)) FILTER (pos % 3 = 0) AS r, max(CAST(floor(a * 4) AS INT)) FILTER (pos % 3 = 1) AS g, max(CAST(floor(a * 4) AS INT)) FILTER (pos % 3 = 2) AS b FROM s GROUP BY 1, 2), z AS (SELECT pair, coalesce(r, -99) AS r, coalesce(g, -99) AS g, coalesce(b, -99) AS b FROM q) SELECT pair, count(DISTINCT row(r, g, b)) AS colores, count(DISTINCT r) * count(DISTINCT g) * count(DISTINCT b) = count(DISTINCT row(r, g, b)) AS rejilla FROM z GROUP BY pair",
+    "y11_track_tags": f"""WITH t AS (SELECT l_orderkey, l_suppkey, {_TRACK} AS pista, CASE l_returnflag WHEN 'A' THEN 'spa' WHEN 'N' THEN 'und' END AS language, CASE WHEN l_linestatus = 'F' AND l_partkey % 3 = 0 THEN l_returnflag ELSE '' END AS title FROM lineitem),
+ x AS (SELECT l_orderkey, unnest([CASE WHEN language = 'spa' AND (l_suppkey % 23 = 0 OR l_suppkey % 10 = 0) THEN pista || ' language' END, CASE WHEN title <> '' AND (l_suppkey % 23 = 0 OR l_suppkey % 19 = 0) THEN pista || ' title' END]) AS l, coalesce(language, '') <> '' OR title <> '' AS alguna FROM t),
+ g AS (SELECT l_orderkey, string_agg(l, '; ' ORDER BY l) AS l, bool_or(alguna) AS alguna FROM x GROUP BY 1) SELECT l_orderkey, CASE WHEN l IS NOT NULL THEN 'aviso' ELSE 'informativo' END AS severity, CASE WHEN l IS NOT NULL THEN l WHEN NOT alguna THEN 'sin etiquetas' END AS lost FROM g""",
+    "y12_palette_rules": f"WITH p AS (WITH {_S}, q AS (SELECT pair, pos // 3 AS px, max(CAST(floor(a * 4) AS INT)) FILTER (pos % 3 = 0) AS r, max(CAST(floor(a * 4) AS INT)) FILTER (pos % 3 = 1) AS g, max(CAST(floor(a * 4) AS INT)) FILTER (pos % 3 = 2) AS b FROM s GROUP BY 1, 2), z AS (SELECT pair, coalesce(r, -99) AS r, coalesce(g, -99) AS g, coalesce(b, -99) AS b FROM q) SELECT pair, count(DISTINCT row(r, g, b)) AS colores, count(DISTINCT r) * count(DISTINCT g) * count(DISTINCT b) = count(DISTINCT row(r, g, b)) AS rejilla FROM z GROUP BY pair), r AS (SELECT pair, 'I8' AS rule, CASE WHEN pair % 3 = 0 AND pair % 4 IN (1, 2) AND (pair % 5 = 0 OR pair % 2 = 0) THEN 'aviso' END AS severity FROM p UNION ALL SELECT pair, 'V9', CASE WHEN pair % 4 = 0 AND pair % 7 > 0 THEN CASE WHEN rejilla OR pair % 8 = 0 THEN 'aviso' ELSE 'informativo' END END FROM p) SELECT * FROM r WHERE severity IS NOT NULL",
     "y13_fidelity_verdict": f"WITH {_S}, {_E}, {_M}, k AS (SELECT pair, bool_or(in_db > -60 AND mudo) AS mudo FROM m GROUP BY pair) SELECT e2.pair, CASE WHEN coalesce(severity = 'fallo', false) OR k.mudo THEN 'fallo' WHEN severity = 'aviso' THEN 'aviso' WHEN e2.pair % 4 > 0 THEN 'ok' ELSE 'ok_parcial' END AS verdict FROM e2 JOIN k ON e2.pair = k.pair",
     "y14_five_classes": oracle("v3", ", r AS (SELECT l_orderkey, CASE WHEN sr_sal <> sr_ent THEN CASE WHEN destino = 'jpg' THEN 1 ELSE 3 END WHEN prof_sal < prof_ent THEN CASE WHEN destino = 'jpg' THEN 1 ELSE 2 END WHEN l_partkey % 50 = 0 THEN 4 ELSE 0 END AS k FROM v3) SELECT l_orderkey, ['ÍNTEGRO', 'PÉRDIDA INEVITABLE', 'DEGRADADO', 'DESTRUIDO', 'FALLO'][max(k) + 1] AS class FROM r GROUP BY l_orderkey"),
     "y15_correlation": f"WITH {_S} SELECT pair, channel, round(CASE WHEN min(a) = max(a) OR min(b) = max(b) THEN 0 ELSE corr(a, b) END, 6) AS r FROM s GROUP BY pair, channel",
