@@ -60,14 +60,18 @@ def _shared(a: Sequence[str | None], b: Sequence[str | None], k: int) -> tuple[n
     """For each pair of texts: (runs of k characters that both have, as often as both have them, runs of a, runs of b)."""
     n = len(a)
     gram, of = _grams([*a, *b], k)
-    order = np.lexsort((gram, of % n)) if n else np.zeros(0, int)
-    gram, row, second = gram[order], of[order] % max(n, 1), of[order] >= n
-    starts = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))) if len(gram) else np.zeros(0, int)
     if not len(gram):
         return (np.zeros(n, np.int64),) * 3
-    in_b = np.add.reduceat(second.astype(np.int64), starts)
-    in_a = np.diff(np.append(starts, len(gram))) - in_b
-    added = lambda x: np.bincount(row[starts], x, n).astype(np.int64)
+    top = int(gram.max()) + 1
+    if 2 * n * top >= 1 << 63:
+        gram = np.unique(gram, return_inverse=True)[1]
+        top = int(gram.max()) + 1
+    key = np.sort(((of % n) * top + gram) * 2 + (of >= n))  # by pair of texts and run, those of b behind those of a
+    run = key >> 1
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    in_b = np.add.reduceat(key & 1, starts)
+    in_a, row = np.diff(np.append(starts, len(key))) - in_b, run[starts] // top
+    added = lambda x: np.bincount(row, x, n).astype(np.int64)
     return added(np.minimum(in_a, in_b)), added(in_a), added(in_b)
 
 
