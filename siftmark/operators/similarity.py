@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 
 def jaccard_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
     """(a, b, jaccard) of pairs of sets (key, array) with at least the given Jaccard likeness.
@@ -41,15 +43,38 @@ def membership(sets: DataFrame, key: str, items: Sequence[str]) -> DataFrame:
     return x.join(least, ["_h", *items]).select(key, "id")
 
 
-def subsumes(props: DataFrame, key: str, names: str, required: str) -> DataFrame:
+FREE = 10  # properties that a set doesn't require, up to which all its parts are written out
+
+
+def subsumes(props: DataFrame, key: str, names: str, required: str, free: int = FREE) -> DataFrame:
     """(a, b): a's properties are a proper part of b's, and b requires nothing that a lacks. Rows with equal signatures are
-    one class, named by the smallest key. Candidates share a's rarest property, so only b's that hold it are tried."""
+    one class, named by the smallest key.
+
+    A part of b that holds what b requires is named by which of b's other properties it has: up to `free` of those all such parts
+    are written out and meet the classes that are equal to them, so work follows the parts and not the pairs. Larger b's are
+    tried with the classes whose rarest property they hold; a bit for each property's hash passes over most of them.
+    """
     one = props.select(key, F.array_sort(F.array_distinct(names)).alias("p"), F.array_sort(F.array_distinct(required)).alias("q")).where(F.size("p") > 0).groupBy("p", "q").agg(F.min(key).alias("id"))
+    one = cut(one.select("id", "p", "q", F.array_except("p", "q").alias("rest"), (F.size(F.array_except("q", "p")) == 0).alias("holds")))
+    sized = one.where("holds").select(F.col("id").alias("b"), F.col("p").alias("pb"), F.col("q").alias("qb"), "rest")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    bits = lambda of: F.transform(of, lambda t: bit(F.pmod(F.xxhash64(t), F.lit(64))))
+    mark = lambda of: F.aggregate(bits(of), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+
+    m = F.explode(F.sequence(F.lit(0).cast("long"), bit(F.size("rest")) - 2))
+    parts = sized.where((F.size("rest") <= free) & (F.size("rest") > 0)).select("b", "qb", "rest", m.alias("m"))
+    some = F.filter("rest", lambda _, i: F.col("m").bitwiseAND(bit(i)) != 0)
+    parts = parts.select("b", F.array_sort(F.concat("qb", some)).alias("p"))
+    few = one.select(F.col("id").alias("a"), "p").join(parts, "p").select("a", "b")
+
+    large = sized.where(F.size("rest") > free)
     tok = one.select("id", F.explode("p").alias("t"))
     rare = tok.join(tok.groupBy("t").agg(F.count("*").alias("f")), "t").groupBy("id").agg(F.min_by("t", F.struct("f", "t")).alias("t"))
-    a = one.join(rare, "id").select(F.col("id").alias("a"), F.col("p").alias("pa"), "t")
-    b = tok.join(one, "id").select(F.col("id").alias("b"), F.col("p").alias("pb"), F.col("q").alias("qb"), "t")
-    return a.join(b, "t").where((F.size("pa") < F.size("pb")) & (F.size(F.array_except("pa", "pb")) == 0) & (F.size(F.array_except("qb", "pa")) == 0)).select("a", "b")
+    a = one.join(rare, "id").select(F.col("id").alias("a"), F.col("p").alias("pa"), mark(F.col("p")).alias("ma"), "t")
+    b = large.select("b", "pb", "qb", mark(F.col("pb")).alias("mb"), mark(F.col("qb")).alias("mq"), F.explode("pb").alias("t"))
+    near = a.join(b, "t").where((F.col("ma").bitwiseAND(F.bitwise_not("mb")) == 0) & (F.col("mq").bitwiseAND(F.bitwise_not("ma")) == 0))
+    many = near.where((F.size("pa") < F.size("pb")) & (F.size(F.array_except("pa", "pb")) == 0) & (F.size(F.array_except("qb", "pa")) == 0)).select("a", "b")
+    return few.unionByName(many)
 
 
 def longest_mention(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
