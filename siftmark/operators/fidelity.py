@@ -15,16 +15,61 @@ from ..functions import edits, media, text
 SILENT_IN, SILENT_OUT = -60.0, -80.0
 
 
-def phrase_recall(pairs: DataFrame, doc: str, phrase: str, output: str) -> DataFrame:
-    """(doc, phrase, distance, similarity): 0 where the output holds the phrase, else the least edit distance over all its
-    windows of the phrase's length. Exact rows leave first, so only the others explode."""
-    there = F.contains(F.col(output), F.col(phrase))
-    exact = pairs.where(there).select(doc, phrase, F.lit(0).alias("distance"))
-    n = F.length(phrase)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(output) - n + 1))
-    rest = pairs.where(~there).withColumn("at", F.explode(starts))
-    near = rest.groupBy(doc, phrase).agg(F.min(F.levenshtein(F.col(phrase), F.substring(F.col(output), F.col("at"), n))).alias("distance"))
-    return exact.unionByName(near).withColumn("similarity", F.when(n > 0, F.round(100.0 * F.greatest(F.lit(0), n - F.col("distance")) / n, 6)).otherwise(100.0))
+def _least_window(phrase: str, output: str) -> int:
+    """The least edit distance of the phrase to a window of its length in output (to all of it, if that is shorter). A window lacks at
+    least the characters that the phrase has more often: only windows where that bound is under the best found are compared, bit-parallel
+    and all at once."""
+    if phrase in output:
+        return 0
+    n = len(phrase)
+    if len(output) <= n or n > 64:
+        return min((edits.edit_distance(phrase, output[i : i + n]) for i in range(max(1, len(output) - n + 1))), default=n)
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (phrase, output))
+    letters, often = np.unique(x, return_counts=True)
+    lack = np.full(len(y) - n + 1, n, np.int16)
+    masks = np.zeros(len(y), np.uint64)
+    for c, k in zip(letters, often.tolist()):
+        here = y == c
+        upto = np.append(0, np.cumsum(here, dtype=np.int32))
+        lack -= np.minimum(upto[n:] - upto[:-n], k).astype(np.int16)
+        masks[here] = np.uint64(sum(1 << int(i) for i in np.flatnonzero(x == c)))
+    best, full, last, one = n, np.uint64((1 << n) - 1), np.uint64(n - 1), np.uint64(1)
+    for low in range(int(lack.min()), n):
+        at = np.flatnonzero(lack == low)
+        if low >= best or not len(at):
+            if low >= best:
+                break
+            continue
+        for i in range(0, len(at), 4096):
+            some = at[i : i + 4096]
+            up, down = np.full(len(some), full), np.zeros(len(some), np.uint64)
+            score = np.full(len(some), n, np.int64)
+            for j in range(n):
+                same = masks[some + j]
+                still = (((same & up) + up) ^ up) | same | down
+                rises, falls = down | ~(still | up), still & up
+                score += (rises >> last & one).astype(np.int64) - (falls >> last & one).astype(np.int64)
+                rises, falls = rises << one | one, falls << one
+                up, down = falls | ~(still | rises), rises & still
+            best = min(best, int(score.min()))
+            if low >= best:
+                break
+    return best
+
+
+def phrase_recall(pairs: DataFrame, doc: str, phrases: str, output: str) -> DataFrame:
+    """(doc, phrase, distance, similarity) of each of a row's distinct phrases (an array, each row's own): 0 where the output holds the phrase,
+    else the least edit distance over all its windows of the phrase's length. Both stand in one row, so no window becomes a row; equal rows
+    count once. Null phrases and outputs have no distance."""
+
+    @F.pandas_udf("array<int>")
+    def least(phrases: pd.Series, output: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else [None if x is None or y is None else _least_window(x, y) for x in p] for p, y in zip(phrases, output)])
+
+    x = pairs.select(doc, F.array_distinct(phrases).alias("_p"), F.col(output).alias("_o"))
+    x = x.select(doc, F.explode(F.arrays_zip(F.col("_p").alias("phrase"), least("_p", "_o").alias("distance"))).alias("_x"), F.sha2("_o", 256).alias("_of")).distinct()
+    x, n = x.select(doc, "_x.phrase", "_x.distance"), F.length("phrase")
+    return x.withColumn("similarity", F.when(n > 0, F.round(100.0 * F.greatest(F.lit(0), n - F.col("distance")) / n, 6)).otherwise(100.0))
 
 
 def error_rates(texts: DataFrame, key: str, ref: str, outputs: Sequence[str]) -> DataFrame:
