@@ -141,10 +141,10 @@ def paths_between(requests: DataFrame, edges: DataFrame, formats: DataFrame, k:
     return out.select("origen", "final", F.array_join(F.transform("n", lambda x: x.cast("string")), ">").alias("nodos"), F.array_join("m", ",").alias("motores"), F.size("m").alias("saltos"), "coste", (F.col("r") > 0).alias("rasteriza"), pena(F.col("p")).alias("pena"), "texto")
 
 
-def choose(all_paths: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def choose(all_paths: DataFrame, k: int = CANDIDATES, ranked: bool = False) -> DataFrame:
     """The k cheapest paths of each pair, and the cheapest rasterising one if it isn't among them; rank 1 is the choice,
-    the others carry the reason why they were rejected; the added one has rank k + 1. Ties by hops, then by the path's
-    text, then its engines."""
+    the others carry the reason why they were rejected; the added one has rank k + 1, or if ranked its own among all_paths, which
+    must be all there are. Ties by hops, then by the path's text, then its engines."""
     order = ["coste", "saltos", "nodos", "motores"]
     w = Window.partitionBy("origen", "final").orderBy(*order)
     x = all_paths.withColumn("rango", F.row_number().over(w)).withColumn("_r", F.row_number().over(Window.partitionBy("origen", "final", "rasteriza").orderBy(*order)))
@@ -153,7 +153,7 @@ def choose(all_paths: DataFrame, k: int = CANDIDATES) -> DataFrame:
     x = x.join(first, ["origen", "final"])
     reason = F.when(F.col("rango") == 1, F.when(F.col("rasteriza") & F.col("texto"), "unico: rasteriza").otherwise("elegido"))
     reason = reason.when(F.col("rasteriza") & ~F.col("r1") & F.col("texto"), "rasteriza").when(F.col("saltos") < F.col("s1"), F.when(F.col("pena") > F.col("p1"), "mas corto, mas perdidas").otherwise("mas corto, mas caro")).otherwise("mas caro")
-    return x.select("origen", "final", F.least("rango", F.lit(k + 1)).alias("rango"), "nodos", "motores", "saltos", "coste", "rasteriza", reason.alias("motivo"))
+    return x.select("origen", "final", (F.col("rango") if ranked else F.least("rango", F.lit(k + 1))).alias("rango"), "nodos", "motores", "saltos", "coste", "rasteriza", reason.alias("motivo"))
 
 
 def why_not(requests: DataFrame, edges: DataFrame) -> DataFrame:

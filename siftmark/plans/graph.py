@@ -58,7 +58,8 @@ def _plans(spark, sf):
 
 
 def g6_w1_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return _plans(spark, sf)
+    """Choices for all pairs among all their paths, each with its rank among them; formats have three live edges at most."""
+    return gr.choose(_paths(spark, sf), ranked=True)
 
 
 def g7_why_not(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,6 +188,7 @@ _PATHS = """x AS (SELECT e.origen, e.destino, motor, CAST(coste AS DOUBLE) + CAS
 _PLAN = """, k AS (SELECT *, row_number() OVER (PARTITION BY origen, final ORDER BY coste, saltos, nodos, motores) AS rango, row_number() OVER (PARTITION BY origen, final, rasteriza ORDER BY coste, saltos, nodos, motores) AS rr FROM z),
  plan AS (SELECT a.origen, a.final, CAST(least(a.rango, 9) AS INTEGER) AS rango, a.nodos, a.motores, a.saltos, a.coste, a.rasteriza, CASE WHEN a.rango = 1 THEN CASE WHEN a.rasteriza AND a.texto THEN 'unico: rasteriza' ELSE 'elegido' END WHEN a.rasteriza AND NOT b.rasteriza AND a.texto THEN 'rasteriza' WHEN a.saltos < b.saltos THEN CASE WHEN a.pena > b.pena THEN 'mas corto, mas perdidas' ELSE 'mas corto, mas caro' END ELSE 'mas caro' END AS motivo
   FROM k a JOIN k b ON a.origen = b.origen AND a.final = b.final AND b.rango = 1 WHERE a.rango <= 8 OR (a.rasteriza AND a.rr = 1))"""
+_RANKED = _PLAN.replace("least(a.rango, 9)", "a.rango")  # the rank among all paths, also of the rasterising path that is added
 _HALF = """n AS (SELECT n_nationkey AS ext FROM nation), i AS (SELECT ext, CASE WHEN ext * 3 % 5 = 1 THEN 'muerta' WHEN ext * 3 % 7 = 1 THEN 'indeterminada' ELSE 'viva' END AS s FROM n), o AS (SELECT ext, CASE WHEN ext * 2 % 5 = 2 THEN 'muerta' WHEN ext * 2 % 7 = 2 THEN 'indeterminada' ELSE 'viva' END AS s FROM n),
  h AS (SELECT e.*, CASE WHEN i.s = 'viva' AND o.s = 'viva' THEN 3 WHEN i.s = 'muerta' OR o.s = 'muerta' THEN 1 ELSE 2 END AS rango, CASE WHEN i.s <> 'viva' THEN CASE WHEN o.s <> 'viva' THEN 'ambas' ELSE 'entrada' END WHEN o.s <> 'viva' THEN 'salida' ELSE 'ninguna' END AS culpa FROM v4_edges e JOIN i ON e.origen = i.ext JOIN o ON e.destino = o.ext)"""
 
@@ -197,7 +199,7 @@ ORACLE = {
     "a21_coverage": oracle("v4_edges", ", " + _HOPS.format(k=3) + " SELECT count(*) FILTER (saltos <= 1) AS uno, count(*) FILTER (saltos <= 2) AS dos, count(*) AS tres, round(count(*) / count(*) FILTER (saltos <= 1), 5) AS factor FROM h"),
     "g4_closure": oracle("v4_edges", ", e AS (SELECT DISTINCT origen, destino FROM v4_edges), c AS (SELECT origen, destino FROM e UNION SELECT c.origen, e.destino FROM c JOIN e ON c.destino = e.origen) SELECT * FROM c WHERE origen <> destino"),
     "g5_paths": oracle("v4_edges v4_formats", ", " + _PATHS + " SELECT origen, final, nodos, motores, saltos, coste, rasteriza FROM z"),
-    "g6_w1_plan": oracle("v4_edges v4_formats", ", " + _PATHS + _PLAN + " SELECT * FROM plan"),
+    "g6_w1_plan": oracle("v4_edges v4_formats", ", " + _PATHS + _RANKED + " SELECT * FROM plan"),
     "g7_why_not": oracle("v4_edges", ", " + _LIVE + """, r AS (SELECT * FROM (SELECT DISTINCT c_nationkey + CASE WHEN c_custkey % 50 = 0 THEN 100 ELSE 0 END AS origen FROM customer) CROSS JOIN (SELECT DISTINCT s_nationkey + CASE WHEN s_suppkey % 20 = 0 THEN 200 ELSE 0 END AS destino FROM supplier)),
  a AS (SELECT * FROM v4_edges WHERE origen % 5 <> 0)
 SELECT origen, destino, CASE WHEN origen NOT IN (SELECT origen FROM a) THEN 'nadie lee' WHEN destino NOT IN (SELECT destino FROM a) THEN 'nadie escribe' ELSE 'inalcanzable' END AS motivo, (SELECT count(*) FROM a WHERE a.destino = r.destino AND estado = 'nominal') AS muertas

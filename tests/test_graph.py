@@ -58,3 +58,11 @@ def test_plans_in_a_large_graph(spark):
     assert time.time() - began < 90
     chosen = [r for r in plans if r["rango"] == 1]
     assert len(chosen) == 20 and all(r["nodos"].startswith(f"{r['origen']}>") and r["nodos"].endswith(f">{r['final']}") and len(set(r["nodos"].split(">"))) == r["saltos"] + 1 for r in plans)
+
+
+def test_added_paths_keep_their_rank(spark):
+    """Of a pair with ten paths, of which only the dearest rasterises: it is the tenth, not the ninth."""
+    edges = [(0, i, "m", "real", float(i), False) for i in range(1, 11)] + [(i, 99, "m", "real", 1.0, i == 10) for i in range(1, 11)]
+    formats = spark.createDataFrame([(i, i == 99, False) for i in range(100)], "ext int, texto boolean, perdida boolean")
+    got = gr.choose(gr.paths(spark.createDataFrame(edges, EDGES), formats), ranked=True).where("origen = 0 and final = 99").collect()
+    assert sorted((r["rango"], r["nodos"]) for r in got)[-2:] == [(8, "0>8>99"), (10, "0>10>99")] and len(got) == 9
