@@ -102,8 +102,9 @@ def declared_length_status(content: Column, size: Column | None = None, tail: Co
 
 
 def png_megapixels(content: Column) -> Column:
-    """Millions of pixels from a PNG's header; null for other files."""
-    return F.when(F.substring(content, 1, 8) == F.unhex(F.lit("89504e470d0a1a0a")), _be(content, 16, 4) * _be(content, 20, 4) / 1e6)
+    """Millions of pixels from a PNG's header; null for other files. Two sides of 32 bits may pass a long."""
+    side = lambda at: _be(content, at, 4).cast("decimal(10,0)")
+    return F.when(F.substring(content, 1, 8) == F.unhex(F.lit("89504e470d0a1a0a")), (side(16) * side(20)).cast("double") / 1e6)
 
 
 def safe_name(name: Column) -> Column:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftmark.functions import text
+from siftmark.functions import formats, text
 from siftmark.operators import catalogue as ca
 from siftmark.operators import contract as ct
 from siftmark.operators import graph as gr
@@ -197,3 +197,9 @@ def test_twin_report_equals_all_pairs(spark):
     same = sum(set(x[3]) == set(y[3]) for x, y, *_ in pairs)
     want = (len(rows), sum(n >= 0.7 for *_, n, _ in pairs), sum(d >= 0.7 for *_, d in pairs), sum(d >= 0.85 for *_, d in pairs), same, sum(n >= 0.7 and d >= 0.7 for *_, n, d in pairs), round(len(d7) / len(rows), 6), round(len(both) / len(rows), 6))
     assert [tuple(x) for x in got] == [want]
+
+
+def test_megapixels_of_the_largest_sides(spark):
+    rows = [(i, b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + w + h) for i, (w, h) in enumerate([(b"\xff" * 4, b"\xff" * 4), (b"\0\0\x02\x80", b"\0\0\x01\xe0"), (b"\xf0abc", b"\x90")])]
+    got = spark.createDataFrame(rows, "i int, c binary").select(formats.png_megapixels(F.col("c")).alias("m")).collect()
+    assert [r["m"] for r in got[:2]] == [float((2**32 - 1) ** 2) / 1e6, 0.3072] and got[2]["m"] == 0xF0616263 * 0x90 / 1e6
