@@ -2,8 +2,7 @@
 
 A line takes part by its normalised form: lower-cased words, punctuation dropped, single spaces. Lines with equal
 forms are one node. Nodes meet where one of BANDS bands of minima agrees (see line_keys), and a pair is linked if the
-edit similarity of the forms (1 - distance / longer length) reaches the threshold (and they share LEAST_SHARED of
-their features, which nearly all such pairs do). Of every connected group one
+edit similarity of the forms (1 - distance / longer length) reaches the threshold. Of every connected group one
 occurrence stays, that of the smallest (doc_id, line number).
 
 One word in ten that is another moves about nine bits of a 64-bit SimHash: blocks that bring nine in ten of the similar
@@ -30,7 +29,7 @@ BEYOND = re.compile(r"[^\w\x00-\x7f]")  # marks that belong to letters, too: tho
 WORD = re.compile(r"[^\x00-\x20]+")
 BANDS, ROWS = 16, 4  # the bands that similar lines may meet in, and how many minima must agree there
 FEW_WORDS, LONG_WORDS = 8, 16  # a line of fewer words, or of more bytes a word, is told by its bytes
-LEAST_SHARED = 0.4  # of the features of two lines: at 0.8 of edit similarity, fewer than one pair in a hundred has less
+LEAST_SHARED = 0.0  # of the features of two lines: none, the edit distance alone decides
 FETCHED = 8_000_000  # lines up to which a bitmap says which texts are fetched
 
 
@@ -145,9 +144,10 @@ def by_words(v: list[str], w: list[str]) -> int:
     return total
 
 
-def distances(xs: list[str], ys: list[str]) -> np.ndarray:
+def distances(xs: list[str], ys: list[str], limits: list[int] | None = None) -> np.ndarray:
     """The edit distances of pairs of strings that aren't empty, all at once: bit-parallel, 64 rows to a word; a column
-    of all pairs is one step."""
+    of all pairs is one step. With limits, pairs leave once what is left of them can't bring them down to their limit; theirs is
+    limit + 1."""
     n, m = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
     codes = np.frombuffer("".join([*xs, *ys]).encode("utf-32-le", "surrogatepass"), np.uint32)
     letters, codes = np.unique(codes, return_inverse=True)
@@ -163,7 +163,21 @@ def distances(xs: list[str], ys: list[str]) -> np.ndarray:
     rise, fall, score = np.empty_like(up), np.empty_like(up), n.copy()
     last = (n - 1) // 64, rows
     bit = ((n - 1) % 64).astype(np.uint64)
+    most = None if limits is None else np.array(limits)
+    out = score.copy() if most is None else most + 1
     for j in range(m.max()):
+        if most is not None and j % 8 == 0:
+            stay = np.flatnonzero(score - np.maximum(m - j, 0) <= most)
+            if len(stay) < 0.8 * len(rows):
+                if not len(stay):
+                    return out
+                rows, n, m, most, score, starts_y, bit = (v[stay] for v in (rows, n, m, most, score, starts_y, bit))
+                words = (n.max() + 63) // 64
+                up, down = (np.ascontiguousarray(v[:words, stay]) for v in (up, down))
+                rise, fall = np.empty_like(up), np.empty_like(up)
+                last = (n - 1) // 64, np.arange(len(rows))
+                if j >= m.max():
+                    break
         at = codes[np.minimum(starts_y + j, len(codes) - 1)] * len(xs) + rows
         more, less = one, np.uint64(0)  # what comes in from the rows above
         for k in range(words):
@@ -177,7 +191,8 @@ def distances(xs: list[str], ys: list[str]) -> np.ndarray:
             up[k], down[k] = q | ~(across | p), p & across
         step = (rise[last] >> bit & one).astype(np.int64) - (fall[last] >> bit & one).astype(np.int64)
         score += np.where(m > j, step, 0)
-    return score
+    out[rows] = score if most is None else np.minimum(score, most + 1)
+    return out
 
 
 class Form:
@@ -190,19 +205,15 @@ class Form:
         self.features = {raw[i : i + 4] for i in range(max(1, len(raw) - 3))} if few else set(zip(w, w[1:]))
 
     def near_enough(self, other: "Form", limit: int) -> bool | None:
-        """Whether the edit distance is limit or less, if cheap bounds tell; False, too, for forms that share too little."""
+        """Whether the edit distance is limit or less, if cheap bounds tell."""
         v, w = self.words, other.words
         if len(v) == len(w) and sum(max(len(x), len(y)) for x, y in zip(v, w) if x != y) <= limit:
             return True
-        both = len(self.features & other.features)
-        if both < LEAST_SHARED * (len(self.features) + len(other.features) - both):
-            return False
         return True if by_words(v, w) <= limit else None
 
 
 def similar_pairs(least: float):
-    """linked(xs, ys): of each pair of forms, whether 1 - edit distance / longer length reaches least, and their features have
-    a Jaccard similarity of LEAST_SHARED: lines around one long passage meet in bands, and aren't worth an edit distance."""
+    """linked(xs, ys): of each pair of forms, whether 1 - edit distance / longer length reaches least."""
 
     def linked(xs: list[str], ys: list[str]) -> list[bool]:
         limits = [int((1 - least) * max(len(x), len(y)) + 1e-9) for x, y in zip(xs, ys)]
@@ -222,7 +233,7 @@ def similar_pairs(least: float):
             if len(some) < 8 * words:  # a step costs as much for few pairs as for many
                 found = [edit_distance(xs[i], ys[i], limits[i]) for i in some]
             else:
-                found = distances([xs[i] for i in some], [ys[i] for i in some])
+                found = distances([xs[i] for i in some], [ys[i] for i in some], [limits[i] for i in some])
             for i, d in zip(some, found):
                 out[i] = bool(d <= limits[i])
         return out

@@ -584,6 +584,20 @@ def test_edit_distance_is_exact():
     assert lines.similar_pairs(0.8)(*map(list, zip(*pairs))) == [d <= int(0.2 * n + 1e-9) and (s or e) for (d, n), s, e in zip(want, shared, same)]
 
 
+def test_scattered_letters_are_no_reason_to_pass_over_a_pair():
+    """A letter in each of two words of ten or so: few pairs of words are left, but the lines are alike."""
+    r = random.Random(8)
+    xs, ys = [], []
+    for k in range(400):
+        w = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(12)]
+        v = ["z" + x[1:] if i % 2 else x for i, x in enumerate(w)] if k % 2 else ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(12)]
+        xs.append(" ".join(w))
+        ys.append(" ".join(v))
+    assert lines.similar_pairs(0.8)(xs, ys) == [k % 2 == 1 for k in range(400)]
+    limits = [r.randrange(40) for _ in xs]
+    assert lines.distances(xs, ys, limits).tolist() == [min(d, n + 1) for d, n in zip(lines.distances(xs, ys).tolist(), limits)]
+
+
 # --- 9 search ---
 
 
