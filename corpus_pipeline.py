@@ -25,8 +25,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return simhash.drop_similar(docs, words=5, least=0.8)
+    """One document of every group: linked are those whose SimHash fingerprints differ in three bits or fewer, as operator 3 finds them
+    with blocks and pivots, and those whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash.drop_similar(docs, words=5, least=0.8, radius=3)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

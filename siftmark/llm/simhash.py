@@ -163,10 +163,11 @@ def jaccard_pairs(least: float):
     return lambda xs, ys: [reaches(x, y) for x, y in zip(xs, ys)]
 
 
-def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, most: int = 256) -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, most: int = 256, radius: int | None = None) -> DataFrame:
     """docs with one document of each group, as drop_near_duplicates; linked are documents whose sets of shingles of `words`
     words have a Jaccard similarity of `least` or more, verified exactly. Candidates meet in one of `bands` bands of
-    ROWS minima: at 0.8, all but one in a thousand do. most: documents that one task compares at a time."""
+    ROWS minima: at 0.8, all but one in a thousand do. most: documents that one task compares at a time. radius: with it, linked are
+    also the documents of one group of near_duplicates() at that radius, so that a group holds what either method links."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     rows = cut(keyed.mapInArrow(_sets(words, bands), "doc_id long, row long, id long, keys array<long>"))
     nodes = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
@@ -175,7 +176,12 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int
     every = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(tiled.select("id")).distinct()
     text = keyed.join(nodes.join(every, "id").select("id", "row"), "row").dropDuplicates(["id"]).select("id", "text")
     content = cut(text.mapInArrow(_bodies(words), "id long, node long, body binary"))
-    parts = connected_components(verified(pairs, tiled, content, jaccard_pairs(least), "long"))
+    edges = verified(pairs, tiled, content, jaccard_pairs(least), "long")
+    if radius is not None:
+        near = near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"), radius=radius).select(F.col("doc_id").alias("row"), "component_id").distinct()
+        of = cut(rows.select("row", "id").distinct().join(near, "row").select("component_id", F.col("id").alias("a")).distinct())
+        edges = edges.unionByName(of.join(of.groupBy("component_id").agg(F.min("a").alias("b")), "component_id").where("a <> b").select("a", "b"))
+    parts = connected_components(edges)
     joined = nodes.join(parts, nodes.id == parts.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     kept = joined.groupBy("root").agg(F.min("least").alias("kept"))
     gone = rows.join(joined.join(kept, "root").select("id", "kept"), "id").where("doc_id <> kept").select("doc_id").distinct()

@@ -69,3 +69,18 @@ def test_near_copies_go_by_their_shingles(spark):
     assert len(gone) > 100 and kept == set(texts) - gone
     assert simhash.drop_similar(docs.where("false")).count() == 0
     assert {x["doc_id"] for x in simhash.drop_similar(docs, most=8).collect()} == kept
+
+
+def test_near_copies_go_by_their_fingerprints(spark):
+    """Two texts whose fingerprints differ in three bits, but whose five-word shingles are less than 0.8 alike."""
+    r = random.Random(9)
+    while True:
+        w = [f"w{r.randrange(5000)}" for _ in range(400)]
+        v = [f"x{r.randrange(5000)}" if k % 40 == 7 else x for k, x in enumerate(w)]
+        a, b = " ".join(w), " ".join(v)
+        p, q = (set(simhash.shingle_hashes(t, 5)) for t in (a, b))
+        x, y = (int(simhash.majority(np.array(simhash.shingle_hashes(t, 3), np.uint64), np.array([0]))[0]) for t in (a, b))
+        if (x ^ y).bit_count() <= 3 and len(p & q) < 0.8 * len(p | q):
+            break
+    docs = spark.createDataFrame([(1, a, "s"), (2, b, "s"), (3, "another text altogether", "s"), (None, b, "s")], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()) == [0, 1, 3]
