@@ -46,8 +46,10 @@ def token_signals(text: Column) -> dict[str, Column]:
 
 
 def error_rate(ref: Column, out: Column) -> Column:
-    """Character error rate in percent of the reference's length: it may pass 100; null for an empty reference."""
-    return F.when(F.length(ref) > 0, 100.0 * F.levenshtein(ref, out) / F.length(ref))
+    """Character error rate in percent of the reference's length: it may pass 100; null for an empty reference. An output that stands in
+    the reference as it is lacks the rest of it and nothing else: no matrix is made."""
+    distance = F.when(F.contains(ref, out), F.length(ref) - F.length(out)).otherwise(F.levenshtein(ref, out))
+    return F.when(F.length(ref) > 0, 100.0 * distance / F.length(ref))
 
 
 def collapse_class(cer: Column, size: Column, ref_size: Column) -> Column:

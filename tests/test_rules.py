@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,12 @@ def test_megapixels_of_the_largest_sides(spark):
     rows = [(i, b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + w + h) for i, (w, h) in enumerate([(b"\xff" * 4, b"\xff" * 4), (b"\0\0\x02\x80", b"\0\0\x01\xe0"), (b"\xf0abc", b"\x90")])]
     got = spark.createDataFrame(rows, "i int, c binary").select(formats.png_megapixels(F.col("c")).alias("m")).collect()
     assert [r["m"] for r in got[:2]] == [float((2**32 - 1) ** 2) / 1e6, 0.3072] and got[2]["m"] == 0xF0616263 * 0x90 / 1e6
+
+
+def test_error_rate_of_what_stands_in_the_reference(spark):
+    """400 outputs within references of 200,000 characters, whose matrices would take minutes; and some that don't stand there."""
+    x = spark.range(400).select(F.repeat(F.concat(F.lit("abcdefg hij "), F.col("id").cast("string")), 14_000).alias("ref")).withColumn("out", F.substring("ref", 7, 300))
+    began = time.time()
+    assert x.where(text.error_rate(F.col("ref"), F.col("out")) == 100.0 * (F.length("ref") - 300) / F.length("ref")).count() == 400 and time.time() - began < 30
+    rows = [("abcd", "bd", 50.0), ("abcd", "", 100.0), ("ab", "abab", 100.0), ("", "a", None), ("ab", None, None)]
+    assert [r[0] for r in spark.createDataFrame([r[:2] for r in rows], "r string, o string").select(text.error_rate(F.col("r"), F.col("o"))).collect()] == [r[2] for r in rows]
