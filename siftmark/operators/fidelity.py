@@ -136,10 +136,13 @@ def overlap(k: int, words: bool) -> Callable[[Column, Column], Column]:
             w = re.findall("[^ \t\r\n]+", x or "")
             return Counter(w) if k == 1 else Counter(zip(*[w[i:] for i in range(k)]))
 
-        both = [(multiset(x), multiset(y)) for x, y in zip(a, b)]
-        return pd.DataFrame([((x & y).total(), x.total(), y.total()) for x, y in both], columns=["common", "in_a", "in_b"])
+        def counts(x: str | None, y: str | None) -> tuple[int, int, int]:
+            p, q = multiset(x), multiset(y)
+            return (p & q).total(), p.total(), q.total()
 
-    return of
+        return pd.DataFrame([counts(x, y) for x, y in zip(a, b)], columns=["common", "in_a", "in_b"])  # a row's words go before the next row's come
+
+    return of.asNondeterministic()  # or a filter on what it gives would be pushed below, and it and the texts' forms computed twice
 
 
 def containment_class(share: Column) -> Column:
