@@ -88,7 +88,10 @@ def _grams(texts: Sequence[str | None], k: int) -> tuple[np.ndarray, np.ndarray]
     they are numbered in their order."""
     points = [np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
     of = np.repeat(np.arange(len(points)), [len(p) for p in points])
-    letters, code = np.unique(np.concatenate([*points, np.zeros(0, np.uint32)]), return_inverse=True)
+    every = np.concatenate([*points, np.zeros(0, np.uint32)])
+    there = np.zeros(int(every.max(initial=0)) + 1, bool)
+    there[every] = True
+    letters, code = np.flatnonzero(there), (np.cumsum(there) - 1)[every]
     n = len(code) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
