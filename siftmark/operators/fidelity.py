@@ -74,10 +74,11 @@ def phrase_recall(pairs: DataFrame, doc: str, phrases: str, output: str) -> Data
 
 def error_rates(texts: DataFrame, key: str, ref: str, outputs: Sequence[str]) -> DataFrame:
     """(key, a rate for each of outputs): character error rates in percent of the reference's length, after normalisation:
-    edit distances of whole texts, exact, in the row that holds both. Null for a null output or an empty reference."""
+    edit distances of whole texts, exact, in the row that holds both. Null for a null output or an empty reference. The rows are dealt
+    out anew: the joins before leave too few tasks for so much work on each byte."""
     side = lambda c: text.normal(F.col(c), fold=True)
     t = texts.select(key, side(ref).alias("_ref"), *[side(c).alias(f"_o{i}") for i, c in enumerate(outputs)])
-    n = F.length("_ref")
+    t, n = t.repartition(max(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), t.sparkSession.sparkContext.defaultParallelism), key), F.length("_ref")
     return t.select(key, *[F.when(n > 0, F.round(100.0 * edits.distance(F.col("_ref"), F.col(f"_o{i}")) / n, 6)).alias(c) for i, c in enumerate(outputs)])
 
 
