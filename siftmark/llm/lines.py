@@ -12,8 +12,9 @@ lines together would need some sixty keys a line, sixteen bands of minima bring
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ WORD = re.compile(r"[^\x00-\x20]+")
 BANDS, ROWS = 16, 4  # the bands that similar lines may meet in, and how many minima must agree there
 FEW_WORDS, LONG_WORDS = 8, 16  # a line of fewer words, or of more bytes a word, is told by its bytes
 LEAST_SHARED = 0.0  # of the features of two lines: none, the edit distance alone decides
+TOGETHER, LONG, SIDE_BY_SIDE = 16, 500, 65_536  # pairs of one form, or their characters, from which they are compared at once; bits of a stretch
 FETCHED = 8_000_000  # lines up to which a bitmap says which texts are fetched
 
 
@@ -195,14 +197,89 @@ def distances(xs: list[str], ys: list[str], limits: list[int] | None = None) ->
     return out
 
 
+def _number(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def _bits(x: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(x.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little", count=n)
+
+
+def within(x: str, ys: list[str], limits: list[int]) -> list[bool]:
+    """Of each of ys, whether its edit distance from x is its limit or less: bit-parallel, all of ys side by side in one long
+    integer, with a bit after each that takes up the carry. Now and then those leave that no column to come can bring
+    down to their limit."""
+    ends = [min(_common(x[::-1], y[::-1]), len(x), len(y)) for y in ys]
+    order, out = sorted(range(len(ys)), key=ends.__getitem__), [False] * len(ys)
+    while order:
+        some, size = [], 0
+        while order and (not some or size < SIDE_BY_SIDE):
+            some.append(order.pop())
+            size += len(ys[some[-1]]) + 1
+        k = min(_common(x, ys[i]) for i in some)
+        e = min(min(ends[i], len(x) - k, len(ys[i]) - k) for i in some)
+        found = _within(x[k : len(x) - e], [ys[i][k : len(ys[i]) - e] for i in some], np.array([limits[i] for i in some]))
+        for i in np.array(some)[found].tolist():
+            out[i] = True
+    return out
+
+
+def _within(x: str, ys: list[str], limits: np.ndarray) -> np.ndarray:
+    """The places of those of ys whose edit distance from x is their limit or less."""
+    text = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).tolist()
+    n, of = np.array([len(y) for y in ys]), np.arange(len(ys))
+    codes = np.frombuffer("\0".join([*ys, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes[np.cumsum(n + 1) - 1] = -1
+
+    def set_up(j: int) -> None:
+        nonlocal starts, gaps, rest, full, low, where
+        gaps = np.cumsum(n + 1) - 1
+        starts = gaps - n
+        row = np.arange(len(codes)) - np.repeat(starts, n + 1) + 1
+        row[gaps] = 0
+        rest, first = np.repeat(n, n + 1) - row, np.zeros(len(codes), bool)
+        first[starts] = True
+        full = _number(codes >= 0)
+        low, where = _number(first) & full, {c: _number(codes == c) for c in set(text[j:])}
+
+    starts = gaps = rest = full = low = where = None
+    set_up(0)
+    up, down = full, 0
+    for j in range(len(text) + 1):
+        if j == len(text) or j % 32 == 0 and j > limits.min():
+            steps = [_bits(v, len(codes)) for v in (up, down)]
+            total = np.cumsum(steps[0].astype(np.int32) - steps[1])
+            so_far = j + total - np.repeat(np.append(0, total[gaps[:-1]]), n + 1)
+            so_far[gaps] = j
+            stay = np.minimum.reduceat(so_far + np.abs(rest - (len(text) - j)), starts) <= limits
+            if j == len(text) or not stay.any():
+                return of[stay]
+            if stay.sum() < 0.7 * len(n):
+                some = np.repeat(stay, n + 1)
+                kept, codes = [v[some] for v in steps], codes[some]
+                n, of, limits = n[stay], of[stay], limits[stay]
+                set_up(j)
+                up, down = (_number(v) for v in kept)
+        eq = where[text[j]]
+        across = ((((eq & up) + up) ^ up) | eq | down) & full
+        rise, fall = down | (full ^ (across | up)), up & across
+        rise, fall = (rise << 1) & full | low, (fall << 1) & full
+        eq |= down
+        up, down = fall | (full ^ (eq | rise)), rise & eq
+
+
 class Form:
     """A form's words, and what its band keys are made of: pairs of neighbouring words, or runs of four bytes."""
 
     def __init__(self, form: str):
-        self.words = w = form.split(" ")
+        self.form, self.words = form, form.split(" ")
+
+    @property
+    def features(self) -> set:
+        form, w = self.form, self.words
         raw = form.encode("utf-8", "surrogatepass") if len(w) < FEW_WORDS or not form.isascii() or len(form) > LONG_WORDS * len(w) else form
         few = len(w) < FEW_WORDS or len(raw) > LONG_WORDS * len(w)
-        self.features = {raw[i : i + 4] for i in range(max(1, len(raw) - 3))} if few else set(zip(w, w[1:]))
+        return {raw[i : i + 4] for i in range(max(1, len(raw) - 3))} if few else set(zip(w, w[1:]))
 
     def near_enough(self, other: "Form", limit: int) -> bool | None:
         """Whether the edit distance is limit or less, if cheap bounds tell."""
@@ -224,7 +301,25 @@ def similar_pairs(least: float):
                 known[x] = Form(x)
             return known[x]
 
-        out = [False if abs(len(x) - len(y)) > n else of(x).near_enough(of(y), n) for x, y, n in zip(xs, ys, limits)]
+        out = [False if abs(len(x) - len(y)) > n else x == y or None for x, y, n in zip(xs, ys, limits)]
+
+        def together(enough: Callable[[int, str], bool]) -> None:
+            """Compares at once the open pairs of a form that enough(how many, form) holds for."""
+            open_ = [i for i, ok in enumerate(out) if ok is None]
+            often, beside = Counter(chain((xs[i] for i in open_), (ys[i] for i in open_))), defaultdict(list)
+            for i in open_:
+                x, y = xs[i], ys[i]
+                one, other = (x, y) if often[x] >= often[y] else (y, x)
+                beside[one].append((i, other))
+            for x, those in beside.items():
+                if enough(len(those), x):
+                    at = [i for i, _ in those]
+                    for i, ok in zip(at, within(x, [y for _, y in those], [limits[i] for i in at])):
+                        out[i] = ok
+
+        together(lambda n, x: n >= TOGETHER)  # those of long runs, which are mostly unlike
+        out = [of(x).near_enough(of(y), n) if ok is None else ok for ok, x, y, n in zip(out, xs, ys, limits)]
+        together(lambda n, x: n * len(x) >= LONG)
         open_ = sorted((i for i, ok in enumerate(out) if ok is None), key=lambda i: len(xs[i]))
         while open_:
             words = len(xs[open_[0]]) * 3 // 128 + 2  # about alike in length, so that few columns are idle

@@ -330,3 +330,27 @@ def test_long_pieces_merge_as_the_library_does():
             x = "".join(r.choice(letters) for _ in range(n))
             got = vocabulary.merge_long(vocabulary.of_byte[np.frombuffer(x.encode(), np.uint8)])
             assert got.tolist() == library.encode_ordinary(x)
+
+
+def test_lines_that_share_a_passage_are_compared_side_by_side(monkeypatch):
+    import random
+
+    from siftmark.llm import lines
+
+    r = random.Random(88)
+    w = lambda n: "".join(r.choice("abcdefgh ß") for _ in range(n))
+    for _ in range(200):
+        x = w(r.randint(1, 90))
+        ys = [*(w(r.randint(0, 20)) + x[k:] for k in range(0, len(x), 9)), *(w(r.randint(0, 60)) for _ in range(4)), x]
+        limits = [r.randint(0, 40) for _ in ys]
+        want = [lines.edit_distance(x, y, k) <= k for y, k in zip(ys, limits)]
+        assert lines.within(x, ys, limits) == want
+        monkeypatch.setattr(lines, "SIDE_BY_SIDE", 100)
+        assert lines.within(x, ys, limits) == want
+        monkeypatch.undo()
+    passage = w(300)
+    forms = [f"{w(150)} {passage}" for _ in range(60)]
+    alone = []
+    monkeypatch.setattr(lines, "edit_distance", lambda *a, f=lines.edit_distance: alone.append(a) or f(*a))
+    monkeypatch.setattr(lines, "by_words", lambda *a, f=lines.by_words: alone.append(a) or f(*a))
+    assert not any(lines.similar_pairs(0.8)(forms[:1] * 59, forms[1:])) and not alone
