@@ -213,3 +213,14 @@ def test_error_rate_of_what_stands_in_the_reference(spark):
     assert x.where(text.error_rate(F.col("ref"), F.col("out")) == 100.0 * (F.length("ref") - 300) / F.length("ref")).count() == 400 and time.time() - began < 30
     rows = [("abcd", "bd", 50.0), ("abcd", "", 100.0), ("ab", "abab", 100.0), ("", "a", None), ("ab", None, None)]
     assert [r[0] for r in spark.createDataFrame([r[:2] for r in rows], "r string, o string").select(text.error_rate(F.col("r"), F.col("o"))).collect()] == [r[2] for r in rows]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_probes_gather_their_tracks_once_and_show_no_values(spark):
+    from siftmark.plans import QUERIES
+
+    plan = _plan(QUERIES["c4_c14_probes"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("collect_list(") == 1 and "comparison" not in plan and "array_sort" not in plan
