@@ -224,3 +224,10 @@ def test_probes_gather_their_tracks_once_and_show_no_values(spark):
 
     plan = _plan(QUERIES["c4_c14_probes"](spark, "/root/testdata/sf0.001"))
     assert plan.count("collect_list(") == 1 and "comparison" not in plan and "array_sort" not in plan
+
+
+def test_short_findings_are_ranked_without_their_texts(spark):
+    from siftmark.plans import QUERIES
+
+    plan = _plan(QUERIES["c25_short"](spark, "/root/testdata/sf0.001"))
+    assert "Window" in plan and "message" not in plan.split("Window", 1)[1]
