@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import join_small
+
 
 def stable_runs(listings: DataFrame, polls: int = 2) -> DataFrame:
     """(ruta, tamano, mtime, desde, maduro, n): runs of equal listings of a file; maduro is the poll at which a run has
@@ -22,6 +24,25 @@ def stable_runs(listings: DataFrame, polls: int = 2) -> DataFrame:
     return x.groupBy("ruta", "_run", "tamano", "mtime").agg(F.min("poll").alias("desde"), F.min(F.when(F.col("_k") == polls, F.col("poll"))).alias("maduro"), F.count("*").alias("n")).drop("_run")
 
 
+def runs_of_changes(changes: DataFrame, polled: DataFrame, polls: int = 2) -> DataFrame:
+    """stable_runs() of files that each poll lists from their first change on: changes (ruta, hora, tamano, mtime) hold from hora
+    until the file's next one, polled (poll) has the polls. The listings themselves, a row for each file and poll, aren't
+    made; what is sorted is one row for each change. Runs that no poll falls in are left out."""
+    polled = polled.select("poll").where("poll IS NOT NULL").distinct()
+    moments = polled.select(F.col("poll").alias("hora"), F.lit(1).alias("_p")).unionByName(changes.select("hora", F.lit(0).alias("_p")).distinct())
+    moments = moments.groupBy("hora").agg(F.sum("_p").alias("_p"))  # as many rows as polls and hours of changes
+    before = F.sum("_p").over(Window.orderBy("hora").rowsBetween(Window.unboundedPreceding, -1))
+    first = moments.select("hora", (F.coalesce(before, F.lit(0)) + 1).alias("_i"))
+    order = polled.select("poll", F.row_number().over(Window.orderBy("poll")).cast("long").alias("_i"))
+    last = order.agg(F.count("*").alias("_last"))
+    x = join_small(changes, first, "hora").crossJoin(F.broadcast(last))
+    x = x.withColumn("n", F.coalesce(F.lead("_i").over(Window.partitionBy("ruta").orderBy("hora")), F.col("_last") + 1) - F.col("_i")).where("n > 0")
+    x = x.withColumn("_m", F.when(F.col("n") >= polls, F.col("_i") + polls - 1))
+    x = join_small(x, order.withColumnRenamed("poll", "desde"), "_i")
+    x = join_small(x, order.select(F.col("poll").alias("maduro"), F.col("_i").alias("_m")), "_m", "left")
+    return x.select("ruta", "tamano", "mtime", "desde", "maduro", "n")
+
+
 def numbered(listings: DataFrame) -> DataFrame:
     """listings with vuelta: the number of their poll, from 1, without gaps. As many rows are numbered as there are polls."""
     order = listings.select("poll").distinct().withColumn("vuelta", F.row_number().over(Window.orderBy("poll")).cast("long"))

@@ -8,7 +8,7 @@ from ..operators import upkeep as up
 from ..shared import cut, new_shared_path, remove
 from ..sources import files
 from ..views import oracle, table, view
-from .corpus import _STABLE, _listings
+from .corpus import _STABLE, _stable
 
 PAGES = 500  # of a file
 NODES = [("grafo:", "grafo"), ("sidecar", "motor"), ("permission", "sistema"), ("[en]", "entrada"), ("[de]", "salida")]
@@ -59,7 +59,7 @@ def u2_capability_contract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a28_arrival_counters(spark: SparkSession, sf: str) -> DataFrame:
-    runs = ar.with_patience(ar.stable_runs(_listings(spark, sf), 2), F.col("tamano") % 3 == 0, 2, 3)
+    runs = ar.with_patience(_stable(spark, sf, 2), F.col("tamano") % 3 == 0, 2, 3)
     there = table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("ruta"), F.lit(True).alias("existe")).distinct()
     return up.counters(runs.join(there, "ruta", "left"), "estado", F.coalesce("existe", F.lit(False)), "n", 2)
 
