@@ -458,15 +458,14 @@ def occurrences(docs: DataFrame, least_words: int = 0, bands: int = BANDS) -> Da
 
 
 def _bands(bands: int):
-    """(key, id) of each band of rows (id, chars, keys)."""
+    """(keys, ids) of each band of rows (id, chars, keys)."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, chars, keys = (batch.column(i) for i in range(3))
-            keys = np.frombuffer(b"".join(keys.to_pylist()), np.int32).reshape(-1, bands)
-            yield pa.record_batch([sized(keys, chars.to_numpy()).ravel(), np.repeat(ids.to_numpy(), bands)], names=["key", "id"])
+    def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, chars, keys = (batch.column(i) for i in range(3))
+        keys = np.frombuffer(b"".join(keys.to_pylist()), np.int32).reshape(-1, bands)
+        return sized(keys, chars.to_numpy()).ravel(), np.repeat(ids.to_numpy(), bands)
 
-    return work
+    return entries
 
 
 def _place(row: Column, line: Column, bits: int) -> Column:
@@ -522,7 +521,7 @@ def links(docs: DataFrame, found: DataFrame, nodes: DataFrame, bands: int, simil
     Texts are fetched only for nodes that have a candidate. A key with more than `most` nodes is compared as pairs of
     chunks, so no task holds it whole.
     """
-    pairs, tiled = candidates(found.where("keys is not null").select("id", "chars", "keys").mapInArrow(_bands(bands), "key long, id long"), most, similarity)
+    pairs, tiled = candidates(found.where("keys is not null").select("id", "chars", "keys"), _bands(bands), bands * found.count(), most, similarity)
     every = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(tiled.select("id")).distinct()
     cand = cut(every.join(nodes, "id"))
     content = cut(cand.join(forms_at(docs, cand), ["row", "again", "line"]).select("id", "node", F.col("form").alias("body")).dropDuplicates(["node"]))

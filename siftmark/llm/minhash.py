@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut
-from .hamming import runs, tiles
+from .hamming import begins, runs, tiles
 
 PAIRED = 16  # members of a run that are paired outright
 KEY = (1 << 48) - 1  # the bits of a key that must agree; those above say the size
+DEALT, BUCKET, HELD = 1 << 19, 1 << 19, 1 << 22  # keys that a task packs at a time; of a bucket, about; that are held until long runs leave
 STEP = 1.01  # between sizes that are told apart
 FOUND = pa.schema([("key", pa.int64()), ("chunk", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -48,39 +49,116 @@ def sized(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (keys.astype(np.int64) & 0xFFFFFFFF) | np.arange(keys.shape[1]) << 32 | code.astype(np.int64)[:, None] << 48
 
 
-def _found(most: int, least: float):
-    """Of (key, id) sorted by key: pairs of sizes of a ratio of `least` or more (chunk = -1), and the members of long runs
-    (id in a)."""
+def _dealt(entries: Callable, buckets: int):
+    """(bucket, keys, ids): what entries(batch) has, (keys, ids) of longs, packed into a row for each bucket, time and again."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, ids = (np.concatenate(x) for x in zip(*held))
+            at = (mixed((keys & KEY).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(at, kind="stable")
+            starts = begins([at := at[order]])
+            edges = pa.py_buffer((8 * np.append(starts, len(at))).astype(np.int32).tobytes())
+            packed = [pa.Array.from_buffers(pa.binary(), len(starts), [None, edges, pa.py_buffer(x[order].tobytes())]) for x in (keys, ids)]
+            return pa.record_batch([at[starts], *packed], names=["bucket", "keys", "ids"])
+
+        for batch in batches:
+            held.append(entries(batch))
+            size += len(held[-1][0])
+            if size > DEALT:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return work
+
+
+def _found(most: int, least: float, bound: int = HELD):
+    """Of (bucket, keys, ids) sorted by bucket: pairs of sizes of a ratio of `least` or more (chunk = -1), and the members of long
+    runs (id in a), of those over `most` in chunks. One bucket is held; beyond `bound`, the members of its long runs leave first."""
     apart = int(np.log(1 / least) / np.log(STEP)) + 2
 
     def rows_of(key, chunk, a, b) -> pa.RecordBatch:
-        return pa.record_batch([np.asarray(key, np.int64), np.full(len(a), chunk, np.int32), np.asarray(a, np.int64), np.asarray(b, np.int64)], schema=FOUND)
+        n = len(a)
+        return pa.record_batch([np.asarray(key, np.int64), np.broadcast_to(np.int32(chunk), n), np.asarray(a, np.int64), np.asarray(b, np.int64)], schema=FOUND)
+
+    def chunks(key: int, members: np.ndarray, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(members), most):
+            some = members[k : k + most]
+            yield rows_of(np.full(len(some), key), hot.get(key, 0), some, np.zeros(len(some)))
+            hot[key] = hot.get(key, 0) + 1
+
+    def paired(keys: np.ndarray, ids: np.ndarray, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        keys, ids, starts = in_runs(keys, ids, hot)
+        key, size = keys & KEY, keys >> 48
+        sizes = np.diff(np.append(starts, len(ids)))
+        long = sizes > most
+        if hot:
+            long |= np.isin(key[starts], list(hot))
+        for s, n in zip(starts[long].tolist(), sizes[long].tolist()):
+            yield from chunks(int(key[s]), ids[s : s + n], hot)
+        run = np.repeat(np.arange(len(starts)), sizes)
+        short = (sizes <= PAIRED) & ~long
+        for step in range(1, int(sizes[short].max(initial=1))):  # all pairs that are `step` apart, of all short runs at once
+            i = np.flatnonzero((run[:-step] == run[step:]) & short[run[step:]] & (np.abs(size[:-step] - size[step:]) <= apart))
+            yield rows_of(np.zeros(len(i)), -1, np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step]))
+        if len(i := np.flatnonzero((~short & ~long)[run])):
+            yield rows_of(key[i], 0, ids[i], np.zeros(len(i)))
+
+    def in_runs(keys: np.ndarray, ids: np.ndarray, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those whose key others have, too, or that is hot, each once, sorted by key and id; and where each key begins."""
+        order = np.argsort(key := keys & KEY)
+        same = np.diff(key[order]) == 0
+        some = np.append(same, False) | np.append(False, same)
+        if hot:
+            some |= np.isin(key[order], list(hot))
+        order = order[some]
+        order = order[np.lexsort((ids[order], key[order]))]
+        keys, ids, key = keys[order], ids[order], key[order]
+        if not len(keys):
+            return keys, ids, np.empty(0, np.int64)
+        once = begins([key, ids])
+        return keys[once], ids[once], begins([key[once]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts, chunk, split in runs(batches, lambda t: [t["key"].to_numpy() & KEY], most):
-            key, of = rows["key"].to_numpy(), rows["id"].to_numpy()
-            key, size = key & KEY, key >> 48
-            if split:
-                yield rows_of(key, chunk, of, np.zeros(len(of)))
-                continue
-            sizes = np.diff(np.append(starts, len(of)))
-            run = np.repeat(np.arange(len(starts)), sizes)
-            short = sizes <= PAIRED
-            for step in range(1, int(sizes[short].max(initial=1))):  # all pairs that are `step` apart, of all short runs at once
-                i = np.flatnonzero((run[:-step] == run[step:]) & short[run[step:]] & (np.abs(size[:-step] - size[step:]) <= apart) & (of[:-step] != of[step:]))
-                a, b = np.minimum(of[i], of[i + step]), np.maximum(of[i], of[i + step])
-                yield rows_of(np.zeros(len(i)), -1, a, b)
-            if len(i := np.flatnonzero(~short[run])):
-                yield rows_of(key[i], 0, of[i], np.zeros(len(i)))
+        held, now, size, hot, limit = [], None, 0, {}, bound
+        for batch in batches:
+            for bucket, keys, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and held:
+                    yield from paired(*(np.concatenate(x) for x in zip(*held)), hot)
+                    held, size, hot, limit = [], 0, {}, bound
+                now = bucket
+                held.append((np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64)))
+                size += len(held[-1][0])
+                if size > limit:
+                    keys, ids = (np.concatenate(x) for x in zip(*held))
+                    order = np.lexsort((ids, key := keys & KEY))
+                    order = order[begins([key[order], ids[order]])]  # each once
+                    keys, ids, key = keys[order], ids[order], key[order]
+                    starts = begins([key])
+                    sizes = np.diff(np.append(starts, len(key)))
+                    over = (sizes > most) | np.isin(key[starts], list(hot))
+                    for s, n in zip(starts[over].tolist(), sizes[over].tolist()):
+                        yield from chunks(int(key[s]), ids[s : s + n], hot)
+                    rest = ~np.repeat(over, sizes)
+                    held, size = [(keys[rest], ids[rest])], int(rest.sum())
+                    limit = max(bound, 2 * size)
+        if held:
+            yield from paired(*(np.concatenate(x) for x in zip(*held)), hot)
 
     return work
 
 
-def candidates(rows: DataFrame, most: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, id: long) with keys of sized(), which may repeat: pairs (a, b) whose sizes have a ratio of `least` or
-    more, and tiles (key, i, j, id) of runs of many members."""
-    same = F.col("key").bitwiseAND(F.lit(KEY))
-    found = cut(rows.repartition(same).sortWithinPartitions(same).mapInArrow(_found(most, least), "key long, chunk int, a long, b long"))
+def candidates(rows: DataFrame, entries: Callable, n: int, most: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows that entries(batch) makes (keys, ids) of, long arrays of some n in all, with keys of sized(), which may repeat: pairs
+    (a, b) whose sizes have a ratio of `least` or more, and tiles (key, i, j, id) of runs of many members.
+
+    Keys and ids are dealt out packed, so many to a bucket (BUCKET, about) as a task sorts at once."""
+    dealt = rows.mapInArrow(_dealt(entries, max(64, n // BUCKET)), "bucket int, keys binary, ids binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = cut(dealt.mapInArrow(_found(most, least), "key long, chunk int, a long, b long"))
     over = found.where("chunk >= 0").select("key", "chunk", F.col("a").alias("id")).distinct()
     return cut(found.where("chunk < 0").select("a", "b").distinct()), tiles(over)
 

@@ -142,6 +142,12 @@ def _sets(words: int, bands: int):
     return work
 
 
+def _bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ids) of rows (id, keys)."""
+    keys = batch.column(1)
+    return keys.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), keys.value_lengths().to_numpy())
+
+
 def _bodies(words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,8 +177,7 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     rows = cut(keyed.mapInArrow(_sets(words, bands), "doc_id long, row long, id long, keys array<long>"))
     nodes = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
-    once = rows.dropDuplicates(["id"]).select(F.explode("keys").alias("key"), "id")
-    pairs, tiled = candidates(once, most, least)
+    pairs, tiled = candidates(rows.where("size(keys) > 0").select("id", "keys"), _bands, bands * rows.count(), most, least)
     every = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(tiled.select("id")).distinct()
     text = keyed.join(nodes.join(every, "id").select("id", "row"), "row").dropDuplicates(["id"]).select("id", "text")
     content = cut(text.mapInArrow(_bodies(words), "id long, node long, body binary"))

@@ -354,3 +354,38 @@ def test_lines_that_share_a_passage_are_compared_side_by_side(monkeypatch):
     monkeypatch.setattr(lines, "edit_distance", lambda *a, f=lines.edit_distance: alone.append(a) or f(*a))
     monkeypatch.setattr(lines, "by_words", lambda *a, f=lines.by_words: alone.append(a) or f(*a))
     assert not any(lines.similar_pairs(0.8)(forms[:1] * 59, forms[1:])) and not alone
+
+
+def test_candidates_of_packed_keys_are_those_of_all_keys(spark):
+    """Every two ids that share a key meet, once, as a pair or in a tile; copies and very common keys as others; and a task that may hold few
+    keys lets the long runs go in chunks before the bucket has ended."""
+    import random
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    from siftmark.llm import minhash
+
+    r = random.Random(3)
+    rows = [(i % 900, k) for i in range(1000) for k in {r.randint(1, 400), r.randint(401, 5000), 9999 if i % 2 else 9998}]
+    of = {}
+    for i, k in rows:
+        of.setdefault(k, set()).add(i)
+    want = {p for v in of.values() for p in combinations(sorted(v), 2)}
+    entries = lambda b: (b.column(1).to_numpy(), b.column(0).to_numpy())
+    pairs, tiled = minhash.candidates(spark.createDataFrame(rows, "id long, key long"), entries, len(rows), 64, 0.8)
+    got = [(x["a"], x["b"]) for x in pairs.collect()]
+    tiles = {}
+    for x in tiled.collect():
+        tiles.setdefault((x["key"], x["i"], x["j"]), []).append(x["id"])
+    assert len(got) == len(set(got)) and max(map(len, tiles.values())) <= 128
+    assert {*got, *(p for v in tiles.values() for p in combinations(sorted(set(v)), 2))} == want
+
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([k for _, k in rows])], names=["id", "key"])
+    dealt = [b.slice(k, 1) for part in range(0, len(rows), 100) for b in minhash._dealt(entries, 1)(iter([batch.slice(part, 100)])) for k in range(b.num_rows)]
+    found, chunked = set(), {}
+    for x in minhash._found(64, 0.8, 200)(iter(dealt)):
+        for k, c, a, b in zip(*(v.to_pylist() for v in x.columns)):
+            found.add((a, b)) if c < 0 else chunked.setdefault(k, set()).add((c, a))
+    assert len({c for c, _ in chunked[9999]}) > 1
+    assert found | {p for v in chunked.values() for p in combinations(sorted({a for _, a in v}), 2)} == want
