@@ -332,13 +332,13 @@ def phrases(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> tuple[Data
     wanted = pointed.groupBy("key").agg(F.collect_list(F.struct("fp", "a")).alias("found"))  # no more than a text has runs
     read = rows.dropDuplicates(["key"]).join(wanted, "key").select("lang", "text", "found").mapInArrow(_read(bits), "lang string, phrase string, words int, a long, fp long")
     read = cut(read)
-    unsure = cut(frequent.where("several").select("fp").unionByName(read.where("phrase is null").select("fp")))
+    unsure = frequent.where("several").select("fp").unionByName(read.where("phrase is null").select("fp"))
     out = read.where("phrase is not null").select("lang", "phrase", "words", "a")
     if unsure.isEmpty():
-        return out, totals
+        return out, totals  # it stands already: read is written, and writing it again would only make files
     marked = unsure.select(F.shiftrightunsigned("fp", 64 - MARKS).alias("mark")).distinct().toArrow()["mark"].to_numpy()  # at most 2**MARKS
     counted = rows.mapInArrow(_again(bits, marked), "fp long, lang string, phrase string, words int, a long").join(unsure, "fp", "left_semi")
-    return out.unionByName(counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)), totals
+    return cut(out.unionByName(counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least))), totals
 
 
 def _top(rows: DataFrame, by: str, order: list[Column], most: int, parts: tuple[int, ...] = (64, 8)) -> DataFrame:
@@ -360,7 +360,6 @@ def collocations(docs: DataFrame, most: int = 2000, least: int = LEAST, covered:
     empty, a null lang counts as `und`; repeated rows count as often as they come; tables without words give no rows.
     """
     found, totals = phrases(docs, least, bits)
-    found = cut(found)
     long = found.where("words > 1").withColumn("w", F.split("phrase", " "))
     joined = lambda i, n: F.array_join(F.slice("w", i, n), " ")
     two = F.array(F.struct(F.lit(1).alias("k"), joined(1, 1).alias("first"), joined(2, 1).alias("rest")))

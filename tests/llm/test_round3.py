@@ -60,6 +60,15 @@ def test_collocations_of_the_tables_with_few_bits(spark):
     assert len(want) > 100 and sorted(map(tuple, collocations.collocations(docs, bits=16).collect())) == want
 
 
+def test_collocations_are_written_twice_where_fingerprints_tell_all(spark, monkeypatch):
+    """Every file in the shared folder may start a process that for a moment counts as a copy of the executor."""
+    done = []
+    monkeypatch.setattr(collocations, "cut", lambda df, f=collocations.cut: done.append(df.columns) or f(df))
+    docs = phrase_docs(spark, PHRASES)
+    assert sorted(map(tuple, collocations.collocations(docs).collect())) == brute_collocations(PHRASES) and len(done) == 2
+    assert sorted(map(tuple, collocations.collocations(docs, bits=9).collect())) == brute_collocations(PHRASES) and len(done) == 5
+
+
 def test_collocations_keep_so_many_and_take_empty_tables(spark):
     docs = phrase_docs(spark, PHRASES)
     assert sorted(map(tuple, collocations.collocations(docs, most=2).collect())) == brute_collocations(PHRASES, most=2)
