@@ -31,7 +31,7 @@ WORD = re.compile(r"[^\x00-\x20]+")
 BANDS, ROWS = 16, 4  # the bands that similar lines may meet in, and how many minima must agree there
 FEW_WORDS, LONG_WORDS = 8, 16  # a line of fewer words, or of more bytes a word, is told by its bytes
 LEAST_SHARED = 0.0  # of the features of two lines: none, the edit distance alone decides
-TOGETHER, LONG, SIDE_BY_SIDE = 16, 500, 65_536  # pairs of one form, or their characters, from which they are compared at once; bits of a stretch
+TOGETHER, FEW, LONG, SIDE_BY_SIDE = 16, 4, 500, 65_536  # pairs of one form, and their characters, from which they are compared at once; bits of a stretch
 FETCHED = 8_000_000  # lines up to which a bitmap says which texts are fetched
 
 
@@ -268,6 +268,90 @@ def _within(x: str, ys: list[str], limits: np.ndarray) -> np.ndarray:
         up, down = fall | (full ^ (eq | rise)), rise & eq
 
 
+def beside(xs: list[str], ys: list[str], limits: list[int]) -> list[bool]:
+    """Of each pair, whether its edit distance is its limit or less: as within(), for pairs that have no form in common. Those about
+    alike in length go side by side; the shorter form's end is drawn out to the group's longest, the other's by as much."""
+    out, todo = [False] * len(xs), []
+    for i, (x, y, limit) in enumerate(zip(xs, ys, limits)):
+        if len(x) > len(y):
+            x, y = y, x
+        k = _common(x, y)
+        x, y = x[k:], y[k:]
+        k = _common(x[::-1], y[::-1])
+        x, y = x[: len(x) - k], y[: len(y) - k]
+        if not x or len(y) <= limit:
+            out[i] = len(y) <= limit
+        else:
+            todo.append((len(x), i, x, y))
+    todo.sort(reverse=True)
+    k = 0
+    while k < len(todo):
+        some, size = [], 0
+        while k < len(todo) and (not some or size < SIDE_BY_SIDE and 2 * todo[k][0] >= some[0][0] - 64):
+            some.append(todo[k])
+            size += len(todo[k][3]) + some[0][0] - todo[k][0] + 8
+            k += 1
+        found = _beside([v[2] for v in some], [v[3] for v in some], np.array([limits[v[1]] for v in some]))
+        for j in found.tolist():
+            out[some[j][1]] = True
+    return out
+
+
+def _beside(xs: list[str], ys: list[str], limits: np.ndarray) -> np.ndarray:
+    """The places of those pairs whose edit distance is their limit or less. Each of ys has whole bytes of the long integer, and a bit
+    after it at least."""
+    size = max(map(len, xs))
+    ends = [" " * (size - len(x)) for x in xs]
+    n = np.array([len(y) + len(e) for y, e in zip(ys, ends)])
+    of, width, codes, columns = np.arange(len(xs)), n // 8 * 8 + 8, [], []
+    for x, y, e, w in zip(xs, ys, ends, width.tolist()):
+        own = np.full(w, -1, np.int64)
+        own[: len(y) + len(e)] = np.frombuffer((y + e).encode("utf-32-le", "surrogatepass"), np.uint32)
+        none, where = bytes(w // 8), {c: np.packbits(own == ord(c), bitorder="little").tobytes() for c in {*x, *e}}
+        codes.append(own)
+        columns.append([where.get(c, none) for c in x + e])
+    codes = np.concatenate(codes)
+
+    def set_up() -> None:
+        nonlocal starts, gaps, rest, spare, full, low
+        starts = np.cumsum(width) - width
+        gaps = starts + n  # these stand for no character of y at all
+        row = np.arange(len(codes)) - np.repeat(starts, width) + 1
+        row[gaps] = 0
+        rest = np.repeat(n, width) - row
+        spare, first = rest < 0, np.zeros(len(codes), bool)
+        first[starts] = True
+        full, low = _number(codes >= 0), _number(first)
+
+    starts = gaps = rest = spare = full = low = None
+    set_up()
+    up, down, begun, steps_of = full, 0, 0, list(zip(*columns))
+    for j in range(size + 1):
+        if j == size or j % 32 == 0 and j > limits.min():
+            steps = [_bits(v, len(codes)) for v in (up, down)]
+            total = np.cumsum(steps[0].astype(np.int32) - steps[1])
+            so_far = j + total - np.repeat(np.append(0, total[starts[1:] - 1]), width)
+            so_far[gaps] = j
+            so_far[spare] = 1 << 30
+            stay = np.minimum.reduceat(so_far + np.abs(rest - (size - j)), starts) <= limits
+            if j == size or not stay.any():
+                return of[stay]
+            if stay.sum() < 0.7 * len(n):
+                some = np.repeat(stay, width)
+                kept, codes = [v[some] for v in steps], codes[some]
+                columns = [c for c, ok in zip(columns, stay.tolist()) if ok]
+                n, of, limits, width = n[stay], of[stay], limits[stay], width[stay]
+                set_up()
+                up, down = (_number(v) for v in kept)
+                begun, steps_of = j, list(zip(*[c[j:] for c in columns]))
+        eq = int.from_bytes(b"".join(steps_of[j - begun]), "little")
+        across = ((((eq & up) + up) ^ up) | eq | down) & full
+        rise, fall = down | (full ^ (across | up)), up & across
+        rise, fall = (rise << 1) & full | low, (fall << 1) & full
+        eq |= down
+        up, down = fall | (full ^ (eq | rise)), rise & eq
+
+
 class Form:
     """A form's words, and what its band keys are made of: pairs of neighbouring words, or runs of four bytes."""
 
@@ -319,18 +403,20 @@ def similar_pairs(least: float):
 
         together(lambda n, x: n >= TOGETHER)  # those of long runs, which are mostly unlike
         out = [of(x).near_enough(of(y), n) if ok is None else ok for ok, x, y, n in zip(out, xs, ys, limits)]
-        together(lambda n, x: n * len(x) >= LONG)
-        open_ = sorted((i for i, ok in enumerate(out) if ok is None), key=lambda i: len(xs[i]))
+        together(lambda n, x: n >= FEW and n * len(x) >= LONG)
+        open_, few = sorted((i for i, ok in enumerate(out) if ok is None), key=lambda i: len(xs[i])), []
         while open_:
             words = len(xs[open_[0]]) * 3 // 128 + 2  # about alike in length, so that few columns are idle
             some = [i for i in open_[: max(1, 32_768 // words)] if len(xs[i]) < 64 * words]
             open_ = open_[len(some) :]
             if len(some) < 8 * words:  # a step costs as much for few pairs as for many
-                found = [edit_distance(xs[i], ys[i], limits[i]) for i in some]
-            else:
-                found = distances([xs[i] for i in some], [ys[i] for i in some], [limits[i] for i in some])
-            for i, d in zip(some, found):
-                out[i] = bool(d <= limits[i])
+                few += some
+                continue
+            limit = [limits[i] for i in some]
+            for i, ok in zip(some, (distances([xs[i] for i in some], [ys[i] for i in some], limit) <= limit).tolist()):
+                out[i] = ok
+        for i, ok in zip(few, beside([xs[i] for i in few], [ys[i] for i in few], [limits[i] for i in few])):
+            out[i] = ok
         return out
 
     return linked
@@ -534,7 +620,8 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 0
     one = [F.min("row").alias("row"), F.min_by("again", "row").alias("again"), F.min_by("line", "row").alias("line")]
     nodes = cut(found.groupBy("node", "id").agg(*one, F.count("*").alias("n")))
     parts = connected_components(links(docs, found, nodes.drop("n"), bands, similarity, most))
-    grouped = nodes.join(parts, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"))
+    alone = nodes.where("n > 1").select("node").join(parts.select("node"), "node", "left_anti")  # repeats that nothing else is linked to
+    grouped = parts.select("node", "root").unionByName(alone.select("node", F.col("node").alias("root")))
     place = F.struct("doc_id", "line", "row", "again")
     several = cut(found.select("node", "doc_id", "line", "row", "again").join(grouped, "node").drop("node"))
     kept = several.groupBy("root").agg(F.min(place).alias("kept"))

@@ -5,6 +5,7 @@ Two sets of Jaccard similarity s share a band of `rows` minima with probability
 breadth first in tiles of bounded size, so that a group of similar members never makes all its pairs.
 """
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -163,28 +164,6 @@ def candidates(rows: DataFrame, entries: Callable, n: int, most: int, least: flo
     return cut(found.where("chunk < 0").select("a", "b").distinct()), tiles(over)
 
 
-def _verify_pairs(linked: Callable):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            ok = pa.array(linked(rows.column(2).to_pylist(), rows.column(3).to_pylist()), pa.bool_())
-            return pa.record_batch([rows.column(0), rows.column(1)], names=["a", "b"]).filter(ok)
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.nbytes
-            if size > 1 << 24:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    return work
-
-
 class Known:
     """What a task has found out so far: which nodes are connected, and which pairs aren't linked."""
 
@@ -218,6 +197,42 @@ class Known:
             self.parent.clear()
 
 
+def _verify_pairs(linked: Callable):
+    """A spanning forest of the verified links among the pairs of rows (first, id, mates, node, body) sorted by first: a row's node
+    pairs with those of its mates, ids of the same first. Ids may have several nodes. What is connected already isn't compared."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
+        for rows, _, _, _ in runs(batches, lambda t: [t["first"].to_numpy()]):
+            node = rows["node"].to_pylist()
+            bodies, of, edges = dict(zip(node, rows["body"].to_pylist())), defaultdict(list), []
+            places = list(zip(rows["first"].to_pylist(), rows["id"].to_pylist()))
+            for place, x in zip(places, node):
+                of[place].append(x)
+            open_ = [(x, y) for (first, _), y, mates in zip(places, node, rows["mates"].to_pylist()) for m in mates for x in of[first, m]]
+            while open_:
+                hoped, asked, later = Known(), [], []  # a forest of what may be linked; if it is, the others needn't be compared
+                for x, y in open_:
+                    a, b = known.root(x), known.root(y)
+                    if a != b:
+                        if hoped.root(a) != hoped.root(b):
+                            hoped.link(a, b)
+                            asked.append((x, y))
+                        else:
+                            later.append((x, y))
+                if asked:
+                    said = linked([bodies[x] for x, _ in asked], [bodies[y] for _, y in asked])
+                    for p in [p for p, ok in zip(asked, said) if ok]:
+                        known.link(*p)
+                        edges.append(p)
+                open_ = later
+            known.forget()
+            if edges:
+                yield pa.record_batch([pa.array([p[k] for p in edges], rows["node"].type) for k in (0, 1)], names=["a", "b"])
+
+    return work
+
+
 def _verify_tiles(linked: Callable):
     """A spanning forest of the verified links of the tiles. Tiles of other bands hold much the same members: what a task has
     found connected isn't compared again, nor what it has found apart."""
@@ -259,11 +274,14 @@ def _verify_tiles(linked: Callable):
 
 def verified(pairs: DataFrame, tiled: DataFrame, content: DataFrame, linked: Callable, kind: str) -> DataFrame:
     """Edges (a, b) between nodes of content (id, node, body) whose connected groups are those of all candidates that
-    linked(bodies, bodies) links: it says so of each pair. kind: the SQL type of node."""
+    linked(bodies, bodies) links: it says so of each pair. kind: the SQL type of node.
+
+    Pairs (a < b, each once; an id has no more than some hundreds) meet by the least mate of b, where a body comes once for all its pairs."""
     schema = f"a {kind}, b {kind}"
-    x = content.select(F.col("id").alias("a"), F.col("node").alias("x"), F.col("body").alias("bx"))
-    y = content.select(F.col("id").alias("b"), F.col("node").alias("y"), F.col("body").alias("by"))
-    two = pairs.join(x, "a").join(y, "b").select("x", "y", "bx", "by").mapInArrow(_verify_pairs(linked), schema)
+    mates = pairs.groupBy("b").agg(F.collect_list("a").alias("mates")).withColumn("first", F.array_min("mates"))  # like members have the same first
+    rows = mates.select("first", F.col("b").alias("id"), "mates").unionByName(mates.select("first", F.explode("mates").alias("id"), F.lit(None).cast("array<bigint>").alias("mates")))
+    rows = rows.groupBy("first", "id").agg(F.flatten(F.collect_list("mates")).alias("mates"))
+    two = rows.join(content, "id").select("first", "id", "mates", "node", "body").repartition("first").sortWithinPartitions("first").mapInArrow(_verify_pairs(linked), schema)
     first = F.min("id").over(Window.partitionBy("key", "i", "j")).alias("first")  # tiles of like members go to one task
     many = tiled.select("*", first).join(content, "id").select("first", "key", "i", "j", "node", "body").repartition("first").sortWithinPartitions("first", "key", "i", "j", "node")
     return two.unionByName(many.mapInArrow(_verify_tiles(linked), schema))

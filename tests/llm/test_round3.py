@@ -398,3 +398,50 @@ def test_candidates_of_packed_keys_are_those_of_all_keys(spark):
             found.add((a, b)) if c < 0 else chunked.setdefault(k, set()).add((c, a))
     assert len({c for c, _ in chunked[9999]}) > 1
     assert found | {p for v in chunked.values() for p in combinations(sorted({a for _, a in v}), 2)} == want
+
+
+def test_pairs_without_a_common_form_are_compared_side_by_side(monkeypatch):
+    import random
+
+    from siftmark.llm import lines
+
+    r = random.Random(5)
+    w = lambda n: "".join(r.choice("abcdefgh ß") for _ in range(n))
+    for _ in range(100):
+        monkeypatch.setattr(lines, "SIDE_BY_SIDE", r.choice([50, 500, 65_536]))
+        xs = [w(r.randint(1, 120)) for _ in range(r.randint(1, 40))]
+        ys = [x[r.randint(0, 9) : r.randint(9, 120)] + w(r.randint(1, 20)) if r.random() < 0.8 else w(r.randint(1, 150)) for x in xs]
+        limits = [r.randint(0, 45) for _ in xs]
+        assert lines.beside(xs, ys, limits) == [lines.edit_distance(x, y, k) <= k for x, y, k in zip(xs, ys, limits)]
+
+
+def test_pairs_that_are_connected_already_are_not_compared(spark):
+    """Of sixteen like members fifteen of 120 pairs are compared; the groups are those of all pairs, also where ids have two nodes."""
+    import random
+    from itertools import combinations
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from siftmark.llm import minhash
+
+    names = ["first", "id", "mates", "node", "body"]
+    rows = pa.table([[0] * 16, list(range(16)), [list(range(k)) for k in range(16)], list(range(16)), ["x"] * 16], names=names)
+    asked = []
+    linked = lambda xs, ys: asked.extend(zip(xs, ys)) or [x[0] == y[0] for x, y in zip(xs, ys)]
+    edges = [b.num_rows for b in minhash._verify_pairs(linked)(iter(rows.to_batches()))]
+    assert sum(edges) == len(asked) == 15
+
+    r = random.Random(9)
+    content = [(i % 190, i, r.choice("abc") + str(i)) for i in range(200)]
+    pairs = list({tuple(sorted(p)) for _ in range(60) for p in combinations(r.sample(range(190), r.randint(2, 9)), 2)})
+    nodes = {}
+    for i, x, body in content:
+        nodes.setdefault(i, []).append((x, body))
+    groups = lambda edges: {frozenset(v) for v in pd.Series(range(200)).groupby(union_find(200, edges)).agg(list)}
+    got = minhash.verified(
+        spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([], "key long, i int, j int, id long"),
+        spark.createDataFrame(content, "id long, node long, body string"), lambda xs, ys: [x[0] == y[0] for x, y in zip(xs, ys)], "long",
+    ).collect()
+    want = groups([(x, y) for a, b in pairs for x, p in nodes[a] for y, q in nodes[b] if p[0] == q[0]])
+    assert groups([(x["a"], x["b"]) for x in got]) == want and 3 < len(want) < 150
