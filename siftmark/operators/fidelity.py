@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,14 +73,30 @@ def phrase_recall(pairs: DataFrame, doc: str, phrases: str, output: str) -> Data
     return x.withColumn("similarity", F.when(n > 0, F.round(100.0 * F.greatest(F.lit(0), n - F.col("distance")) / n, 6)).otherwise(100.0))
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks work is dealt out that is more than reading its rows: several a core, as rows differ widely."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def error_rates(texts: DataFrame, key: str, ref: str, outputs: Sequence[str]) -> DataFrame:
     """(key, a rate for each of outputs): character error rates in percent of the reference's length, after normalisation:
-    edit distances of whole texts, exact, in the row that holds both. Null for a null output or an empty reference. The rows are dealt
-    out anew: the joins before leave too few tasks for so much work on each byte."""
-    side = lambda c: text.normal(F.col(c), fold=True)
-    t = texts.select(key, side(ref).alias("_ref"), *[side(c).alias(f"_o{i}") for i, c in enumerate(outputs)])
-    t, n = t.repartition(max(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), t.sparkSession.sparkContext.defaultParallelism), key), F.length("_ref")
-    return t.select(key, *[F.when(n > 0, F.round(100.0 * edits.distance(F.col("_ref"), F.col(f"_o{i}")) / n, 6)).alias(c) for i, c in enumerate(outputs)])
+    edit distances of whole texts, exact, in the row that holds both; an Arrow batch is normalised and compared at once. Null for a null
+    output or an empty reference. The rows are dealt out anew: the joins before leave too few tasks for so much work on each byte. Where
+    they are by tasks() and the key already, they stay."""
+
+    @F.arrow_udf("struct<n: int, d: array<int>>")
+    def compared(texts: pa.Array) -> pa.Array:
+        refs, *outs = [text.normal_bytes(x) for x in texts.flatten()]
+        pairs = [(i, k) for k, out in enumerate(outs) for i, (r, o) in enumerate(zip(refs, out)) if r and o is not None]
+        found: list[list[int | None]] = [[None] * len(outs) for _ in refs]
+        for (i, k), d in zip(pairs, edits.distances((refs[i], outs[k][i]) for i, k in pairs)):
+            found[i][k] = d
+        n = pa.array([None if r is None else len(r) for r in refs], pa.int32())
+        return pa.StructArray.from_arrays([n, pa.array(found, pa.list_(pa.int32()))], ["n", "d"])
+
+    t = texts.select(key, ref, *outputs).repartition(tasks(texts.sparkSession), key)
+    t = t.select(key, compared(F.struct(ref, *outputs)).alias("_x"))
+    return t.select(key, *[F.when(F.col("_x.n") > 0, F.round(100.0 * F.col("_x.d")[i] / F.col("_x.n"), 6)).alias(c) for i, c in enumerate(outputs)])
 
 
 def _grams(texts: Sequence[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,8 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def y1_error_rate(spark: SparkSession, sf: str) -> DataFrame:
-    t = view(spark, sf, "v5").join(view(spark, sf, "v5_ajeno"), "doc_id")
+    t, other = (view(spark, sf, v).repartition(fd.tasks(spark), "doc_id") for v in ("v5", "v5_ajeno"))  # so many that the join's tasks do for the distances
+    t = t.join(other, "doc_id")
     return fd.error_rates(t, "doc_id", "ref", ["lectura_a", "lectura_b", "ajeno"]).withColumn("metrica", F.lit("acentos plegados"))
 
 
