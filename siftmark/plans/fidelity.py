@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import fidelity as fd
-from ..views import oracle, table, view
+from ..views import READINGS, oracle, table, view
 from .scalars import _NORM
 
 _N10 = _NORM["n10"].replace("lower(x)", "lower({x})")
@@ -17,8 +17,11 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def y1_error_rate(spark: SparkSession, sf: str) -> DataFrame:
-    t, other = (view(spark, sf, v).repartition(fd.tasks(spark), "doc_id") for v in ("v5", "v5_ajeno"))  # so many that the join's tasks do for the distances
-    t = t.join(other, "doc_id")
+    """Texts are dealt out once for both sides, into as many tasks as the distances want; readings are made where they are compared."""
+    n = fd.tasks(spark)
+    documents = table(spark, sf, "documents").repartition(n, "doc_id")
+    t = documents.join(view(spark, sf, "v5_ajeno", documents=documents).repartition(n, "doc_id"), "doc_id")
+    t = t.select("doc_id", F.col("text").alias("ref"), *[F.expr(x).alias(c) for c, x in READINGS.items()], "ajeno")
     return fd.error_rates(t, "doc_id", "ref", ["lectura_a", "lectura_b", "ajeno"]).withColumn("metrica", F.lit("acentos plegados"))
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# What was read in place of `text` (v5).
+READINGS = {"lectura_a": "replace(text, 'e', 'c')", "lectura_b": "replace(replace(text, 'n', 'm'), '.', '')"}
+
 VIEWS: dict[str, str] = {
     "v1": """SELECT concat('page_', page_id, '.html') AS name, html AS body FROM pages
 UNION ALL SELECT concat('doc_', doc_id, '.', CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'MD' WHEN 2 THEN 'markdown' ELSE 'html' END), text FROM documents""",
@@ -32,7 +35,7 @@ FROM (SELECT origen, destino, motor, row_number() OVER (PARTITION BY origen ORDE
  FROM (SELECT c.c_nationkey AS origen, s.s_nationkey AS destino, concat('m', (c.c_nationkey + s.s_nationkey) % 4) AS motor, count(*) AS n
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
   WHERE c.c_nationkey <> s.s_nationkey GROUP BY c.c_nationkey, s.s_nationkey) x) y WHERE r <= 3""",
-    "v5": "SELECT doc_id, lang, source, text AS ref, replace(text, 'e', 'c') AS lectura_a, replace(replace(text, 'n', 'm'), '.', '') AS lectura_b, n_chars FROM documents",
+    "v5": "SELECT doc_id, lang, source, text AS ref, " + ", ".join(f"{x} AS {c}" for c, x in READINGS.items()) + ", n_chars FROM documents",
     "v5_ajeno": """SELECT w.doc_id, n.text AS ajeno FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS sigue FROM documents) w
 LEFT JOIN documents n ON n.doc_id = w.sigue""",
     "v6": "SELECT d.doc_id, d.text, l.quality, l.toxic, l.doc_id IS NOT NULL AS registrado FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
@@ -87,10 +90,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables of sf_dir. The tables are passed as arguments, so sessions keep no names."""
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A view over the tables of sf_dir, or those given in their place. The tables are passed as arguments, so sessions keep no names."""
     sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
-    used = {t: table(spark, sf_dir, t) for t in TABLES if f" {t}" in sql}
+    used = {t: given.get(t) or table(spark, sf_dir, t) for t in TABLES if f" {t}" in sql}
     for t in used:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(sql, **used)
